@@ -201,6 +201,14 @@ def changed_values(df: DataFrame, text: str) -> DataFrame:
     return kept.join(mapped, kept[text] == F.col("__text")).drop("__text").withColumnRenamed("__canonical", "canonical")
 
 
+def consistent_values(df: DataFrame, text: str) -> DataFrame:
+    """All rows of ``df`` plus ``canonical``: the consistent form of the text, null for null."""
+    mapped = canonical_map(df, text).select(F.col("text").alias("__text"), F.col("canonical").alias("__canonical"))
+    odd = df.where(suspicious(F.col(f"`{text}`")))
+    done = odd.join(mapped, odd[text] == F.col("__text"), "left").select(*df.columns, F.coalesce("__canonical", F.col(f"`{text}`")).alias("canonical"))
+    return df.where(~suspicious(F.col(f"`{text}`"))).withColumn("canonical", F.col(f"`{text}`")).unionByName(done)
+
+
 def plain_text(text: Column) -> Column:
     """The consistent form as far as letters a-z and blanks go, as one column expression.
 
