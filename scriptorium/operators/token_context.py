@@ -1,0 +1,79 @@
+"""What the grammar rules need to know about a token, gathered once per sentence.
+
+The tokens of a sentence meet in one array (one shuffle by sentence); heads, children, governing
+verbs and the look-ups of the rules are then found inside that array, without further joins.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import base_letter_table
+from .rules import DEGREE_SQL, GERUND_CASE_SQL, GERUNDIVE_SQL, LOOKUPS, LOOKUPS2, render
+
+TOKEN_SCHEMA = (
+    "doc_id bigint, sent_id bigint, i int, text string, lemma string, pos string, dep string, head int, "
+    "morph map<string,string>, candidates array<map<string,string>>, ent string, gloss string"
+)
+#: Steps that the climb to the governing verb takes at most.
+CLIMB = 6
+
+
+def folded(text: Column) -> Column:
+    """Lower case, marks off, v and j as u and i."""
+    src, dst = base_letter_table()
+    return F.regexp_replace(F.lower(F.translate(text, src, dst)), r"\p{Mn}+", "")
+
+
+def flat_tokens(tokens: DataFrame) -> DataFrame:
+    """Token rows with their features as columns; a missing feature is null."""
+    m = {"cas": "Case", "num": "Number", "gen": "Gender", "person": "Person", "tense": "Tense", "voice": "Voice", "mood": "Mood", "aspect": "Aspect", "vf": "VerbForm", "pt": "PronType"}
+    morph = F.coalesce("morph", F.create_map().cast("map<string,string>"))
+    base = tokens.select(
+        "doc_id", "sent_id", "i", "text", folded(F.col("text")).alias("form"), folded(F.col("lemma")).alias("l"), "pos", "dep", "head", F.coalesce("ent", F.lit("")).alias("ent"),
+        *[F.try_element_at(morph, F.lit(k)).alias(c) for c, k in m.items()],
+        F.coalesce(F.exists("candidates", lambda c: F.upper(F.try_element_at(c, F.lit("case"))) == "GEN"), F.lit(False)).alias("cand_gen"),
+    )
+    base = base.withColumn("may_gen", F.coalesce(F.col("cas") == "Gen", F.lit(False)) | F.col("cand_gen")).drop("cand_gen")
+    return base.withColumn("gdv", F.expr(GERUNDIVE_SQL)).withColumn("deg", F.expr(render(DEGREE_SQL, "spark"))).withColumn("gcas", F.expr(render(GERUND_CASE_SQL, "spark")))
+
+
+def sentences(tokens: DataFrame) -> DataFrame:
+    """``(doc_id, sent_id, s)``: the flat tokens of each sentence in order, with ``bare`` (no
+    preposition hangs on it) and ``hl`` (lemma of the head) added. Repeated token rows count once."""
+    flat = flat_tokens(tokens)
+    fields = [c for c in flat.columns if c not in ("doc_id", "sent_id")]
+    s = flat.groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_set(F.struct(*fields))).alias("s"))
+    kept = ", ".join(f"'{c}', t.{c}" for c in fields)
+    more = f"""transform(s, t -> named_struct({kept},
+        'bare', NOT exists(s, x -> x.head = t.i AND x.i <> t.i AND x.dep = 'case' AND x.pos IN ('ADP', 'SCONJ')),
+        'hl', try_element_at(transform(filter(s, x -> x.i = t.head AND t.head <> t.i), x -> x.l), 1)))"""
+    return s.select("doc_id", "sent_id", F.expr(more).alias("s"))
+
+
+def _lookup(condition: str, take: str) -> Column:
+    return F.expr(f"try_element_at(transform(filter(s, x -> coalesce({condition}, false)), x -> x.{take}), 1)")
+
+
+def _head(of: str, where: str) -> Column:
+    """The token above the one whose index and head are ``of``.i and ``of``.head; null for roots."""
+    return F.expr(f"try_element_at(filter(s, x -> x.i = {of}.head AND {of}.head <> {of}.i), 1)").alias(where)
+
+
+def token_context(tokens: DataFrame) -> DataFrame:
+    """One row per token with the columns that the rules name (see :mod:`rules`).
+
+    A root, or a token whose head is not in its sentence, has null head columns. Sentences are
+    gathered whole; they are short by nature, and a very long one only costs its own length squared.
+    """
+    t = sentences(tokens).select("doc_id", "sent_id", "s", F.explode("s").alias("t"))
+    up = t.withColumn("u1", _head("t", "u1"))
+    for k in range(2, CLIMB + 1):
+        up = up.withColumn(f"u{k}", _head(f"u{k - 1}", f"u{k}"))
+    verb = F.coalesce(*[F.when(F.col(f"u{k}.pos").isin("VERB", "AUX"), F.col(f"u{k}")) for k in range(1, CLIMB + 1)])
+    flat = up.select("doc_id", "sent_id", "s", "t.*", *[F.col(f"u1.{c}").alias(f"hd_{c}") for c in ("i", "l", "pos", "dep", "cas", "mood", "tense", "voice", "vf", "deg")],
+                     F.col("u2.i").alias("gh_i"), F.col("u2.l").alias("gh_l"), verb.alias("gov"))
+    flat = flat.select("*", F.col("gov.i").alias("gov_i"), F.col("gov.l").alias("gov_l"), F.col("gov.pos").alias("gov_pos")).drop("gov").alias("t")
+    flat = flat.select("*", *[_lookup(c, f).alias(n) for n, (c, f) in LOOKUPS.items()]).alias("t")
+    return flat.select("*", *[_lookup(c, f).alias(n) for n, (c, f) in LOOKUPS2.items()]).drop("s")

@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.refs import plain_ref
+from ..operators.constructions import catalogue, constructions, family_findings, nominal_absolutes, token_tags
 from ..operators.intervals import periods_and_gaps
+from ..operators.rules import FAMILIES
+from ..session import spread
+from ..sources.surrogate import annotate
+from . import grammar_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,9 +44,42 @@ UNION ALL SELECT source, work, ref, 'gap', (b + 1)::BIGINT, (nxt - 1)::BIGINT FR
 """
 
 
+def tokens_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in tokens of every loc row (see :mod:`surrogate`)."""
+    lines = table(spark, sf_dir, "loc").select("work_id", "loc_id", "text").where(F.col("text").isNotNull())
+    return annotate(spread(lines), "work_id", "loc_id", "text")
+
+
+def _family(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: family_findings(tokens_of(spark, sf_dir), [name])
+
+
+def constructions_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = constructions(tokens_of(spark, sf_dir))
+    return found.where("key <> 'ablative_absolute_nominal'").groupBy("key").agg(F.count("*").alias("n"))
+
+
+def construction_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_tags(family_findings(tokens_of(spark, sf_dir), ["core"]))
+
+
+def ablative_absolute_nominal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nominal_absolutes(tokens_of(spark, sf_dir))
+
+
+def construction_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue(spark)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found}
+    out = {"p3_found": p3_found}
+    out |= {f"findings_{name}": _family(name) for name in FAMILIES}
+    out |= {f.__name__: f for f in (constructions_counts, construction_tags, ablative_absolute_nominal, construction_catalogue)}
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL}
+    out = {"p3_found": P3_SQL}
+    out |= {f"findings_{name}": grammar_sql.findings_sql([name]) for name in FAMILIES}
+    out |= {"constructions_counts": grammar_sql.suppressed_sql(), "construction_tags": grammar_sql.tags_sql()}
+    return out
