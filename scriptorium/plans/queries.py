@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.refs import plain_ref
 from ..operators.constructions import catalogue, constructions, family_findings, nominal_absolutes, token_tags
+from ..operators.figures import GROUPS, anaphora, figures
 from ..operators.intervals import periods_and_gaps
 from ..operators.rules import FAMILIES
 from ..session import spread
@@ -71,10 +72,19 @@ def construction_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue(spark)
 
 
+def _figures(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: figures(tokens_of(spark, sf_dir), [name])
+
+
+def figures_anaphora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anaphora(tokens_of(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {"p3_found": p3_found}
     out |= {f"findings_{name}": _family(name) for name in FAMILIES}
-    out |= {f.__name__: f for f in (constructions_counts, construction_tags, ablative_absolute_nominal, construction_catalogue)}
+    out |= {f.__name__: f for f in (constructions_counts, construction_tags, ablative_absolute_nominal, construction_catalogue, figures_anaphora)}
+    out |= {f"figures_{name}": _figures(name) for name in GROUPS}
     return out
 
 
@@ -82,4 +92,5 @@ def oracle_sql() -> dict[str, str]:
     out = {"p3_found": P3_SQL}
     out |= {f"findings_{name}": grammar_sql.findings_sql([name]) for name in FAMILIES}
     out |= {"constructions_counts": grammar_sql.suppressed_sql(), "construction_tags": grammar_sql.tags_sql()}
+    out |= {f"figures_{name}": grammar_sql.figures_sql(name) for name in GROUPS if name != "alliteration"} | {"figures_anaphora": grammar_sql.anaphora_sql()}
     return out
