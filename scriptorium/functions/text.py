@@ -56,6 +56,10 @@ def shingles(word_array: Column, n: int = SHINGLE_WORDS) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+#: Every white space character.
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
 def strip_blanks(text: Column) -> Column:
     """The text without outer white space of any kind; null stays null."""
-    return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    return F.btrim(text, F.lit(BLANKS))
