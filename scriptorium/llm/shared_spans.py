@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 #: Words of the shortest shared stretch, and of a shingle of the table.
 LEAST_WORDS = 12
 SHINGLE_WORDS = 5
@@ -66,7 +68,7 @@ def shared_runs(shingle: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     """
     para = paragraphs(shingle, least_words)
     elsewhere = lambda df, *keys: df.groupBy(*keys).agg(F.min("work_id").alias("lo"), F.max("work_id").alias("hi")).where(F.col("lo") != F.col("hi")).select(*keys)
-    colliding = para.join(elsewhere(para, "band"), "band", "left_semi")
+    colliding = materialise(para.join(elsewhere(para, "band"), "band", "left_semi").drop("band"))
     verified = colliding.join(elsewhere(colliding, "seq_a", "seq_b"), ["seq_a", "seq_b"], "left_semi")
     runs = _runs(verified, least_words)
     return runs.select("work_id", F.col("a").cast("bigint").alias("tok_first"), F.col("b").cast("bigint").alias("tok_last"))
