@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 # Letters of other scripts that look like a Latin letter, each before its twin.
 LOOK_ALIKES = (
     # Greek
@@ -91,18 +93,20 @@ def composition_pairs() -> str:
     return "\x01".join(out)
 
 
-def _escaped(chars: str) -> str:
-    return "".join(f"\\x{{{ord(c):X}}}" for c in sorted(chars))
-
-
 @functools.cache
-def suspicious_pattern() -> str:
-    """Java pattern that every text has which is not yet in the consistent form."""
+def odd_pattern() -> str:
+    """Java pattern of the characters and marks that no text in the consistent form has, but for
+    marks without a composed form. The look-ahead lets plain ASCII pass at the cost of one test."""
     plain, rows = decompositions()
-    composed = unicodedata.normalize
-    odd = {c for c in plain} | {c for c, *_ in rows if composed("NFC", c) != c}
-    latin, other = r"\p{IsLatin}", f"[{OTHER_SCRIPTS}]"
-    return f"[{_ranges(odd)}{MARKS}]|{latin}[\\p{{L}}]*{other}|{other}[\\p{{L}}]*{latin}"
+    odd = set(plain) | {c for c, *_ in rows if unicodedata.normalize("NFC", c) != c}
+    return rf"(?=[^\x00-\x7F])[{MARKS}{_ranges(odd)}]"
+
+
+#: A letter of one script right beside one of another: every word of mixed scripts without marks and
+#: invisible characters has such a place.
+OTHERS = r"\u0370-\u03FF\u0400-\u058F\u1F00-\u1FFF"
+LATIN = r"A-Za-z\u00AA-\u024F\u1E00-\u1EFF"
+SEAM = f"[{LATIN}][{OTHERS}]|[{OTHERS}][{LATIN}]"
 
 
 def _ranges(chars: set[str]) -> str:
@@ -116,8 +120,11 @@ def _ranges(chars: set[str]) -> str:
 
 
 def suspicious(text: Column) -> Column:
-    """True where the text may hold a character that plainly typed text would not; null as false."""
-    return F.coalesce(text.rlike(suspicious_pattern()), F.lit(False))
+    """True where the text may hold a character that plainly typed text would not; null as false.
+
+    Texts of ASCII characters only are told by their length in bytes.
+    """
+    return F.coalesce((F.octet_length(text) != F.length(text)) & (text.rlike(odd_pattern()) | text.rlike(SEAM)), F.lit(False))
 
 
 def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -155,8 +162,9 @@ def canonical_map(texts: DataFrame, text: str) -> DataFrame:
     """``(text, canonical)`` for each different suspicious value of ``texts[text]``.
 
     Values that the tables cannot change, and null, have no row: they are their own form. Empty
-    text has none either. A value that occurs in many rows is treated once. Very long texts are
-    processed whole; what is gathered at once is one text.
+    text has none either. A value that occurs in many rows is treated once, and within it only the
+    words that may change are taken apart. Very long texts are processed whole; what is gathered at
+    once is one text.
     """
     spark = texts.sparkSession
     decomposition, look = _tables(spark)
@@ -164,8 +172,12 @@ def canonical_map(texts: DataFrame, text: str) -> DataFrame:
     values = texts.where(suspicious(col)).select(col.alias("text")).distinct()
     tokens = values.select("text", F.posexplode(F.regexp_extract_all("text", F.lit(f"({WORD}|[^\\p{{L}}\\p{{M}}\\p{{Cf}}]+)"), 1)).alias("t", "token"))
     tokens = tokens.withColumn("script", _target_script(F.regexp_replace("token", r"[\p{Cf}\p{M}]+", "")))
-    clusters = tokens.select("text", "t", "script", F.posexplode(F.regexp_extract_all("token", F.lit(rf"((?:[^\p{{M}}]|^\p{{M}}){MARKS}*)"), 1)).alias("c", "cluster"))
-    points = clusters.select("text", "t", "c", "script", F.posexplode(F.split("cluster", "")).alias("p", "ch"))
+    tokens = tokens.withColumn("apart", F.col("script").isNotNull() | F.col("token").rlike(odd_pattern()))
+    # invisible characters go first, so that a mark behind one meets its letter
+    seen = F.regexp_replace("token", f"[{_ranges({c for c, b in decompositions()[0].items() if not b})}]+", "")
+    parts = F.when(F.col("apart") & (seen != ""), F.regexp_extract_all(seen, F.lit(rf"((?:[^\p{{M}}]|^\p{{M}}){MARKS}*)"), 1)).otherwise(F.array(F.when(F.col("apart"), "").otherwise(F.col("token"))))
+    clusters = tokens.select("text", "t", "script", "apart", F.posexplode(parts).alias("c", "cluster"))
+    points = clusters.select("text", "t", "c", "script", F.posexplode(F.when(F.col("apart"), F.split("cluster", "")).otherwise(F.array("cluster"))).alias("p", "ch"))
     points = (
         points.join(F.broadcast(look), ["ch", "script"], "left")
         .withColumn("ch", F.coalesce("twin", "ch"))
@@ -190,22 +202,28 @@ def canonical_map(texts: DataFrame, text: str) -> DataFrame:
     return rebuilt.select("text", F.array_join(F.transform("xs", lambda x: x["s"]), "").alias("canonical"))
 
 
+def _mapped(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """(suspicious rows, written once; their values with the consistent form)."""
+    odd = materialise(df.where(suspicious(F.col(f"`{text}`"))))
+    mapped = canonical_map(odd, text).select(F.col("text").alias("__text"), F.col("canonical").alias("__canonical"))
+    return odd, mapped
+
+
 def changed_values(df: DataFrame, text: str) -> DataFrame:
     """The rows of ``df`` whose text differs from its consistent form, plus ``canonical``.
 
     Null, empty and already consistent texts give no row; repeated rows come out as often as they
     stand in ``df``; other columns are kept as they are.
     """
-    mapped = canonical_map(df, text).where(F.col("text") != F.col("canonical")).select(F.col("text").alias("__text"), F.col("canonical").alias("__canonical"))
-    kept = df.where(suspicious(F.col(f"`{text}`")))
-    return kept.join(mapped, kept[text] == F.col("__text")).drop("__text").withColumnRenamed("__canonical", "canonical")
+    odd, mapped = _mapped(df, text)
+    changed = mapped.where(F.col("__text") != F.col("__canonical"))
+    return odd.join(changed, odd[text] == F.col("__text")).drop("__text").withColumnRenamed("__canonical", "canonical")
 
 
 def consistent_values(df: DataFrame, text: str) -> DataFrame:
     """All rows of ``df`` plus ``canonical``: the consistent form of the text, null for null."""
-    mapped = canonical_map(df, text).select(F.col("text").alias("__text"), F.col("canonical").alias("__canonical"))
-    odd = df.where(suspicious(F.col(f"`{text}`")))
-    done = odd.join(mapped, odd[text] == F.col("__text"), "left").select(*df.columns, F.coalesce("__canonical", F.col(f"`{text}`")).alias("canonical"))
+    odd, mapped = _mapped(df, text)
+    done = odd.join(mapped, odd[text] == F.col("__text"), "left").select(*[odd[c] for c in df.columns], F.coalesce("__canonical", odd[text]).alias("canonical"))
     return df.where(~suspicious(F.col(f"`{text}`"))).withColumn("canonical", F.col(f"`{text}`")).unionByName(done)
 
 
