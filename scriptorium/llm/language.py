@@ -23,8 +23,8 @@ from .visual import plain_text
 
 LANGUAGES = ("la", "en", "de", "fr", "it", "grc")
 #: Bound of the training sample: notes per language, and landmarks per language among their sentences.
-TRAINING_NOTES = 400
-LANDMARKS = 60
+TRAINING_NOTES = 150
+LANDMARKS = 40
 RIDGE = 0.05
 #: n-grams are hashed to this many buckets.
 BUCKET_BITS = 18
@@ -62,6 +62,7 @@ _HEAD = re.compile(r"^\s*[^\s.:!?]+(?:\s+[^\s.:!?]+){0,3}\s*:\s+")
 _REFERENCE = re.compile(r"\b[A-Z]{2,}\.?\s*\d+|\d+(?:[.,]\d+)*")
 _SENTENCE = re.compile(r"(?<=[.!?;·])[\"')\]]*\s+|\n+")
 _SEE = re.compile(r"\b(?:[Cc]fr?|[Vv]gl|[Cc]onf)\.\s+[^.!?\n]*[.!?]?")
+_NO_LETTER = re.compile(r"[\W\d_]+")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -83,7 +84,7 @@ def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     by row, and how many different ones each text has."""
     if not texts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    padded = [f" {' '.join(re.findall(r'[^\W\d_]+', t.lower()))} " for t in texts]
+    padded = [f" {_NO_LETTER.sub(' ', t.lower()).strip()} " for t in texts]
     lengths = np.fromiter(map(len, padded), np.int64, len(padded))
     codes = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.uint64)
     row = np.repeat(np.arange(len(padded), dtype=np.int64), lengths)
