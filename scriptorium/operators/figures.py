@@ -108,4 +108,4 @@ def anaphora(tokens: DataFrame) -> DataFrame:
 def hyperbaton_tokens(tokens: DataFrame) -> DataFrame:
     """``(doc_id, sent_id, i)`` of every token in a hyperbaton, for suppressing anomalies there."""
     h = figures(tokens, ["order"]).where("key = 'hyperbaton'")
-    return h.select("doc_id", "sent_id", F.explode(F.split("tokens", ",")).cast("int").alias("i")).distinct()
+    return h.select("doc_id", "sent_id", F.explode(F.split("tokens", ",").cast("array<int>")).alias("i")).distinct()

@@ -29,7 +29,8 @@ def language_scores(texts: DataFrame, key: str, text: str) -> DataFrame:
     of all hits, ``competitor`` the strongest other language if its share is more than 0.3. Both are
     null for texts of fewer than five words; texts without a hit have latin 0."""
     w = words(F.col(text))
-    hits = {k: F.size(F.filter("w", lambda x, v=v: x.isin(*v))) for k, v in FUNCTION_WORDS.items()}
+    count = lambda listed: F.size(F.filter("w", lambda x: x.isin(*listed)))
+    hits = {k: count(v) for k, v in FUNCTION_WORDS.items()}
     t = texts.select(F.col(key), w.alias("w")).select(key, F.size("w").alias("n_words"), *[h.alias(k) for k, h in hits.items()])
     total = sum((F.col(k) for k in FUNCTION_WORDS), F.lit(0))
     others = F.array_sort(F.array(*[F.struct((-F.col(k)).alias("n"), F.lit(k).alias("k")) for k in FUNCTION_WORDS if k != "la"]))
