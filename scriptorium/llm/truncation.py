@@ -22,8 +22,8 @@ from ..session import materialise
 CUT_MARK = r"(?:[\s\p{Z}]*(?:[\[(][\s\p{Z}]*(?:…|\.\.\.+)[\s\p{Z}]*[\])]|…|\.\.\.+|�+))+[\s\p{Z}]*$"
 #: Ornaments and note numbers after a whole text.
 TAIL = r"(?:[\s\p{Z}\p{So}\p{Sk}\x{FE0F}]|\[[0-9]+\])+$"
-#: A text that ends like this is closed.
-CLOSED = r"[.?!;·;][\"'»“”’)\]]*$"
+#: A text is closed if it ends in one of the signs, closers aside.
+CLOSERS, SIGNS = "\"'»“”’)]", ".?!;·;"
 #: A length is a field limit if at least LIMIT_ROWS texts have it and LIMIT_RATIO times as many as
 #: the lengths within LIMIT_REACH around it have on average.
 LIMIT_ROWS, LIMIT_RATIO, LIMIT_REACH = 8, 6, 12
@@ -31,10 +31,27 @@ LIMIT_ROWS, LIMIT_RATIO, LIMIT_REACH = 8, 6, 12
 USUAL_CLOSING = 0.02
 
 
+def _closed(text: Column) -> Column:
+    return F.right(F.rtrim(text, F.lit(CLOSERS)), F.lit(1)).isin(*SIGNS)
+
+
+def _may_be_marked(stripped: Column) -> Column:
+    """Cheap test on the last signs, so that the pattern runs on few texts."""
+    return stripped.endswith("…") | stripped.endswith("...") | stripped.endswith("�") | stripped.endswith("]") | stripped.endswith(")")
+
+
 def _body(text: Column) -> Column:
-    """The text without cut mark, tail and outer blanks, with line ends and blanks made alike."""
-    t = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), CUT_MARK, "")
-    return strip_blanks(F.regexp_replace(t, TAIL, ""))
+    """The text without cut mark, tail and outer blanks, with line ends made alike."""
+    def unmarked(t: Column) -> Column:
+        return F.when(_may_be_marked(t), strip_blanks(F.regexp_replace(t, CUT_MARK, ""))).otherwise(t)
+
+    def bare(t: Column) -> Column:
+        last = F.right(t, F.lit(1))
+        return F.when((last == "]") | (last > "\x7f"), strip_blanks(F.regexp_replace(t, TAIL, ""))).otherwise(t)
+
+    # a one-element array binds each step's value, so that none is computed twice
+    one = F.array(strip_blanks(F.replace(text, F.lit("\r\n"), F.lit("\n"))))
+    return F.get(F.transform(F.transform(one, unmarked), bare), F.lit(0))
 
 
 def _prefix_pass(batches: Iterator, columns: tuple[str, ...] = ("value",)) -> Iterator:
@@ -47,6 +64,8 @@ def _prefix_pass(batches: Iterator, columns: tuple[str, ...] = ("value",)) -> It
     for batch in batches:
         hits, after = [], []
         for v in batch.column(0).to_pylist():
+            if not v:
+                continue
             if first is None:
                 first = v
             elif v.startswith(last):
@@ -66,7 +85,7 @@ def strict_prefixes(values: DataFrame, value: str) -> DataFrame:
     Copies fold before the sort, and a partition is read as a stream, so neither hot values nor
     common beginnings gather in memory. Null and empty values are left out.
     """
-    v = values.select(F.col(f"`{value}`").alias("value")).where(F.col("value") != "").distinct()
+    v = values.select(F.col(f"`{value}`").alias("value")).distinct()
     parts = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = v.repartitionByRange(parts, "value").sortWithinPartitions("value")
     seen = materialise(ordered.mapInArrow(_prefix_pass, "what string, pid int, value string, after string"))
@@ -95,7 +114,7 @@ def _form(kind: Column, body: Column) -> Column:
     ``unknown`` if the shape leaves prose and letter open."""
     lines = F.split(body, "\n+")
     listed = F.size(F.filter(lines, lambda x: x.rlike(r"^[^:]{1,60}: \S")))
-    closed = F.size(F.filter(lines, lambda x: x.rlike(CLOSED)))
+    closed = F.size(F.filter(lines, _closed))
     shape = F.when((F.size(lines) >= 2) & (listed * 3 >= F.size(lines) * 2), "list").when((F.size(lines) >= 3) & (closed * 4 <= F.size(lines)), "verse").otherwise("prose")
     return F.when(kind == "glossary", "list").when(kind == "verse", "verse").when(kind == "letter", "letter").when(kind.isNotNull() | (shape != "prose"), F.when(kind.isNotNull(), "prose").otherwise(shape)).otherwise("unknown")
 
@@ -110,17 +129,17 @@ def truncations(documents: DataFrame) -> DataFrame:
     columns change nothing; an empty table gives an empty result.
     """
     body = _body(F.col("text"))
-    rows = documents.where(F.col("text").isNotNull() & F.col("text").rlike(r"[^\s\p{Z}]")).select(
-        "doc_id", "source", "kind", F.col("text").rlike(CUT_MARK).alias("marked"), body.alias("body"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes")
+    stripped = strip_blanks(F.col("text"))
+    rows = documents.where(stripped != "").select(
+        "doc_id", "source", "kind", (_may_be_marked(stripped) & stripped.rlike(CUT_MARK)).alias("marked"), body.alias("body"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes")
     )
     lines = F.split("body", "\n+")
     lengths = F.transform(F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0))), F.length)
     judged = rows.select(
         "doc_id", "source", "marked", "chars", "bytes", _form(F.col("kind"), F.col("body")).alias("form"),
-        (~F.col("body").rlike(CLOSED)).alias("open"), F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"),
+        (~_closed(F.col("body"))).alias("open"), F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"),
         F.left(F.element_at(lines, -1), F.lit(40)).alias("line"), (F.size(lines) >= 2).alias("several"),
         F.length(F.element_at(lines, -1)).alias("last_len"), F.array_min(lengths).alias("least_len"),
-        (F.col("body").rlike(r"[\p{L}\p{N},]$")).alias("in_text"),
     )
     judged = materialise(judged)
     # 1. strict prefixes of longer texts
