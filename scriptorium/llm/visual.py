@@ -158,8 +158,14 @@ def _target_script(token: Column) -> Column:
     return F.when(mixed, out)
 
 
+def _key(text: Column) -> list[Column]:
+    """A 128-bit key of a text. Rows of single characters carry it instead of the text, which would
+    make the work on a text grow as the square of its length."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
 def canonical_map(texts: DataFrame, text: str) -> DataFrame:
-    """``(text, canonical)`` for each different suspicious value of ``texts[text]``.
+    """``(k1, k2, canonical)`` for each different suspicious value of ``texts[text]``, by its key.
 
     Values that the tables cannot change, and null, have no row: they are their own form. Empty
     text has none either. A value that occurs in many rows is treated once, and within it only the
@@ -169,23 +175,23 @@ def canonical_map(texts: DataFrame, text: str) -> DataFrame:
     spark = texts.sparkSession
     decomposition, look = _tables(spark)
     col = F.col(f"`{text}`")
-    values = texts.where(suspicious(col)).select(col.alias("text")).distinct()
-    tokens = values.select("text", F.posexplode(F.regexp_extract_all("text", F.lit(f"({WORD}|[^\\p{{L}}\\p{{M}}\\p{{Cf}}]+)"), 1)).alias("t", "token"))
+    values = texts.where(suspicious(col)).select(*_key(col), col.alias("text")).distinct()
+    tokens = values.select("k1", "k2", F.posexplode(F.regexp_extract_all("text", F.lit(f"({WORD}|[^\\p{{L}}\\p{{M}}\\p{{Cf}}]+)"), 1)).alias("t", "token"))
     tokens = tokens.withColumn("script", _target_script(F.regexp_replace("token", r"[\p{Cf}\p{M}]+", "")))
     tokens = tokens.withColumn("apart", F.col("script").isNotNull() | F.col("token").rlike(odd_pattern()))
     # invisible characters go first, so that a mark behind one meets its letter
     seen = F.regexp_replace("token", f"[{_ranges({c for c, b in decompositions()[0].items() if not b})}]+", "")
     parts = F.when(F.col("apart") & (seen != ""), F.regexp_extract_all(seen, F.lit(rf"((?:[^\p{{M}}]|^\p{{M}}){MARKS}*)"), 1)).otherwise(F.array(F.when(F.col("apart"), "").otherwise(F.col("token"))))
-    clusters = tokens.select("text", "t", "script", "apart", F.posexplode(parts).alias("c", "cluster"))
-    points = clusters.select("text", "t", "c", "script", F.posexplode(F.when(F.col("apart"), F.split("cluster", "")).otherwise(F.array("cluster"))).alias("p", "ch"))
+    clusters = tokens.select("k1", "k2", "t", "script", "apart", F.posexplode(parts).alias("c", "cluster"))
+    points = clusters.select("k1", "k2", "t", "c", "script", F.posexplode(F.when(F.col("apart"), F.split("cluster", "")).otherwise(F.array("cluster"))).alias("p", "ch"))
     points = (
         points.join(F.broadcast(look), ["ch", "script"], "left")
         .withColumn("ch", F.coalesce("twin", "ch"))
         .join(F.broadcast(decomposition), "ch", "left")
-        .select("text", "t", "c", "p", F.explode(F.coalesce("pieces", F.array(F.struct(F.lit(0).alias("k"), F.col("ch").alias("piece"), F.lit(0).alias("ccc"))))).alias("x"))
-        .select("text", "t", "c", F.struct((F.col("x.ccc") > 0).alias("mark"), F.col("x.ccc").alias("ccc"), "p", F.col("x.k").alias("k"), F.col("x.piece").alias("piece")).alias("x"))
+        .select("k1", "k2", "t", "c", "p", F.explode(F.coalesce("pieces", F.array(F.struct(F.lit(0).alias("k"), F.col("ch").alias("piece"), F.lit(0).alias("ccc"))))).alias("x"))
+        .select("k1", "k2", "t", "c", F.struct((F.col("x.ccc") > 0).alias("mark"), F.col("x.ccc").alias("ccc"), "p", F.col("x.k").alias("k"), F.col("x.piece").alias("piece")).alias("x"))
     )
-    cluster = points.groupBy("text", "t", "c").agg(F.array_sort(F.collect_list("x")).alias("xs")).withColumn("pairs", F.expr(f"str_to_map('{composition_pairs()}', '\x01', '\x02')"))
+    cluster = points.groupBy("k1", "k2", "t", "c").agg(F.array_sort(F.collect_list("x")).alias("xs")).withColumn("pairs", F.expr(f"str_to_map('{composition_pairs()}', '\x01', '\x02')"))
     marks = F.filter("xs", lambda x: x["mark"])
     starters = F.array_join(F.transform(F.filter("xs", lambda x: ~x["mark"]), lambda x: x["piece"]), "")
     start = F.struct(starters.alias("head"), F.lit("").alias("rest"), F.lit(0).alias("last"))
@@ -198,14 +204,15 @@ def canonical_map(texts: DataFrame, text: str) -> DataFrame:
         ).otherwise(F.struct(a["head"].alias("head"), F.concat(a["rest"], m["piece"]).alias("rest"), m["ccc"].alias("last")))
 
     composed = F.when(F.size(marks) == 0, starters).otherwise(F.aggregate(marks, start, step, lambda a: F.concat(a["head"], a["rest"])))
-    rebuilt = cluster.select("text", F.struct("t", "c", composed.alias("s")).alias("x")).groupBy("text").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return rebuilt.select("text", F.array_join(F.transform("xs", lambda x: x["s"]), "").alias("canonical"))
+    rebuilt = cluster.select("k1", "k2", F.struct("t", "c", composed.alias("s")).alias("x")).groupBy("k1", "k2").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return rebuilt.select("k1", "k2", F.array_join(F.transform("xs", lambda x: x["s"]), "").alias("canonical"))
 
 
 def _mapped(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """(suspicious rows, written once; their values with the consistent form)."""
-    odd = materialise(df.where(suspicious(F.col(f"`{text}`"))))
-    mapped = canonical_map(odd, text).select(F.col("text").alias("__text"), F.col("canonical").alias("__canonical"))
+    """(suspicious rows with their keys, written once; the consistent form of each key)."""
+    k1, k2 = _key(F.col(f"`{text}`"))
+    odd = materialise(df.where(suspicious(F.col(f"`{text}`"))).withColumns({"__k1": k1, "__k2": k2}))
+    mapped = canonical_map(odd, text).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("canonical").alias("__canonical"))
     return odd, mapped
 
 
@@ -216,14 +223,14 @@ def changed_values(df: DataFrame, text: str) -> DataFrame:
     stand in ``df``; other columns are kept as they are.
     """
     odd, mapped = _mapped(df, text)
-    changed = mapped.where(F.col("__text") != F.col("__canonical"))
-    return odd.join(changed, odd[text] == F.col("__text")).drop("__text").withColumnRenamed("__canonical", "canonical")
+    both = odd.join(mapped, ["__k1", "__k2"]).where(F.col(f"`{text}`") != F.col("__canonical"))
+    return both.select(*df.columns, F.col("__canonical").alias("canonical"))
 
 
 def consistent_values(df: DataFrame, text: str) -> DataFrame:
     """All rows of ``df`` plus ``canonical``: the consistent form of the text, null for null."""
     odd, mapped = _mapped(df, text)
-    done = odd.join(mapped, odd[text] == F.col("__text"), "left").select(*[odd[c] for c in df.columns], F.coalesce("__canonical", odd[text]).alias("canonical"))
+    done = odd.join(mapped, ["__k1", "__k2"], "left").select(*df.columns, F.coalesce("__canonical", F.col(f"`{text}`")).alias("canonical"))
     return df.where(~suspicious(F.col(f"`{text}`"))).withColumn("canonical", F.col(f"`{text}`")).unionByName(done)
 
 
