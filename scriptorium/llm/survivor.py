@@ -56,7 +56,8 @@ def places(loc: DataFrame, works: DataFrame, sources: DataFrame) -> DataFrame:
     trust = sources.groupBy("source").agg(F.max("trust").alias("trust"))
     w = works.groupBy("id").agg(F.min(F.struct("key", "source")).alias("w")).select(F.col("id").alias("work_id"), work_identity(F.col("w.key")).alias("identity"), F.col("w.source").alias("source"))
     w = w.join(trust, "source", "left")
-    rows = loc.join(w, "work_id").select(
+    needed = loc.select("loc_id", "work_id", "ref", "leaf", "text", "loaded_at")
+    rows = needed.join(w, "work_id").select(
         "loc_id", "identity", "source", "trust", "loaded_at", ref_parts(F.col("ref")).alias("parts"), F.col("leaf").cast("string").alias("leaf"), ref_style(F.col("ref"), F.col("leaf")).alias("style"), F.coalesce(F.length(strip_blanks(F.col("text"))), F.lit(0)).alias("length")
     )
     depth = (
