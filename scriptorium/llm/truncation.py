@@ -125,7 +125,7 @@ def truncations(documents: DataFrame) -> DataFrame:
     ``evidence`` is one of ``mark`` (open before a cut mark), ``prefix`` (open, and continued in
     another text), ``closing`` (ends in the beginning of a usual closing line), ``open`` (prose
     without closing sign) and ``limit`` (verse or list at a field limit of its source, within a
-    line). Null, empty and blank texts are no case; repeated rows each come out; ties and extra
+    line; a whole poem of exactly that length cannot be told apart and counts too). Null, empty and blank texts are no case; repeated rows each come out; ties and extra
     columns change nothing; an empty table gives an empty result.
     """
     body = _body(F.col("text"))
@@ -147,9 +147,13 @@ def truncations(documents: DataFrame) -> DataFrame:
     # 2. usual closing lines of letters, and their strict beginnings
     bare = F.regexp_replace("line", r"[.?!]+$", "")
     letters = judged.where((F.col("form") == "letter") & F.col("several")).select(bare.alias("closing"))
-    usual = letters.groupBy("closing").count().withColumn("all", F.sum("count").over(Window.partitionBy())).where((F.col("count") >= F.col("all") * USUAL_CLOSING) & (F.length("closing") <= 24)).select("closing")
-    begun = usual.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("closing") - 1, F.lit(1))), lambda i: F.regexp_replace(F.rtrim(F.left(F.col("closing"), i)), r"[.?!]+$", ""))).alias("bare")).distinct()
-    begun = begun.join(usual, F.col("bare") == F.col("closing"), "left_anti").withColumn("begun", F.lit(True))
+    often = letters.groupBy("closing").count().withColumn("all", F.sum("count").over(Window.partitionBy())).where((F.col("count") >= F.col("all") * USUAL_CLOSING) & (F.length("closing") <= 24)).select("closing", "count")
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length("closing") - 1, F.lit(1))), lambda i: F.regexp_replace(F.rtrim(F.left(F.col("closing"), i)), r"[.?!]+$", ""))
+    begin = often.select("closing", "count", F.explode(cut).alias("bare")).where(F.col("bare") != F.col("closing"))
+    begin = begin.groupBy("bare").agg(F.max("count").alias("longer"))
+    # a line that is the beginning of a more frequent one is no usual closing itself
+    usual = often.join(begin, F.col("closing") == F.col("bare"), "left").where(F.coalesce("longer", F.lit(0)) < F.col("count")).select("closing")
+    begun = begin.join(usual, F.col("bare") == F.col("closing"), "left_anti").select("bare", F.lit(True).alias("begun"))
     closings = usual.select(F.col("closing").alias("bare"), F.lit(True).alias("usual"))
     # at most 1 / USUAL_CLOSING closings of 24 characters exist, so both tables have a bound
     limits = field_limits(judged).withColumn("limit", F.lit(True))
