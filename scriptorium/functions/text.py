@@ -50,10 +50,11 @@ def words(text: Column) -> Column:
 
 def shingles(word_array: Column, n: int = SHINGLE_WORDS) -> Column:
     """All runs of ``n`` consecutive words, each joined by blanks; fewer than n words give none."""
-    return F.when(
-        F.size(word_array) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(word_array) - (n - 1)), lambda i: F.array_join(F.slice(word_array, i, n), " ")),
+    # a one-element array binds the words, so that they are not made anew for each run
+    runs = lambda w: F.when(
+        F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
     ).otherwise(F.array().cast("array<string>"))
+    return F.get(F.transform(F.array(word_array), runs), F.lit(0))
 
 
 #: Every white space character.

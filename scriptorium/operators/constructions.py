@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -79,12 +79,14 @@ def constructions(tokens: DataFrame) -> DataFrame:
     anchor with a more special clause. No order: sort by confidence where one is shown. Null
     features never equal a value; sentences without tokens give nothing.
     """
-    found = family_findings(tokens, FAMILIES).unionByName(nominal_absolutes(tokens))
+    # the findings of a sentence lie together already, so the window needs no shuffle of its own
+    special = F.max(F.col("key").isin(*SPECIAL)).over(Window.partitionBy("doc_id", "sent_id", "anchor"))
+    found = family_findings(tokens, FAMILIES).withColumn("special", special)
+    found = found.where(~(F.col("special") & F.col("key").isin("purpose_clause", "result_clause"))).drop("special")
+    found = found.unionByName(nominal_absolutes(tokens))
     for fn in DETECTORS.values():
         found = found.unionByName(fn(tokens))
-    special = found.where(F.col("key").isin(*SPECIAL)).select("doc_id", "sent_id", "anchor").distinct()
-    general = F.col("key").isin("purpose_clause", "result_clause")
-    return found.where(~general).unionByName(found.where(general).join(special, ["doc_id", "sent_id", "anchor"], "left_anti").select(found.columns))
+    return found
 
 
 def token_tags(findings: DataFrame) -> DataFrame:

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import forms
 from ..functions.refs import plain_ref
 from ..functions.text import base_letter_table, shingles, words
-from ..operators import gate, retrieval, scansion
+from ..operators import gate, readings, retrieval, scansion
+from ..operators.constructions import family_findings
 from ..session import spread
 from ..sources.surrogate import annotate, annotation_sql
 from .assemble import admitted, analyse, confidence_label, ranked_readings, to_documents
-from .grammar_sql import KEY
+from .grammar_sql import KEY, family_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +34,7 @@ def text_normalise(spark, sf_dir):
 
 
 def text_shingles(spark, sf_dir):
-    s = table(spark, sf_dir, "loc").select("loc_id", F.posexplode(shingles(words(F.col("text")))).alias("i", "shingle"))
+    s = spread(table(spark, sf_dir, "loc").select("loc_id", "text")).select("loc_id", F.posexplode(shingles(words(F.col("text")))).alias("i", "shingle"))
     return s.select("loc_id", F.col("i").cast("bigint").alias("i"), "shingle")
 
 
@@ -163,6 +164,48 @@ def requests_admitted(spark, sf_dir):
     return ok.select("doc_id", F.lit("accepted").alias("state")).union(no.select("doc_id", "reason"))
 
 
+def readings_uncertain(spark, sf_dir):
+    return readings.uncertain(readings_ranked(spark, sf_dir).drop("confidence")).select("vec_id", "label", "probability")
+
+
+def findings_at_token(spark, sf_dir):
+    """The findings at the first token of each sentence."""
+    found = family_findings(_tokens(spark, sf_dir), ["core"])
+    first = table(spark, sf_dir, "loc").select(F.col("work_id").alias("doc_id"), F.col("loc_id").alias("sent_id"), F.lit(0).alias("i"))
+    return readings.findings_at(found, first).select("doc_id", "sent_id", "key", "anchor", "tokens", F.col("rank").cast("bigint").alias("rank"))
+
+
+def sentence_spans(spark, sf_dir):
+    return readings.sentence_spans(_tokens(spark, sf_dir))
+
+
+def notes_by_line(spark, sf_dir):
+    return readings.notes_by_line(retrieval.notes_for(_places(spark, sf_dir), _plain_notes(spark, sf_dir))).withColumn("line", F.col("line").cast("bigint"))
+
+
+def foot_groups(spark, sf_dir):
+    """Syllables of events: users as lines, every seventh without a foot."""
+    e = table(spark, sf_dir, "events")
+    s = e.select(F.col("user_id").alias("line_id"), F.col("event_id").alias("k"), F.when(F.pmod("event_id", F.lit(7)) > 0, F.floor(F.col("event_id") / 500)).alias("foot"))
+    return readings.foot_groups(s).withColumn("n", F.col("n").cast("bigint"))
+
+
+def dictionary_entries(spark, sf_dir):
+    """Entries made of parts: the type's first letters stand for the codes."""
+    p = table(spark, sf_dir, "part")
+    code = lambda c, n, names: F.element_at(F.array(*[F.lit(x) for x in names]), (F.pmod(F.col(c), F.lit(len(names))) + 1).cast("int"))  # noqa: E731, ARG005
+    e = p.select(F.pmod("p_partkey", F.lit(97)).alias("token"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("headword"), code("p_size", 0, ["N", "ADJ", "V", "ADV"]).alias("pos"), code("p_size", 1, ["1", "2", "3", "4", "5", "9"]).alias("decl"),
+                 code("p_partkey", 2, ["M", "F", "N", "X"]).alias("gender"), code("p_partkey", 3, list("ABCDEFIN")).alias("freq"), code("p_size", 4, list("ABCDEFGHX")).alias("age"))
+    return readings.lexicon_entries(e, "token", "seq")
+
+
+def parses_distinct(spark, sf_dir):
+    """Parses made of line items, twelve at most of each order and part of the day."""
+    li = table(spark, sf_dir, "lineitem")
+    p = li.select(F.col("l_suppkey").alias("token"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_returnflag").alias("lemma"), F.when(F.col("l_linenumber") < 4, "ABL").when(F.col("l_linenumber") < 6, "gen").alias("case"), F.when(F.col("l_linestatus") == "F", "S").otherwise("P").alias("number"), F.lit("N").alias("pos"))
+    return readings.distinct_parses(p, "token", "seq")
+
+
 def analysis_documents(spark, sf_dir):
     return to_documents(analyse(_tokens(spark, sf_dir)))
 
@@ -189,6 +232,10 @@ def _plain(column: str) -> str:
     return PLAIN_REF_SQL.format(ref=column)
 
 
+def _map(column: str, names: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
+
+
 def oracle_sql() -> dict[str, str]:
     lines = "l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL)"
     fnv = """list_reduce(list_prepend(1469598103934665603::UHUGEINT, list_transform(string_split(array_to_string(list_slice(ws, k, k + 4), ' ') || ' ', ''), lambda c: ascii(c)::UHUGEINT)),
@@ -270,6 +317,27 @@ def oracle_sql() -> dict[str, str]:
         "readings_ranked": """WITH e AS (SELECT vec_id, (unnest(range(len(embedding))))::VARCHAR AS label, unnest(embedding)::DOUBLE * 10 AS s FROM embeddings),
           x AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id)) AS e FROM e), p AS (SELECT vec_id, label, CAST(round_even(e / sum(e) OVER (PARTITION BY vec_id), 4) AS DOUBLE) AS probability, row_number() OVER (PARTITION BY vec_id ORDER BY e DESC, label) AS rank FROM x)
           SELECT vec_id, label, probability, rank, CASE WHEN probability >= 0.85 THEN 'high' WHEN probability >= 0.7 THEN 'moderate' ELSE 'tentative' END AS confidence FROM p WHERE rank <= 5 AND probability >= 0.01""",
+        "readings_uncertain": """WITH e AS (SELECT vec_id, (unnest(range(len(embedding))))::VARCHAR AS label, unnest(embedding)::DOUBLE * 10 AS s FROM embeddings),
+          x AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id)) AS e FROM e), p AS (SELECT vec_id, label, CAST(round_even(e / sum(e) OVER (PARTITION BY vec_id), 4) AS DOUBLE) AS probability, row_number() OVER (PARTITION BY vec_id ORDER BY e DESC, label) AS rank FROM x)
+          SELECT vec_id, label, probability FROM p WHERE rank = 1 AND probability < 0.9 AND probability >= 0.01""",
+        "findings_at_token": family_sql(["core"]) + """SELECT doc_id, sent_id, key, anchor, tokens, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY confidence DESC, key, anchor, tokens) AS rank FROM found WHERE list_contains(string_split(tokens, ','), '0')""",
+        "sentence_spans": f"WITH {annotation_sql()} SELECT doc_id, sent_id, min(i) AS first, max(i) AS last, count(*) AS n_tokens FROM flat0 GROUP BY doc_id, sent_id",
+        "notes_by_line": f"""WITH {place}, {notes}, h AS (SELECT p.work || '|' || p.ref AS request, p.line, n.*, row_number() OVER (PARTITION BY p.work, p.ref, p.line ORDER BY {order}) AS rank FROM p JOIN n ON {hit})
+          SELECT request, line::BIGINT AS line, string_agg(id, ',' ORDER BY rank) AS notes FROM h WHERE rank <= 12 GROUP BY request, line""",
+        "foot_groups": """WITH s AS (SELECT user_id AS line_id, event_id AS k, CASE WHEN event_id % 7 > 0 THEN event_id // 500 END AS foot FROM events),
+          c AS (SELECT *, last_value(foot IGNORE NULLS) OVER (PARTITION BY line_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS f FROM s),
+          g AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY k) - row_number() OVER (PARTITION BY line_id, f ORDER BY k) AS grp FROM c),
+          m AS (SELECT line_id, f, grp, min(k) AS k0, string_agg(k, ',' ORDER BY k) AS members FROM g GROUP BY ALL)
+          SELECT line_id, row_number() OVER (PARTITION BY line_id ORDER BY k0) AS n, f AS foot, members FROM m""",
+        "dictionary_entries": f"""WITH e AS (SELECT p_partkey % 97 AS token, p_partkey AS seq, p_name AS headword, (['N', 'ADJ', 'V', 'ADV'])[p_size % 4 + 1] AS pos, (['1', '2', '3', '4', '5', '9'])[p_size % 6 + 1] AS decl, (['M', 'F', 'N', 'X'])[p_partkey % 4 + 1] AS gender,
+            ('ABCDEFIN')[p_partkey % 8 + 1] AS freq, ('ABCDEFGHX')[p_size % 9 + 1] AS age FROM part),
+          k AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY seq, headword) AS k FROM e)
+          SELECT token, seq, headword, pos, CASE WHEN pos IN ('N', 'ADJ') THEN {_map('decl', readings.DECLENSION)} WHEN pos = 'V' THEN {_map('decl', readings.CONJUGATION)} END AS declension, {_map('gender', readings.GENDER)} AS gender,
+            {_map('freq', readings.FREQUENCY)} AS frequency, {_map('age', readings.AGE)} AS age FROM k WHERE k <= 4""",
+        "parses_distinct": """WITH p AS (SELECT l_suppkey AS token, l_orderkey * 10 + l_linenumber AS seq, l_returnflag AS lemma, CASE WHEN l_linenumber < 4 THEN 'ABL' WHEN l_linenumber < 6 THEN 'gen' END AS c, CASE WHEN l_linestatus = 'F' THEN 'S' ELSE 'P' END AS number FROM lineitem),
+          k AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY seq, lemma) AS k FROM p),
+          d AS (SELECT *, row_number() OVER (PARTITION BY token, lemma, c, number ORDER BY k) AS d FROM k WHERE k <= 12)
+          SELECT token, seq, lemma, 'N' AS pos, CASE c WHEN 'ABL' THEN 'ablative' WHEN 'gen' THEN 'genitive' END AS "case", CASE number WHEN 'S' THEN 'singular' ELSE 'plural' END AS number FROM d WHERE d = 1""",
         "requests_admitted": r"SELECT doc_id, CASE WHEN text IS NULL OR NOT regexp_matches(text, '[^\s\p{Z}]') THEN 'blank' WHEN length(text) > 20000 THEN 'too long' ELSE 'accepted' END AS state FROM documents",
     }
 
@@ -277,6 +345,7 @@ def oracle_sql() -> dict[str, str]:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_of = (
         text_normalise, text_shingles, index_offsets, index_shingles, passage_identify, locate_units, canonical_lines, notes_for, commentary_for, coverage, gate_assess, gate_unrecognised,
-        gate_anomalies, scansion_lines, scansion_shapes, enclitics, folds, morph_descriptions, readings_ranked, requests_admitted, analysis_documents,
+        gate_anomalies, scansion_lines, scansion_shapes, enclitics, folds, morph_descriptions, readings_ranked, requests_admitted, analysis_documents, readings_uncertain, findings_at_token, sentence_spans,
+        notes_by_line, foot_groups, dictionary_entries, parses_distinct,
     )
     return {f.__name__: f for f in all_of}

@@ -13,7 +13,7 @@ SKIPPED = ("index", "contents", "readme", "license")
 TITLE_LENGTH, STORED_LENGTH = 90, 400
 
 
-def read_library(spark: SparkSession, folder: str) -> DataFrame:
+def read_library(spark: SparkSession, folder: str, authors: list[str] | None = None, prefixes: dict[str, str] | None = None, names: dict[str, str] | None = None) -> DataFrame:
     """``(path, author, title, seq, ref, leaf, text)`` of every text file below ``folder``.
 
     Lines of more than two words are content, the first of them the heading. Where ``[ n ]`` marks
@@ -27,6 +27,15 @@ def read_library(spark: SparkSession, folder: str) -> DataFrame:
     f = f.where(~F.lower(name).isin(*SKIPPED))
     lines = F.transform(F.split("raw", r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"[\s\p{Z}]+", " ")))
     f = f.select("path", "raw", name.alias("name"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("author"), lines.alias("lines"))
+    by_prefix = F.lit(None).cast("string")
+    for prefix, author in (prefixes or {}).items():
+        by_prefix = F.when(F.startswith("name", F.lit(f"{prefix}.")), author).otherwise(by_prefix)
+    if authors is not None:
+        f = f.where(F.col("author").isin(*authors) | by_prefix.isNotNull())
+    shown = F.col("author")
+    for folder_name, display in (names or {}).items():
+        shown = F.when(F.col("author") == folder_name, display).otherwise(shown)
+    f = f.withColumn("author", F.coalesce(by_prefix, shown))
     title = F.filter(F.slice("lines", 1, 6), lambda x: (F.length(x) > 3) & ~x.rlike(r"^\d+$"))
     f = f.withColumn("title", F.left(F.coalesce(F.get(title, F.lit(0)), F.col("name")), F.lit(TITLE_LENGTH)))
     content = F.filter("lines", lambda x: F.size(F.split(x, " ")) > 2)
