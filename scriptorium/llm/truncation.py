@@ -115,7 +115,7 @@ def _form(kind: Column, body: Column) -> Column:
     lines = F.split(body, "\n+")
     listed = F.size(F.filter(lines, lambda x: x.rlike(r"^[^:]{1,60}: \S")))
     closed = F.size(F.filter(lines, _closed))
-    shape = F.when((F.size(lines) >= 2) & (listed * 3 >= F.size(lines) * 2), "list").when((F.size(lines) >= 3) & (closed * 4 <= F.size(lines)), "verse").otherwise("prose")
+    shape = F.when((F.size(lines) >= 2) & (listed * 3 >= F.size(lines) * 2), "list").when((F.size(lines) >= 2) & (closed * 4 <= F.size(lines)), "verse").otherwise("prose")
     return F.when(kind == "glossary", "list").when(kind == "verse", "verse").when(kind == "letter", "letter").when(kind.isNotNull() | (shape != "prose"), F.when(kind.isNotNull(), "prose").otherwise(shape)).otherwise("unknown")
 
 
