@@ -5,8 +5,9 @@ least ``share`` of the words of the longer one.
 
 Method: size-banded tiles with hashed bitmap signatures. Records of equal words are one class. Each
 class goes to tiles named by the rarest words it must share with any partner (a prefix under one
-global order of the words) and by size band; within a tile two 64-bit bitmaps bound the overlap
-from above, and only what passes meets the exact intersection of the sorted word arrays.
+global order of the words, its length set by the size band of possible partners); within a tile
+sizes and hashed bitmaps bound the overlap from above, and only pairs that pass meet the exact
+intersection of the sorted word arrays.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ SHARE = (3, 4)
 LEAST_WORDS = 5
 #: Buckets of the word-frequency table that orders words; fixed, so its size has a bound.
 FREQUENCY_BUCKETS = 1 << 16
+#: Longs of the bitmap of a record.
+BITMAP_WORDS = 4
 #: Records up to this many words go to tiles of two shared words, longer ones to tiles of one.
 PAIR_TILE_WORDS = 28
 
@@ -48,70 +51,69 @@ def word_classes(df: DataFrame, record: str, text: str) -> tuple[DataFrame, Data
     """
     bag = F.array_sort(words(plain_text(F.col(f"`{text}`"))))
     bags = df.select(F.col(f"`{record}`").alias("record"), bag.alias("words")).where(F.col("record").isNotNull() & (F.size("words") >= LEAST_WORDS))
-    bags = materialise(bags.distinct())
-    classes = materialise(bags.groupBy("words").agg(F.min("record").alias("class"), F.count("*").alias("size")))
-    members = bags.join(classes.select("words", "class"), "words").select("record", "class")
-    return members, classes
+    key = [F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2")]
+    bags = materialise(bags.select("record", "words", *key).distinct())
+    classes = materialise(bags.groupBy("words", "k1", "k2").agg(F.min("record").alias("class"), F.count("*").alias("size")))
+    members = bags.select("record", "k1", "k2").join(classes.select("k1", "k2", "class"), ["k1", "k2"]).select("record", "class")
+    return members, classes.select("class", "size", "words")
 
 
-def _tiles(classes: DataFrame) -> DataFrame:
-    """``(tile, band, class, n, tokens, low, high)``: a class in each of its tiles.
-
-    Tokens are 64-bit hashes of (word, how manieth in the record), rarest first. A pair with M words
-    in the longer record shares at least ceil(share * M) tokens, so among the first
-    n - ceil(share * M) + k tokens of each it shares k: the tiles are named by k of them, k being 2
-    up to PAIR_TILE_WORDS words (of the longer) and 1 beyond. A record near that border takes part
-    in both.
+def _signatures(classes: DataFrame) -> DataFrame:
+    """``(class, n, tokens, b0..b3)``: tokens are 64-bit hashes of (word, how manieth in the record),
+    rarest first under one global order; the b's are a bitmap of BITMAP_WORDS * 64 bits, one bit a token.
     """
-    n = F.col("n")
     nth = F.transform("words", lambda w, i: F.struct(w.alias("w"), (i - F.array_position("words", w)).alias("k")))
     t = classes.withColumn("freq", _frequencies(classes)).select("class", F.size("words").alias("n"), "freq", nth.alias("nth"))
     keyed = F.transform("nth", lambda x: F.struct(F.element_at("freq", (F.pmod(F.xxhash64(x["w"]), F.lit(FREQUENCY_BUCKETS)) + 1).cast("int")).alias("f"), F.xxhash64(x["w"], x["k"]).alias("h")))
     t = t.select("class", "n", F.transform(F.array_sort(keyed), lambda x: x["h"]).alias("tokens"))
-    bits = lambda seed: F.expr(f"aggregate(tokens, 0L, (a, h) -> a | shiftleft(1L, CAST(shiftrightunsigned(h, {seed}) & 63 AS INT)))")
-    t = t.withColumn("low", bits(7)).withColumn("high", bits(29))
-    pair_prefix = F.least(n, n - _needed(n) + 2)
+    bits = [F.expr(f"aggregate(filter(tokens, h -> shiftrightunsigned(h, 20) % {BITMAP_WORDS} = {j}), 0L, (a, h) -> a | shiftleft(1L, CAST(shiftrightunsigned(h, 29) & 63 AS INT)))").alias(f"b{j}") for j in range(BITMAP_WORDS)]
+    return t.select("class", "n", "tokens", *bits)
+
+
+def _tiles(signatures: DataFrame) -> DataFrame:
+    """``(tile, class, n, b0..)``: a class in each of its tiles.
+
+    A pair with M words in the longer record shares at least ceil(share * M) tokens, so among the
+    first n - ceil(share * M) + k tokens of each it shares k: the tiles are named by k of them and by
+    size range, k being 2 up to PAIR_TILE_WORDS words (of the longer) and 1 beyond. A record near
+    that border takes part in both. Tokens stay behind; only the bitmap travels.
+    """
+    n = F.col("n")
     # as the longer record n decides; as the shorter the longer has up to n * 4/3 words
     in_pairs = n <= PAIR_TILE_WORDS
     in_single = F.floor(n * SHARE[1] / SHARE[0]) > PAIR_TILE_WORDS
-    head = F.slice("tokens", F.lit(1), pair_prefix)
-    pairs = F.flatten(F.transform(head, lambda a, i: F.transform(F.slice(head, i + 2, F.greatest(F.size(head) - i - 1, F.lit(0))), lambda b: F.xxhash64(a, b))))
+    head = F.slice("tokens", F.lit(1), F.least(n, n - _needed(n) + 2))
+    pairs = lambda h: F.flatten(F.transform(h, lambda a, i: F.transform(F.slice(h, i + 2, F.greatest(F.size(h) - i - 1, F.lit(0))), lambda b: F.xxhash64(a, b))))
     # a record that can only be the shorter of a single-tile pair has a longer partner of > PAIR_TILE_WORDS words
     longer = F.greatest(n, F.lit(PAIR_TILE_WORDS + 1))
     singles = F.transform(F.slice("tokens", F.lit(1), F.least(n, n - _needed(longer) + 1)), lambda a: F.xxhash64(a))
     none = F.array().cast("array<bigint>")
-    tiles = F.concat(F.when(in_pairs, pairs).otherwise(none), F.when(in_single, singles).otherwise(none))
-    band = F.floor(F.log(n.cast("double")) / F.log(F.lit(SHARE[1] / SHARE[0]))).cast("int")
-    return t.withColumn("band", band).select("class", "n", "tokens", "low", "high", "band", F.explode(F.array_distinct(tiles)).alias("tile"))
+    tiles = F.concat(F.when(in_pairs, F.get(F.transform(F.array(head), pairs), F.lit(0))).otherwise(none), F.when(in_single, singles).otherwise(none))
+    return signatures.select("class", "n", *[f"b{j}" for j in range(BITMAP_WORDS)], F.explode(F.array_distinct(tiles)).alias("tile"))
 
 
 def class_links(classes: DataFrame) -> DataFrame:
     """``(class_a, class_b, overlap)`` for each pair of linked classes, the smaller id first.
 
-    No link is lost: the tiles are complete, the bitmaps bound from above and the last test is
-    exact. Tiles are joined, not gathered, so a tile of common words streams through the join and
-    is split by the adaptive skew join.
+    No link is lost: the tiles are complete, the bitmaps bound from above and the last test is exact
+    on the sorted token arrays. Tiles are joined, not gathered, so a tile of common words streams
+    through the join and is split by the adaptive skew join; both sides of the join are one shuffle.
     """
-    t = _tiles(classes)
-    # the longer side goes to its own band and the one below: a partner has at least share * n words
-    a = t.select("tile", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), "class", "n", "tokens", "low", "high")
-    b = t
+    signatures = materialise(_signatures(classes))
+    tiles = _tiles(signatures)
     need = F.ceil(F.col("a.n") * SHARE[0] / SHARE[1]).cast("int")
     longer_first = (F.col("b.n") < F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & (F.col("b.class") < F.col("a.class")))
-    # words of one record whose bit the other lacks are not common: overlap <= n - missing bits
-    bound = lambda x: F.least(
-        F.col("a.n") - F.bit_count(F.col(f"a.{x}").bitwiseAND(F.bitwise_not(F.col(f"b.{x}")))),
-        F.col("b.n") - F.bit_count(F.col(f"b.{x}").bitwiseAND(F.bitwise_not(F.col(f"a.{x}")))),
-    )
-    fits = longer_first & (F.col("b.n") >= need) & (bound("low") >= need) & (bound("high") >= need)
-    close = a.alias("a").join(b.alias("b"), (F.col("a.tile") == F.col("b.tile")) & (F.col("a.band") == F.col("b.band")) & fits)
-    overlap = F.size(F.array_intersect("a.tokens", "b.tokens"))
-    found = close.withColumn("overlap", overlap).where(F.col("overlap") >= need)
-    return (
-        found.select(F.least("a.class", "b.class").alias("class_a"), F.greatest("a.class", "b.class").alias("class_b"), "overlap")
-        .groupBy("class_a", "class_b")
-        .agg(F.max("overlap").alias("overlap"))
-    )
+
+    def missing(x: str, y: str) -> Column:
+        """Bits of one bitmap that the other lacks: each stands for a token not in common."""
+        return sum((F.bit_count(F.col(f"{x}.b{j}").bitwiseAND(F.bitwise_not(F.col(f"{y}.b{j}")))) for j in range(BITMAP_WORDS)), F.lit(0))
+
+    fits = longer_first & (F.col("b.n") >= need) & (F.col("a.n") - missing("a", "b") >= need) & (F.col("b.n") - missing("b", "a") >= need)
+    close = tiles.alias("a").join(tiles.alias("b"), (F.col("a.tile") == F.col("b.tile")) & fits).select(F.col("a.class").alias("long"), F.col("b.class").alias("short")).distinct()
+    side = lambda c: signatures.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"t_{c}"))
+    both = close.join(side("long"), "long").join(side("short"), "short").withColumn("overlap", F.size(F.array_intersect("t_long", "t_short")))
+    found = both.where(F.col("overlap") >= F.ceil(F.col("n_long") * SHARE[0] / SHARE[1]))
+    return found.select(F.least("long", "short").alias("class_a"), F.greatest("long", "short").alias("class_b"), "overlap")
 
 
 def near_duplicate_groups(df: DataFrame, record: str, text: str) -> DataFrame:
