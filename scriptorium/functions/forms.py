@@ -8,10 +8,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
+
 # Characters of editions and what stands for them.
 EDITORIAL = "[]<>{}†‡*⟨⟩⌈⌉"
 LIGATURES = {"æ": "ae", "Æ": "Ae", "œ": "oe", "Œ": "Oe", "ﬁ": "fi", "ﬂ": "fl"}
@@ -54,18 +56,34 @@ def _traced(text: str | None, index: bool) -> dict | None:
 
 
 @F.pandas_udf(FOLDED)
-def fold_display(text: pd.Series) -> pd.DataFrame:
-    """Ligatures spelt out, old glyphs and quotes made plain, editorial marks dropped; with the place
-    of origin (counted from 0) of every character. Null gives null parts."""
+def _display(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_traced(t, False) or {"text": None, "origin": None} for t in text], columns=["text", "origin"])
 
 
 @F.pandas_udf(FOLDED)
-def fold_index(text: pd.Series) -> pd.DataFrame:
-    """The display fold without marks and case, v as u, j as i; with origins."""
+def _index(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_traced(t, True) or {"text": None, "origin": None} for t in text], columns=["text", "origin"])
 
 
+@F.pandas_udf(T.StringType())
+def _unmarked(text: pd.Series) -> pd.Series:
+    drop = lambda t: unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if c not in QUANTITY_MARKS))
+    return text.map(drop, na_action="ignore")
+
+
+def fold_display(text: Column) -> Column:
+    """Ligatures spelt out, old glyphs and quotes made plain, editorial marks dropped; with the place
+    of origin (counted from 0) of every character. Null gives null parts."""
+    ship(SparkSession.active())
+    return _display(text)
+
+
+def fold_index(text: Column) -> Column:
+    """The display fold without marks and case, v as u, j as i; with origins."""
+    ship(SparkSession.active())
+    return _index(text)
+
+
 def original_span(fold: Column, start: Column, end: Column) -> Column:
     """``struct(lo, hi)``: where the characters [start, end) of a fold lie in the original. Null for an
     empty or reversed span; (0, 0) where the fold is empty."""
@@ -81,11 +99,10 @@ def original_slice(original: Column, fold: Column, start: Column, end: Column) -
     return F.substring(original, span["lo"] + 1, span["hi"] - span["lo"])
 
 
-@F.pandas_udf(T.StringType())
-def strip_quantities(text: pd.Series) -> pd.Series:
+def strip_quantities(text: Column) -> Column:
     """Macron, breve, diaeresis and dot below go; all other marks stay composed."""
-    drop = lambda t: unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if c not in QUANTITY_MARKS))
-    return text.map(drop, na_action="ignore")
+    ship(SparkSession.active())
+    return _unmarked(text)
 
 
 def split_enclitic(word: Column, known: Column | None = None, stem_known=None) -> Column:

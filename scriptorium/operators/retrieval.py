@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SHINGLE_WORDS, words
+from ..session import map_batches
 
 # Start and factor of the 64-bit hash, and the bits that are kept.
 HASH_START, HASH_FACTOR, HASH_BITS = 1469598103934665603, 1099511628211, 63
@@ -73,7 +74,7 @@ def shingle_rows(streams: DataFrame, key: str, word_array: str) -> DataFrame:
             keys = batch.column(0).take(pa.array(np.concatenate(owner)))
             yield pa.RecordBatch.from_arrays([pa.array((h & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64)), keys, pa.array(np.concatenate(offset).astype(np.int64))], names=["hash", key, "tok_offset"])
 
-    return source.mapInArrow(run, f"hash bigint, `{key}` {kind}, tok_offset bigint")
+    return map_batches(source, run, f"hash bigint, `{key}` {kind}, tok_offset bigint")
 
 
 def as_of(queries: DataFrame, units: DataFrame, query: str, at: str) -> DataFrame:

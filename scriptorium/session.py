@@ -5,9 +5,14 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-JVM session as tests and the bench use it."""
@@ -50,3 +55,29 @@ def spread(df: DataFrame, megabytes_per_task: int = 4) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers of this application import the package, wherever they run.
+
+    The driver packs the package once per application and Spark hands it to every executor, also to
+    those that join later; nothing has to be installed on the machines.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).parent
+    folder = tempfile.mkdtemp(prefix="scriptorium-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/scriptorium.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+
+
+def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with the package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)

@@ -15,6 +15,8 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import map_batches
+
 UNIT_SCHEMA = "path string, work string, seq int, ref string, leaf int, text string"
 NOTE_SCHEMA = "path string, source string, author string, work string, language string, seq int, ref string, line_start int, line_end int, lemma string, grammar string, text string"
 #: Entities that XML itself defines; all others are dropped with the document type.
@@ -206,7 +208,7 @@ def _read(spark: SparkSession, folder: str, schema: str, rows: Callable[[str, st
             cols = list(zip(*out)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-    return files.mapInArrow(run, schema)
+    return map_batches(files, run, schema)
 
 
 def read_editions(spark: SparkSession, folder: str, editions: list[Edition]) -> DataFrame:
