@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import map_batches
 from .visual import plain_text
 
 LANGUAGES = ("la", "en", "de", "fr", "it", "grc")
@@ -226,7 +227,7 @@ def segments(notes: DataFrame, model: KernelClassifier | None = None) -> DataFra
             types = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
-    return source.mapInArrow(run, "note_id bigint, label string, segment int, language string, confidence double, sentences int")
+    return map_batches(source, run, "note_id bigint, label string, segment int, language string, confidence double, sentences int")
 
 
 def mislabelled(notes: DataFrame, model: KernelClassifier | None = None) -> DataFrame:

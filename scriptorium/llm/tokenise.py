@@ -18,6 +18,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import map_batches
+
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the pattern of the public vocabulary.
@@ -184,7 +186,7 @@ def encode_documents(df: DataFrame, document: str, text: str, folder: str = TOKE
             names = [*batch.schema.names[:-1], "n_tokens" if counts_only else "ids"]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], new], names=names)
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 def token_count(df: DataFrame, document: str, text: str, keep: tuple[str, ...] = (), **options) -> DataFrame:

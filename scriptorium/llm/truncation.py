@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_blanks
-from ..session import materialise
+from ..session import map_batches, materialise
 
 #: What is put after a cut: dots, with or without brackets, or the sign for broken bytes.
 CUT_MARK = r"(?:[\s\p{Z}]*(?:[\[(][\s\p{Z}]*(?:…|\.\.\.+)[\s\p{Z}]*[\])]|…|\.\.\.+|�+))+[\s\p{Z}]*$"
@@ -88,7 +88,7 @@ def strict_prefixes(values: DataFrame, value: str) -> DataFrame:
     v = values.select(F.col(f"`{value}`").alias("value")).distinct()
     parts = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = v.repartitionByRange(parts, "value").sortWithinPartitions("value")
-    seen = materialise(ordered.mapInArrow(_prefix_pass, "what string, pid int, value string, after string"))
+    seen = materialise(map_batches(ordered, _prefix_pass, "what string, pid int, value string, after string"))
     hits = seen.where("what = 'hit'").select("value", "after")
     # a partition's last value against the first of the next partition that has any (one row each)
     edges = seen.where("what <> 'hit'")
