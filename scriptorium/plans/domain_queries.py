@@ -236,6 +236,19 @@ def _map(column: str, names: dict[str, str]) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
 
 
+def _description_sql() -> str:
+    """The description of a token from its feature columns."""
+    col = {"Case": "cas", "Number": "num", "Gender": "gen", "Person": "person", "Tense": "tense", "Voice": "voice", "Mood": "mood"}
+    pairs = lambda text: dict(zip(text.split()[::2], text.split()[1::2]))
+    label = {f: _map(c, pairs(forms._LABELS[f])) for f, c in col.items()}
+    kind = _map("pos", {k: v.replace("-", " ") for k, v in pairs(forms._POS).items()})
+    ws = lambda *x: "concat_ws(' ', " + ", ".join(x) + ")"
+    agree = (label["Gender"], label["Number"], label["Case"])
+    return f"""CASE WHEN coalesce(vf, '') IN ('Gdv', 'Ger') OR (vf = 'Part' AND coalesce(aspect = 'Prosp' AND voice = 'Pass', false)) THEN {ws("CASE WHEN vf = 'Ger' THEN 'gerund' ELSE 'gerundive' END", *agree)}
+      WHEN vf = 'Part' THEN {ws(label["Tense"], label["Voice"], "'participle'", *agree)} WHEN vf = 'Inf' THEN {ws(label["Tense"], label["Voice"], "'infinitive'")} WHEN vf = 'Sup' THEN {ws("'supine'", label["Case"])}
+      WHEN {label["Mood"]} IS NOT NULL THEN {ws(f"({label['Person']}) || ' person'", label["Number"], label["Tense"], label["Mood"], label["Voice"])} ELSE {ws(*agree, kind)} END"""
+
+
 def oracle_sql() -> dict[str, str]:
     lines = "l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL)"
     fnv = """list_reduce(list_prepend(1469598103934665603::UHUGEINT, list_transform(string_split(array_to_string(list_slice(ws, k, k + 4), ' ') || ' ', ''), lambda c: ascii(c)::UHUGEINT)),
@@ -317,6 +330,7 @@ def oracle_sql() -> dict[str, str]:
         "readings_ranked": """WITH e AS (SELECT vec_id, (unnest(range(len(embedding))))::VARCHAR AS label, unnest(embedding)::DOUBLE * 10 AS s FROM embeddings),
           x AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id)) AS e FROM e), p AS (SELECT vec_id, label, CAST(round_even(e / sum(e) OVER (PARTITION BY vec_id), 4) AS DOUBLE) AS probability, row_number() OVER (PARTITION BY vec_id ORDER BY e DESC, label) AS rank FROM x)
           SELECT vec_id, label, probability, rank, CASE WHEN probability >= 0.85 THEN 'high' WHEN probability >= 0.7 THEN 'moderate' ELSE 'tentative' END AS confidence FROM p WHERE rank <= 5 AND probability >= 0.01""",
+        "morph_descriptions": f"WITH {annotation_sql()} SELECT description, count(*) AS n FROM (SELECT {_description_sql()} AS description FROM flat0) GROUP BY description",
         "readings_uncertain": """WITH e AS (SELECT vec_id, (unnest(range(len(embedding))))::VARCHAR AS label, unnest(embedding)::DOUBLE * 10 AS s FROM embeddings),
           x AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id)) AS e FROM e), p AS (SELECT vec_id, label, CAST(round_even(e / sum(e) OVER (PARTITION BY vec_id), 4) AS DOUBLE) AS probability, row_number() OVER (PARTITION BY vec_id ORDER BY e DESC, label) AS rank FROM x)
           SELECT vec_id, label, probability FROM p WHERE rank = 1 AND probability < 0.9 AND probability >= 0.01""",

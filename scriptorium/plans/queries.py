@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
 from ..functions.refs import plain_ref
 from ..operators.constructions import catalogue, constructions, family_findings, nominal_absolutes, token_tags
 from ..operators.figures import GROUPS, anaphora, figures
@@ -91,6 +92,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     out = {"p3_found": P3_SQL}
     out |= {f"findings_{name}": grammar_sql.findings_sql([name]) for name in FAMILIES}
+    rows = [(*r, f) for f, t in (("construction", L.CONSTRUCTIONS), ("case use", L.CASE_USES), ("clause", L.CLAUSES)) for r in L.catalogue_rows(t)] + [(r[0], r[1], "", "figure") for r in L.catalogue_rows(L.DEVICES)]
+    values = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+    out["construction_catalogue"] = f"SELECT * FROM (VALUES {values}) t(key, name, reference, family)"
     out |= {"constructions_counts": grammar_sql.suppressed_sql(), "construction_tags": grammar_sql.tags_sql()}
     out |= {f"figures_{name}": grammar_sql.figures_sql(name) for name in GROUPS if name != "alliteration"} | {"figures_anaphora": grammar_sql.anaphora_sql()}
     return out
