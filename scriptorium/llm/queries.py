@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, mixture, near_duplicates, shared_spans, survivor, tokenise, truncation, visual
+from ..plans.queries import PLAIN_REF_SQL
 from ..session import spread
 
 
@@ -104,8 +105,25 @@ r AS (SELECT work_id, min(t)::BIGINT AS tok_first, max(t)::BIGINT AS tok_last FR
 """
 
 
+# Survivors by plain ranking: these tables have no missing load times, so no precedence is needed.
+_SURVIVORS = f"""
+WITH t AS (SELECT source, max(trust) AS trust FROM text_source GROUP BY source),
+w AS (SELECT id, regexp_replace(CASE WHEN len(k) >= 2 THEN k[-2] || '.' || k[-1] ELSE k[1] END, '[^\\p{{L}}\\p{{N}}.]+', '', 'g') AS identity, source
+  FROM (SELECT id, source, string_split(regexp_replace(lower(key), '[.](txt|xml|html?)$', ''), '/') AS k FROM works)),
+l AS (SELECT loc_id, identity, trust, loaded_at, leaf, list_filter(string_split({PLAIN_REF_SQL.format(ref="ref")}, '.'), lambda x: x <> '') AS parts,
+  coalesce(length(regexp_replace(text, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), 0) AS n FROM loc JOIN w ON w.id = loc.work_id LEFT JOIN t USING (source)),
+d AS (SELECT identity, arg_max(k, (c, -k)) AS depth FROM (SELECT identity, len(parts) AS k, count(*) AS c FROM l WHERE leaf IS NOT NULL AND parts IS NOT NULL GROUP BY ALL) GROUP BY identity),
+p AS (SELECT l.*, array_to_string(CASE WHEN len(parts) = 0 THEN NULL WHEN leaf IS NOT NULL AND len(parts) = depth + 1 AND parts[-1] = leaf::VARCHAR THEN parts WHEN leaf IS NOT NULL THEN list_append(parts, leaf::VARCHAR)
+  WHEN len(parts) > depth THEN parts END, '.') AS path FROM l LEFT JOIN d USING (identity)),
+g AS (SELECT *, count(*) OVER (PARTITION BY identity, path) AS copies, max(n) OVER (PARTITION BY identity, path) AS longest FROM p WHERE path IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY identity, path ORDER BY trust DESC NULLS LAST, loaded_at DESC NULLS LAST, loc_id) AS k FROM g WHERE copies >= 2 AND n * 5 >= longest * 4)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _SURVIVORS + "SELECT loc_id FROM r WHERE k = 1",
+        "p1_survivors": _SURVIVORS + "SELECT loc_id, copies, identity, path FROM r WHERE k = 1",
         "p2_found": _RUNS + "SELECT * FROM r",
         "p2_shares": _RUNS
         + """, t AS (SELECT work_id, max(tok_offset) + 5 AS n_words FROM s GROUP BY work_id),
