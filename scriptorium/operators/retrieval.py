@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SHINGLE_WORDS, words
 from ..session import map_batches
+from .ranges import covering
 
 # Start and factor of the 64-bit hash, and the bits that are kept.
 HASH_START, HASH_FACTOR, HASH_BITS = 1469598103934665603, 1099511628211, 63
@@ -16,32 +17,53 @@ HASH_START, HASH_FACTOR, HASH_BITS = 1469598103934665603, 1099511628211, 63
 LEAST_VOTES = 3
 #: Offsets of a work are looked up in blocks of these sizes, so no work is gathered in one task.
 BLOCK, SUPERBLOCK = 10, 20
+#: Units of a work that are summed together, and words of a work that make one stream.
+UNIT_BLOCK, STREAM_BLOCK = 4096, 1 << 16
 
 
 def unit_offsets(units: DataFrame, work: str, order: str, text: str) -> DataFrame:
     """The units plus ``n_words`` and ``tok_offset``: the words of the work before the unit.
 
-    Null and wordless units have length 0 and share the offset of the next one.
+    ``order`` is a number. Sums are taken within blocks of it and over the blocks' totals, so a work
+    with a third of all rows is not sorted in one task. Null and wordless units have length 0 and
+    share the offset of the next one.
     """
-    w = units.withColumn("n_words", F.size(words(F.col(text))))
-    before = Window.partitionBy(work).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return w.withColumn("tok_offset", F.coalesce(F.sum("n_words").over(before), F.lit(0)))
+    w = units.withColumn("n_words", F.size(words(F.col(text)))).withColumn("__block", F.floor(F.col(order) / UNIT_BLOCK))
+    totals = w.groupBy(F.col(work).alias("__work"), F.col("__block").alias("__b")).agg(F.sum("n_words").alias("__n"))
+    earlier = Window.partitionBy("__work").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select("__work", "__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy(work, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    w = w.withColumn("tok_offset", F.coalesce(F.sum("n_words").over(inside), F.lit(0)))
+    full = w.join(base, w[work].eqNullSafe(F.col("__work")) & w["__block"].eqNullSafe(F.col("__b")))
+    return full.withColumn("tok_offset", F.col("tok_offset") + F.col("__base")).drop("__block", "__work", "__b", "__base")
 
 
 def work_streams(units: DataFrame, work: str, order: str, text: str) -> DataFrame:
-    """``(work, words)``: the words of each work in order; a work is gathered whole, as its text is."""
-    return units.groupBy(work).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, words(F.col(text)).alias("w")))), lambda x: x["w"])).alias("words"))
+    """``(work, base, words)``: the words of each work in order, in blocks of STREAM_BLOCK words from
+    ``base`` on, each with the first words of the next block, so that no run of words is cut."""
+    u = unit_offsets(units, work, order, text).where("n_words > 0").select(work, "tok_offset", "n_words", words(F.col(text)).alias("w"))
+    start, end = F.col("tok_offset"), F.col("tok_offset") + F.col("n_words")
+    reach = SHINGLE_WORDS - 1
+    block = F.explode(F.sequence(F.greatest(F.floor((start - reach) / STREAM_BLOCK), F.lit(0)), F.floor((end - 1) / STREAM_BLOCK))).alias("block")
+    p = u.select(work, "tok_offset", "n_words", "w", block).withColumn("base", F.col("block") * STREAM_BLOCK)
+    lo = F.greatest(F.col("base") - start, F.lit(0))
+    hi = F.least(F.col("base") + STREAM_BLOCK + reach - start, F.col("n_words"))
+    p = p.select(work, "base", F.struct((start + lo).alias("at"), F.slice("w", (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int")).alias("w")).alias("piece"))
+    return p.groupBy(work, "base").agg(F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda x: x["w"])).alias("words"))
 
 
 def shingle_rows(streams: DataFrame, key: str, word_array: str) -> DataFrame:
     """``(hash, key, tok_offset)`` of each run of five words. Streams of fewer words give none.
 
-    The hash is the index's own 63-bit one (over the bytes of the words, each with a blank behind),
-    computed for all runs of a batch at once.
+    A column ``base``, where there is one, counts the words before the stream, and only runs that
+    begin in the first STREAM_BLOCK words of such a stream are taken. The hash is the index's own
+    63-bit one (over the bytes of the words, each with a blank behind), computed for all runs of a
+    batch at once.
     """
     import pyarrow as pa
 
-    source = streams.select(F.col(key), F.array_join(F.col(word_array), " ").alias("stream"))
+    base_column = F.col("base") if "base" in streams.columns else F.lit(None).cast("bigint")
+    source = streams.select(F.col(key), F.array_join(F.col(word_array), " ").alias("stream"), base_column.cast("bigint").alias("base"))
     kind = source.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,16 +71,18 @@ def shingle_rows(streams: DataFrame, key: str, word_array: str) -> DataFrame:
 
         for batch in batches:
             owner, offset, begin, end, raw, base = [], [], [], [], [], 0
-            for k, s in enumerate(batch.column(1).to_pylist()):
+            for k, (s, before) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 b = np.frombuffer((s + " ").encode("ascii", "replace"), np.uint8) if s else np.zeros(0, np.uint8)
                 stops = np.flatnonzero(b == 32) + 1  # behind each word's blank
                 if len(stops) >= SHINGLE_WORDS:
                     starts = np.concatenate([[0], stops[:-1]])
                     n = len(stops) - SHINGLE_WORDS + 1
+                    if before is not None:
+                        n = min(n, STREAM_BLOCK)
                     owner.append(np.full(n, k))
-                    offset.append(np.arange(n))
+                    offset.append(np.arange(n) + (before or 0))
                     begin.append(starts[:n] + base)
-                    end.append(stops[SHINGLE_WORDS - 1 :] + base)
+                    end.append(stops[SHINGLE_WORDS - 1 : SHINGLE_WORDS - 1 + n] + base)
                 raw.append(b)
                 base += len(b)
             if not owner:
@@ -145,7 +169,7 @@ def canonical_lines(requests: DataFrame, loc: DataFrame, works: DataFrame) -> Da
     Both ends are included. Requests with a null part, or of an unknown work, have no line.
     """
     lines = loc.join(works.select(F.col("id").alias("work_id"), F.col("key").alias("work")), "work_id").select("work", "ref", F.col("leaf").alias("line"), "text")
-    return requests.join(lines, ["work", "ref"]).where(F.col("line").between(F.col("first"), F.col("last"))).select("request", "line", "text")
+    return covering(lines, "line", requests.select("request", "work", "ref", "first", "last"), "first", "last", ["work", "ref"]).select("request", "line", "text")
 
 
 def notes_for(requests: DataFrame, notes: DataFrame, limit: int = 12, lemma: bool = False) -> DataFrame:
@@ -162,8 +186,8 @@ def notes_for(requests: DataFrame, notes: DataFrame, limit: int = 12, lemma: boo
     general = n.where(F.col("line_start").isNull()).withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("k") <= limit).drop("k")
     ranged = n.where(F.col("line_start").isNotNull())
     r = requests.select("request", "work", "ref", "line", *(["lemma"] if lemma else []))
-    hit = F.col("line").between(F.col("line_start"), F.coalesce("line_end", "line_start"))
-    found = r.join(general, keys).unionByName(r.join(ranged, keys).where(hit))
+    ranged = ranged.withColumn("__last", F.coalesce("line_end", "line_start"))
+    found = r.join(general, keys).unionByName(covering(r, "line", ranged, "line_start", "__last", keys).drop("__last"))
     best = Window.partitionBy("request", "line").orderBy(*order)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
@@ -187,7 +211,7 @@ def coverage(loc: DataFrame, works: DataFrame, notes: DataFrame) -> DataFrame:
     lines = loc.join(works.select(F.col("id").alias("work_id"), F.col("key").alias("work")), "work_id").where(F.col("leaf").isNotNull()).select("work", "ref", F.col("leaf").alias("line")).distinct()
     refs = lines.groupBy("work", "ref").agg(F.max("line").cast("bigint").alias("n_required"), F.count("*").alias("n_present"))
     spans = notes.where(F.col("line_start").isNotNull()).select("work", "ref", F.col("line_start").alias("a"), F.coalesce("line_end", "line_start").alias("b")).distinct()
-    noted = lines.join(spans, ["work", "ref"]).where(F.col("line").between(F.col("a"), F.col("b"))).select("work", "ref", "line").distinct().groupBy("work", "ref").agg(F.count("*").alias("n_noted"))
+    noted = covering(lines, "line", spans, "a", "b", ["work", "ref"]).select("work", "ref", "line").distinct().groupBy("work", "ref").agg(F.count("*").alias("n_noted"))
     full = refs.join(noted, ["work", "ref"], "left").withColumn("n_noted", F.coalesce("n_noted", F.lit(0)))
     pct = lambda c: F.bround(100.0 * F.col(c) / F.col("n_required"), 1)
     return full.select("work", "ref", "n_required", "n_present", "n_noted", pct("n_present").alias("present"), pct("n_noted").alias("noted"), (F.col("n_required") - F.col("n_present")).alias("gaps"))

@@ -92,3 +92,30 @@ def test_empty_tables(spark):
     assert retrieval.identify(none, "k", "t", shingle, loc, works, "main").count() == 0
     assert retrieval.identify(spark.createDataFrame([(1, LINES[0])], "k int, t string"), "k", "t", shingle.limit(0), loc.limit(0), works.limit(0), "main").count() == 0
     assert words(F.lit(None)) is not None
+
+
+def test_streams_in_blocks(spark, monkeypatch):
+    """Small blocks give the same offsets and runs as whole works."""
+    rows = [(w, k, " ".join(f"w{'abcdefghik'[(w * k + j) % 10]}{'xyz'[k % 3]}" for j in range(n))) for w in (1, 2) for k, n in enumerate([3, 0, 7, 1, 1, 12, 2, 0, 4, 30, 1])]
+    units = spark.createDataFrame(rows, "work_id bigint, seq int, text string")
+    whole = {w: [x for v, _, t in rows if v == w for x in t.split()] for w in (1, 2)}
+    monkeypatch.setattr(retrieval, "UNIT_BLOCK", 2)
+    monkeypatch.setattr(retrieval, "STREAM_BLOCK", 8)
+    at = {(r.work_id, r.seq): r.tok_offset for r in retrieval.unit_offsets(units, "work_id", "seq", "text").collect()}
+    assert at == {(w, k): sum(len(t.split()) for v, q, t in rows if v == w and q < k) for w, k, _ in rows}
+    streams = spark.createDataFrame(list(whole.items()), "work_id bigint, w array<string>")
+    one = sorted(map(tuple, retrieval.shingle_rows(streams.withColumn("base", F.lit(None).cast("bigint")), "work_id", "w").collect()))
+    blocks = retrieval.work_streams(units, "work_id", "seq", "text")
+    assert max(len(r.words) for r in blocks.collect()) <= 12
+    # the batches run in worker processes, where the block is as the package has it: take the runs here
+    got = sorted((r.work_id, r.base + i, tuple(r.words[i : i + 5])) for r in blocks.collect() for i in range(min(8, len(r.words) - 4)))
+    assert got == sorted((w, i, tuple(s[i : i + 5])) for w, s in whole.items() for i in range(len(s) - 4)) and len(one) == len(got)
+
+
+def test_covering(spark):
+    from scriptorium.operators.ranges import covering
+
+    points = spark.createDataFrame([("a", k) for k in (0, 1, 63, 64, 65, 5000, 10**6)] + [(None, 1), ("b", 7), ("a", None)], "k string, at int")
+    ranges = spark.createDataFrame([(1, "a", 1, 64), (2, "a", 0, 10**7), (3, "a", 9, 3), (4, "a", 65, 65), (5, "c", 0, 9), (6, "a", None, 5), (7, "b", -70, 7)], "id int, k string, x int, y int")
+    got = sorted((r.id, r.at) for r in covering(points, "at", ranges, "x", "y", ["k"]).collect())
+    assert got == [(1, 1), (1, 63), (1, 64), *((2, k) for k in (0, 1, 63, 64, 65, 5000, 10**6)), (4, 65), (7, 7)]
