@@ -58,11 +58,12 @@ def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     """``(source, weight, max_repeats, available, goal)``: the tokens that each source should give.
 
     Weights are taken relative to those of all sources that have documents. Without
-    ``total_tokens`` the mixture is as large as all available tokens of these sources together. A
-    source whose share is more than ``max_repeats`` times its tokens gives what it can, and the
-    others keep their weights among themselves for the rest, again and again until none is short,
-    so every share comes as near to its weight as the caps allow. Null or negative weights and
-    repeats count as 0; of several rows for a source the largest weight holds.
+    ``total_tokens`` the mixture is as large as it can be with every one of these sources at its
+    weight: the source with the least room for its weight is used up to its cap. With a larger
+    total, a source whose share is more than ``max_repeats`` times its tokens gives what it can, and
+    the others keep their weights among themselves for the rest, again and again until none is
+    short. Null or negative weights and repeats count as 0; of several rows for a source the largest
+    weight holds.
     """
     t = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max(F.struct(F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).alias("weight"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("max_repeats"))).alias("t"))
     have = sized.groupBy("source").agg(F.sum("n_tokens").alias("available"))
@@ -70,15 +71,16 @@ def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     whole = Window.partitionBy()  # one row per source of the target table
     room = F.col("available") * F.col("max_repeats")
     usable = F.when(room > 0, F.col("weight")).otherwise(0.0)
-    p = base.withColumn("room", room).withColumn("w", usable).withColumn("total", F.lit(total_tokens).cast("double") if total_tokens is not None else F.sum(F.when(F.col("w") > 0, F.col("available")).otherwise(0)).over(whole).cast("double"))
+    p = base.withColumn("room", room).withColumn("w", usable)
     # water filling: in order of room per weight the level at which a source is full is known
     order = Window.partitionBy().orderBy("fill", "source")
     p = p.withColumn("fill", F.when(F.col("w") > 0, F.col("room") / F.col("w")))
+    p = p.withColumn("total", F.lit(total_tokens).cast("double") if total_tokens is not None else F.min("fill").over(whole) * F.sum("w").over(whole))
     p = p.withColumn("full_before", F.coalesce(F.sum(F.when(F.col("fill").isNotNull(), F.col("room")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     p = p.withColumn("w_left", F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)))
     p = p.withColumn("level", F.when(F.col("fill").isNotNull(), (F.col("total") - F.col("full_before")) / F.col("w_left")))
     # the water level: that of the first source, in this order, which is not full at it
-    level = F.min(F.when(F.col("level") <= F.col("fill"), F.struct("fill", "level"))).over(whole)["level"]
+    level = F.min(F.when(F.col("level") <= F.col("fill") * (1 + 1e-12), F.struct("fill", "level"))).over(whole)["level"]
     goal = F.when(F.col("w") <= 0, 0.0).otherwise(F.least(F.col("room").cast("double"), F.coalesce(level, F.lit(float("inf"))) * F.col("w")))
     return p.select("source", "weight", "max_repeats", "available", goal.alias("goal"))
 

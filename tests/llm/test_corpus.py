@@ -58,20 +58,29 @@ def mix_tables(spark):
 
 
 def test_mixture(spark):
+    """Without a total every source that has documents is at its weight."""
     docs, targets = mix_tables(spark)
     chosen, shares = mixture.mixture(docs, targets)
     got = {r.source: r for r in shares.collect()}
     assert set(got) == {"big", "small", "mid", "lost", "none"} and got["lost"].n_tokens == got["none"].n_tokens == 0
-    assert got["small"].n_tokens == 3 * got["small"].n_available  # short: all it may give
-    for s in ("big", "mid"):
-        assert abs(got[s].n_tokens - got[s].n_goal) <= 0.02 * got[s].n_goal and got[s].most_repeats <= got[s].max_repeats
-    assert abs(got["big"].n_tokens / got["mid"].n_tokens - 0.4 / 0.25) < 0.05 or got["big"].n_tokens == got["big"].n_available
+    for s, w in (("big", 0.4), ("small", 0.3), ("mid", 0.25)):
+        assert abs(got[s].share - w / 0.95) < 0.01 and got[s].most_repeats <= got[s].max_repeats
+    assert got["small"].n_tokens == 3 * got["small"].n_available  # the one with the least room
     rows = chosen.collect()
     assert len({(r.doc_id, r.copy) for r in rows}) == len(rows) and sum(r.n_tokens for r in rows) == sum(r.n_tokens for r in got.values())
     again = {(r.doc_id, r.copy) for r in mixture.mixture(docs, targets)[0].collect()}
     assert again == {(r.doc_id, r.copy) for r in rows}
 
 
+def test_mixture_larger_than_its_sources(spark):
+    """With a large total the short source gives all it may, the others keep their proportion."""
+    docs, targets = mix_tables(spark)
+    got = {r.source: r for r in mixture.mixture(docs, targets, total_tokens=40_000)[1].collect()}
+    assert got["small"].n_tokens == 3 * got["small"].n_available
+    assert abs(got["big"].n_tokens / got["mid"].n_tokens - 0.4 / 0.25) < 0.05
+    assert abs(sum(r.n_tokens for r in got.values()) - 40_000) < 500
+
+
 def test_mixture_total_and_empty(spark):
     docs, targets = mix_tables(spark)
     got = {r.source: r for r in mixture.mixture(docs, targets, total_tokens=4000)[1].collect()}
