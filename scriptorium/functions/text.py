@@ -45,7 +45,9 @@ def normalised(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """``normalised`` as an array of words; null and wordless texts give an empty array."""
-    return F.coalesce(F.filter(F.split(normalised(text), " "), lambda w: w != ""), F.array().cast("array<string>"))
+    t = F.trim(normalised(text))  # single blanks between words, so only the ends need care
+    none = F.array().cast("array<string>")
+    return F.coalesce(F.when(t == "", none).otherwise(F.split(t, " ")), none)
 
 
 def shingles(word_array: Column, n: int = SHINGLE_WORDS) -> Column:
