@@ -97,7 +97,9 @@ def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         whole = row[: len(h)] == row[n - 1 :]
         mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * n)
         keys.append((row[: len(h)][whole] << BUCKET_BITS) | ((mixed >> np.uint64(40)) & mask).astype(np.int64)[whole])
-    key = np.unique(np.concatenate(keys))
+    key = np.concatenate(keys)
+    key.sort()  # sorting and comparing neighbours is faster here than np.unique, which hashes first
+    key = key[np.flatnonzero(np.diff(key, prepend=-1))]
     rows = key >> BUCKET_BITS
     return rows, key & ((1 << BUCKET_BITS) - 1), np.bincount(rows, minlength=len(texts))
 
