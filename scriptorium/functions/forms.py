@@ -65,6 +65,13 @@ def _index(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_traced(t, True) or {"text": None, "origin": None} for t in text], columns=["text", "origin"])
 
 
+def surface_form(original: Column, start: Column, parsed: Column) -> Column:
+    """The text as pasted under a parsed token that starts at ``start`` (from 0), since a parser may
+    respell it; the parsed form where the original has fewer characters left."""
+    there = F.substring(original, start + 1, F.length(parsed))
+    return F.when(F.length(there) == F.length(parsed), there).otherwise(parsed)
+
+
 @F.pandas_udf(T.StringType())
 def _unmarked(text: pd.Series) -> pd.Series:
     drop = lambda t: unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if c not in QUANTITY_MARKS))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..session import materialise
 from .rules import FAMILIES, SPECIAL, Rule, render, within
 from .token_context import sentences, token_context
 
@@ -96,6 +97,23 @@ def token_tags(findings: DataFrame) -> DataFrame:
     return each.groupBy("doc_id", "sent_id", F.col("i").cast("int").alias("i")).agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("keys"))
 
 
+def explained(findings: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Findings or figures plus ``name``, ``reference``, ``words`` (the texts of their tokens in the
+    order given), ``strength`` and a sentence of ``evidence``. Unknown keys keep null names.
+
+    The catalogue is a table of fixed size and is broadcast; words come by one join with the tokens.
+    """
+    f = materialise(findings.withColumn("id", F.xxhash64("doc_id", "sent_id", "key", "tokens")))  # used twice
+    place = f.select("doc_id", "sent_id", "id", F.posexplode(F.split("tokens", ",").cast("array<int>")).alias("k", "i")).distinct()
+    text = tokens.select("doc_id", "sent_id", "i", "text").distinct()
+    said = place.join(text, ["doc_id", "sent_id", "i"]).groupBy("doc_id", "sent_id", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), " ").alias("words"))
+    named = catalogue(findings.sparkSession).select("key", "name", "reference")
+    full = f.join(said, ["doc_id", "sent_id", "id"], "left").join(F.broadcast(named), "key", "left").drop("id")
+    strength = F.when(F.col("confidence") >= 0.85, "high").when(F.col("confidence") >= 0.7, "moderate").otherwise("tentative")
+    where = F.when(F.col("reference") == "", "").otherwise(F.concat(F.lit(" ("), "reference", F.lit(")")))
+    return full.withColumn("strength", strength).withColumn("evidence", F.concat(F.lit("'"), "words", F.lit("': "), "name", where))
+
+
 def catalogue(spark) -> DataFrame:
     """``(key, name, reference, family)`` of everything that can be found, by name."""
     rows = [(*r, f) for f, t in (("construction", L.CONSTRUCTIONS), ("case use", L.CASE_USES), ("clause", L.CLAUSES)) for r in L.catalogue_rows(t)]

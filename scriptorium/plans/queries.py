@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.refs import plain_ref
-from ..operators.constructions import catalogue, constructions, family_findings, nominal_absolutes, token_tags
+from ..operators.constructions import catalogue, constructions, explained, family_findings, nominal_absolutes, token_tags
 from ..operators.figures import GROUPS, anaphora, figures
 from ..operators.intervals import periods_and_gaps
 from ..operators.rules import FAMILIES
@@ -73,6 +73,12 @@ def construction_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue(spark)
 
 
+def findings_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = tokens_of(spark, sf_dir)
+    got = explained(family_findings(tokens, ["genitive"]), tokens)
+    return got.select("doc_id", "sent_id", "key", "anchor", "tokens", "name", "reference", "words", "strength", "evidence")
+
+
 def _figures(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: figures(tokens_of(spark, sf_dir), [name])
 
@@ -84,7 +90,7 @@ def figures_anaphora(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {"p3_found": p3_found}
     out |= {f"findings_{name}": _family(name) for name in FAMILIES}
-    out |= {f.__name__: f for f in (constructions_counts, construction_tags, ablative_absolute_nominal, construction_catalogue, figures_anaphora)}
+    out |= {f.__name__: f for f in (constructions_counts, construction_tags, ablative_absolute_nominal, construction_catalogue, figures_anaphora, findings_explained)}
     out |= {f"figures_{name}": _figures(name) for name in GROUPS}
     return out
 
@@ -95,6 +101,14 @@ def oracle_sql() -> dict[str, str]:
     rows = [(*r, f) for f, t in (("construction", L.CONSTRUCTIONS), ("case use", L.CASE_USES), ("clause", L.CLAUSES)) for r in L.catalogue_rows(t)] + [(r[0], r[1], "", "figure") for r in L.catalogue_rows(L.DEVICES)]
     values = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
     out["construction_catalogue"] = f"SELECT * FROM (VALUES {values}) t(key, name, reference, family)"
+    out["findings_explained"] = (
+        grammar_sql.family_sql(["genitive"])
+        + f""", cx AS (SELECT * FROM (VALUES {values}) t(key, name, reference, family)), u AS (SELECT DISTINCT doc_id, sent_id, key, tokens FROM found),
+    ex AS (SELECT u.*, unnest(string_split(tokens, ','))::INT AS i, unnest(range(len(string_split(tokens, ',')))) AS k FROM u),
+    sx AS (SELECT ex.doc_id, ex.sent_id, ex.key, ex.tokens, string_agg(tok.text, ' ' ORDER BY ex.k) AS words FROM ex JOIN tok ON tok.doc_id = ex.doc_id AND tok.sent_id = ex.sent_id AND tok.i = ex.i GROUP BY ALL)
+    SELECT f.doc_id, f.sent_id, f.key, f.anchor, f.tokens, cx.name, cx.reference, sx.words, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.7 THEN 'moderate' ELSE 'tentative' END AS strength,
+      chr(39) || sx.words || chr(39) || ': ' || cx.name || ' (' || cx.reference || ')' AS evidence FROM found f JOIN sx USING (doc_id, sent_id, key, tokens) JOIN cx USING (key)"""
+    )
     out |= {"constructions_counts": grammar_sql.suppressed_sql(), "construction_tags": grammar_sql.tags_sql()}
     out |= {f"figures_{name}": grammar_sql.figures_sql(name) for name in GROUPS if name != "alliteration"} | {"figures_anaphora": grammar_sql.anaphora_sql()}
     return out

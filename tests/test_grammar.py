@@ -151,3 +151,12 @@ def test_anomalies(spark):
     assert got == {("agreement", 0, "Case"), ("no_finite_verb", 0, "")}
     apart = [wrong[0][:4] + (4, wrong[0][5]), *[word(w, i=k + 1) for k, w in enumerate("x y z".split())], ("viri", "vir", "NOUN", "ROOT", 4, {"Case": "Gen", "VerbForm": "Fin"})]
     assert anomalies(tokens(spark, apart)).count() == 0 and anomalies(tokens(spark, apart), suppress=False).count() == 1
+
+
+def test_explained(spark):
+    from scriptorium.operators.constructions import explained
+
+    t = tokens(spark, CASES[0][1])
+    row = [r for r in explained(constructions(t), t).collect() if r.key == "ablative_absolute"][0]
+    assert (row.words, row.name, row.strength) == ("urbe capta", "Ablative Absolute", "high") and row.evidence == "'urbe capta': Ablative Absolute (A&G 419)"
+    assert all(r.name for r in explained(figures(t), t).collect())

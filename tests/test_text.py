@@ -57,3 +57,8 @@ def test_describe_morph(spark):
         "m map<string,string>, p string",
     )
     assert [r[0] for r in df.select(forms.describe_morph(F.col("m"), F.col("p"))).collect()] == ["feminine singular nominative noun", "third person singular present indicative active", "perfect passive participle ablative", "preposition", "adverb"]
+
+
+def test_surface_form(spark):
+    df = spark.createDataFrame([("Arma Virumque", 5, "uirumque"), ("Arma", 2, "mamma"), (None, 0, "x")], "o string, s int, p string")
+    assert [r[0] for r in df.select(forms.surface_form(F.col("o"), F.col("s"), F.col("p"))).collect()] == ["Virumque", "mamma", "x"]
