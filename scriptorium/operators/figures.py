@@ -73,6 +73,9 @@ ALLITERATION = f"""aggregate(CASE WHEN size(w) > 0 THEN sequence(0, size(w) - 1)
     ELSE named_struct('used', concat(a.used, array(w[k].i), g), 'found', concat(a.found, array(named_struct('key', 'alliteration', 'tokens', array_join(concat(array(w[k].i), g), ','),
       'confidence', CASE WHEN size(g) = 1 THEN 0.5D ELSE 0.6D + 0.1D * least(size(g) - 2, 3) END)))) END), acc -> acc.found)"""
 
+#: Sentences of a document that are looked at together for anaphora.
+SENTENCE_BLOCK = 4096
+
 GROUPS: dict[str, list[str]] = {
     "order": [_each(f"{PAIR} AND abs(t.i - t.head) - 1 >= 3", "hyperbaton", "array(t.i, t.head)", "0.7"), CROSSED, GOLDEN, _each("t.dep = 'case' AND t.pos = 'ADP' AND exists(s, x -> x.i = t.head AND t.i = x.i + 1)", "anastrophe", "array(t.head, t.i)", "0.75")],
     "words": [POLYPTOTON, LITOTES, SIMILE, APOSTROPHE, ELLIPSIS],
@@ -96,13 +99,25 @@ def figures(tokens: DataFrame, groups: list[str] | None = None) -> DataFrame:
 def anaphora(tokens: DataFrame) -> DataFrame:
     """Runs of two or more consecutive sentences of a document that open with the same word:
     ``(doc_id, sent_id, key, tokens, confidence)``, the sentence being the first of the run and the
-    tokens ``sentence:word`` of each opening. Each run comes once, at its full length."""
+    tokens ``sentence:word`` of each opening. Each run comes once, at its full length.
+
+    Runs are found within blocks of sentences; only those at the ends of blocks are then compared
+    along the document, so a document with a third of all sentences is not sorted in one task.
+    """
     s = sentences(tokens).select("doc_id", "sent_id", F.expr(f"filter(s, t -> {WORD})[0]").alias("t")).where("t IS NOT NULL")
-    s = s.select("doc_id", "sent_id", "t.i", "t.form")
-    by = Window.partitionBy("doc_id").orderBy("sent_id")
-    runs = s.withColumn("new", F.when(F.lag("form").over(by).eqNullSafe(F.col("form")), 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
-    g = runs.groupBy("doc_id", "run").agg(F.min("sent_id").alias("sent_id"), F.array_sort(F.collect_list(F.struct("sent_id", "i"))).alias("x")).where(F.size("x") >= 2)
-    return g.select("doc_id", "sent_id", F.lit("anaphora").alias("key"), F.array_join(F.transform("x", lambda y: F.concat_ws(":", y["sent_id"], y["i"])), ",").alias("tokens"), F.lit(0.75).alias("confidence"))
+    s = s.select("doc_id", "sent_id", F.floor(F.col("sent_id") / SENTENCE_BLOCK).alias("block"), "t.i", "t.form")
+    by = Window.partitionBy("doc_id", "block").orderBy("sent_id")
+    new = F.when(F.lag("form").over(by).eqNullSafe(F.col("form")), 0).otherwise(1)
+    runs = s.withColumn("new", new).withColumn("run", F.sum("new").over(by)).groupBy("doc_id", "block", "run")
+    runs = runs.agg(F.first("form").alias("form"), F.min("sent_id").alias("sent_id"), F.array_sort(F.collect_list(F.struct("sent_id", "i"))).alias("x"))
+    last = F.max("run").over(Window.partitionBy("doc_id", "block"))
+    runs = runs.withColumn("opens", F.col("run") == 1).withColumn("closes", F.col("run") == last)
+    ends = Window.partitionBy("doc_id").orderBy("sent_id")
+    joins = (F.lag("form").over(ends) == F.col("form")) & F.lag("closes").over(ends) & F.col("opens")
+    edge = runs.where("opens OR closes").withColumn("new", F.when(joins, 0).otherwise(1)).withColumn("chain", F.sum("new").over(ends))
+    chained = edge.groupBy("doc_id", "chain").agg(F.min("sent_id").alias("sent_id"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("sent_id", "x"))), lambda y: y["x"])).alias("x"))
+    every = runs.where("NOT opens AND NOT closes").select("doc_id", "sent_id", "x").unionByName(chained.select("doc_id", "sent_id", "x")).where(F.size("x") >= 2)
+    return every.select("doc_id", "sent_id", F.lit("anaphora").alias("key"), F.array_join(F.transform("x", lambda y: F.concat_ws(":", y["sent_id"], y["i"])), ",").alias("tokens"), F.lit(0.75).alias("confidence"))
 
 
 def hyperbaton_tokens(tokens: DataFrame) -> DataFrame:

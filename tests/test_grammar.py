@@ -160,3 +160,13 @@ def test_explained(spark):
     row = [r for r in explained(constructions(t), t).collect() if r.key == "ablative_absolute"][0]
     assert (row.words, row.name, row.strength) == ("urbe capta", "Ablative Absolute", "high") and row.evidence == "'urbe capta': Ablative Absolute (A&G 419)"
     assert all(r.name for r in explained(figures(t), t).collect())
+
+
+def test_anaphora_over_blocks(spark, monkeypatch):
+    from scriptorium.operators import figures as f
+
+    openings = "a a b b b a a a a a a a c a d d".split()
+    sents = [[word(w, i=0), word("x", i=1)] for w in openings]
+    monkeypatch.setattr(f, "SENTENCE_BLOCK", 3)
+    got = sorted((r.sent_id, r.tokens.count(":")) for r in f.anaphora(tokens(spark, *sents)).collect())
+    assert got == [(0, 2), (2, 3), (5, 7), (14, 2)]
