@@ -44,18 +44,21 @@ def _frequencies(classes: DataFrame) -> Column:
 
 
 def word_classes(df: DataFrame, record: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """``(members, classes)``: ``members(record, class)`` and ``classes(class, size, words)``.
+    """``(members, classes)``: ``members(record, class)`` and ``classes(class, words)``.
 
     Records of the same words, counted with repeats, form a class, named by its least record id.
     Records of fewer than LEAST_WORDS words (null and empty texts among them) belong to none.
     """
     bag = F.array_sort(words(plain_text(F.col(f"`{text}`"))))
-    bags = df.select(F.col(f"`{record}`").alias("record"), bag.alias("words")).where(F.col("record").isNotNull() & (F.size("words") >= LEAST_WORDS))
+    # the test sits in the generator: as a filter it would be pushed down and make the words twice
+    long_enough = F.explode(F.filter(F.array(bag), lambda w: F.size(w) >= LEAST_WORDS))
+    bags = df.where(F.col(f"`{record}`").isNotNull()).select(F.col(f"`{record}`").alias("record"), long_enough.alias("words"))
     key = [F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2")]
-    bags = materialise(bags.select("record", "words", *key).distinct())
-    classes = materialise(bags.groupBy("words", "k1", "k2").agg(F.min("record").alias("class"), F.count("*").alias("size")))
-    members = bags.select("record", "k1", "k2").join(classes.select("k1", "k2", "class"), ["k1", "k2"]).select("record", "class")
-    return members, classes.select("class", "size", "words")
+    bags = materialise(bags.select("record", "words", *key))
+    classes = materialise(bags.groupBy("words", "k1", "k2").agg(F.min("record").alias("class")))
+    # repeated rows fold here, on three numbers a row
+    members = bags.select("record", "k1", "k2").distinct().join(classes.select("k1", "k2", "class"), ["k1", "k2"]).select("record", "class")
+    return members, classes.select("class", "words")
 
 
 def _signatures(classes: DataFrame) -> DataFrame:
@@ -122,8 +125,9 @@ def near_duplicate_groups(df: DataFrame, record: str, text: str) -> DataFrame:
     ``links`` counts the linked records outside the record's class; inside it all are equal.
     """
     members, classes = word_classes(df, record, text)
+    members = materialise(members)
     links = materialise(class_links(classes))
-    sizes = classes.select("class", "size")
+    sizes = members.groupBy("class").agg(F.count("*").alias("size"))
     both = links.select(F.col("class_a").alias("class"), F.col("class_b").alias("other")).union(links.select(F.col("class_b"), F.col("class_a")))
     count = both.join(sizes.withColumnRenamed("class", "other"), "other").groupBy("class").agg(F.sum("size").alias("links"))
     per_class = sizes.join(count, "class", "left").select("class", F.col("size").alias("class_size"), F.coalesce("links", F.lit(0)).alias("links"))
