@@ -5,7 +5,8 @@ are sorted over the cluster; a text that is a strict prefix of another is a pref
 Copies of cut texts are rare, so the same question is asked at the end of the text itself: prose
 that stops without a closing sign, a closing line that is the beginning of a usual closing line, and
 verse that stops within its line at a length where the texts of its source pile up (a field limit,
-in characters or bytes, learned from all lengths of the source).
+in characters or bytes, learned from all lengths of the source) or, at any length, inside a word:
+the last word stands nowhere else, another word goes on from it, and words seldom end like it.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_blanks
+from ..functions.text import base_letter_table, strip_blanks
 from ..session import map_batches, materialise
 
 #: What is put after a cut: dots, with or without brackets, or the sign for broken bytes.
@@ -29,6 +30,8 @@ CLOSERS, SIGNS = "\"'»“”’)]", ".?!;·;"
 LIMIT_ROWS, LIMIT_RATIO, LIMIT_REACH = 8, 6, 12
 #: A closing line is usual if it ends at least this share of the texts of its kind.
 USUAL_CLOSING = 0.02
+#: Three letters are a usual word ending if at least this share of the words that hold them end there.
+USUAL_ENDING = 0.1
 
 
 def _closed(text: Column) -> Column:
@@ -109,6 +112,36 @@ def field_limits(rows: DataFrame) -> DataFrame:
     return counts.withColumn("around", around).where((F.col("count") >= LIMIT_ROWS) & (F.col("count") >= LIMIT_RATIO * F.greatest("around", F.lit(0.5)))).select("source", "measure", "length")
 
 
+def _words(body: Column) -> Column:
+    """The words in order, in small letters without marks; the last is empty after a sign."""
+    src, dst = base_letter_table()
+    return F.split(F.regexp_replace(F.lower(F.translate(body, src, dst)), r"\p{M}+", ""), r"\P{L}+")
+
+
+def _ending(word: Column) -> Column:
+    return F.right(F.concat(F.lit("^"), word), F.lit(3))
+
+
+def word_stumps(rows: DataFrame, last: DataFrame) -> DataFrame:
+    """``(word)``: those values of ``last(word)`` that are words cut short.
+
+    A stump stands nowhere in the ``body`` of ``rows`` but at open ends, is a strict prefix of
+    another word, and ends in three letters (or its beginning) with which few words end. Open ends
+    do not count as known words, so another text cut at the same letters hides nothing.
+    """
+    words = _words(F.col("body"))
+    sure = F.when(_closed(F.col("body")), words).otherwise(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))
+    known = materialise(rows.select(F.explode(sure).alias("word")).where("word <> ''").distinct())
+    fresh = materialise(last.where("word <> ''").distinct().join(known, "word", "left_anti"))
+    longer = strict_prefixes(known.union(fresh), "word").select(F.col("value").alias("word"))
+    padded = F.concat(F.lit("^"), F.col("word"))
+    n = F.greatest(F.length("word") - 1, F.lit(1))
+    threes = known.select(F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.substring(padded, i, F.lit(3)).alias("ending"), (i == n).alias("final")))).alias("x"))
+    shares = threes.groupBy("x.ending").agg(F.avg(F.col("x.final").cast("int")).alias("share"))
+    found = fresh.join(longer, "word", "left_semi").withColumn("ending", _ending(F.col("word"))).join(shares, "ending", "left")
+    return found.where(F.coalesce("share", F.lit(0.0)) < USUAL_ENDING).select("word")
+
+
 def _form(kind: Column, body: Column) -> Column:
     """``verse``, ``list``, ``letter`` or ``prose``; by shape where the kind is missing, and
     ``unknown`` if the shape leaves prose and letter open."""
@@ -124,8 +157,11 @@ def truncations(documents: DataFrame) -> DataFrame:
 
     ``evidence`` is one of ``mark`` (open before a cut mark), ``prefix`` (open, and continued in
     another text), ``closing`` (ends in the beginning of a usual closing line), ``open`` (prose
-    without closing sign) and ``limit`` (verse or list at a field limit of its source, within a
-    line; a whole poem of exactly that length cannot be told apart and counts too). Null, empty and blank texts are no case; repeated rows each come out; ties and extra
+    without closing sign), ``limit`` (verse or list at a field limit of its source, within a
+    line; a whole poem of exactly that length cannot be told apart and counts too) and ``word``
+    (verse or list that stops inside a word, see :func:`word_stumps`). Not found without another
+    sign: verse and lists cut between two words, or where the rest of the word is a word or ends
+    like one. Null, empty and blank texts are no case; repeated rows each come out; ties and extra
     columns change nothing; an empty table gives an empty result.
     """
     body = _body(F.col("text"))
@@ -139,9 +175,10 @@ def truncations(documents: DataFrame) -> DataFrame:
         "doc_id", "source", "marked", "chars", "bytes", _form(F.col("kind"), F.col("body")).alias("form"),
         (~_closed(F.col("body"))).alias("open"), F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"),
         F.left(F.element_at(lines, -1), F.lit(40)).alias("line"), (F.size(lines) >= 2).alias("several"),
-        F.length(F.element_at(lines, -1)).alias("last_len"), F.array_min(lengths).alias("least_len"),
+        F.length(F.element_at(lines, -1)).alias("last_len"), F.array_min(lengths).alias("least_len"), "body",
     )
-    judged = materialise(judged)
+    may_stop = F.col("form").isin("verse", "list") & F.col("open")
+    judged = materialise(judged.withColumn("word", F.when(may_stop, F.element_at(_words(F.col("body")), -1))).drop("body"))
     # 1. strict prefixes of longer texts
     prefixes = strict_prefixes(rows, "body").where(F.col("after") != "\n").select(F.xxhash64("value").alias("h1"), F.xxhash64(F.lit(1), "value").alias("h2")).distinct().withColumn("is_prefix", F.lit(True))
     # 2. usual closing lines of letters, and their strict beginnings
@@ -159,6 +196,8 @@ def truncations(documents: DataFrame) -> DataFrame:
     limits = field_limits(judged).withColumn("limit", F.lit(True))
     chars = limits.where("measure = 'chars'").select("source", F.col("length").alias("chars"), F.col("limit").alias("at_chars"))
     octets = limits.where("measure = 'bytes'").select("source", F.col("length").alias("bytes"), F.col("limit").alias("at_bytes"))
+    # 3. last words that are cut
+    stumps = word_stumps(rows, judged.where(F.col("word").isNotNull()).select("word")).withColumn("is_stump", F.lit(True))
     known = (
         judged.withColumn("bare", bare)
         .join(prefixes, ["h1", "h2"], "left")
@@ -166,6 +205,7 @@ def truncations(documents: DataFrame) -> DataFrame:
         .join(F.broadcast(begun), "bare", "left")
         .join(chars, ["source", "chars"], "left")
         .join(octets, ["source", "bytes"], "left")
+        .join(stumps, "word", "left")
     )
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     short = F.col("last_len") < F.col("least_len")
@@ -177,6 +217,7 @@ def truncations(documents: DataFrame) -> DataFrame:
         .when(F.col("form").isin("prose", "letter", "unknown") & F.col("open") & ~(letter & yes("usual")), "open")
         .when((F.col("form") == "verse") & F.col("open") & (yes("at_chars") | yes("at_bytes")), "limit")
         .when((F.col("form") == "list") & F.col("open") & (yes("at_chars") | yes("at_bytes")) & short, "limit")
+        .when(may_stop & yes("is_stump"), "word")
     )
     return known.withColumn("evidence", evidence).where(F.col("evidence").isNotNull()).select("doc_id", "source", "form", "evidence")
 

@@ -124,6 +124,19 @@ def test_field_limit_of_verse(spark):
     assert got == {k for k, t in enumerate(poems) if k % 2 and len(t) > 400 or len(t) == 400}
 
 
+def test_verse_and_lists_cut_inside_a_word(spark):
+    """Cut at no field limit, without mark or longer copy; an inflected or repeated word is no stump."""
+    rows = [
+        (1, "fata canunt\narma deum perfal", "paste", "verse", ""), (2, "arma deum\nfata ferunt Pērfal", "hymns", "verse", ""), (3, "os: mouth\nmons: moun", "gloss", "glossary", ""),
+        (4, "fata canunt\narma deum resoluunt", "paste", "verse", ""), (5, "arma deum\nfata canunt et moun,", "paste", "verse", ""), (6, "fata ferunt\narma sine causis et fata", "paste", "verse", ""), (7, "arma\nfata deum zephyr", "paste", "verse", ""),
+        (8, "Legunt et dicunt perfallendo resoluuntur in fatali mountain perfallit.", "forum", "commentary", ""),
+    ]
+    got = {r.doc_id: r.evidence for r in truncation.truncations(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {1: "word", 2: "word"}  # (5) shows that "moun" is a word
+    got = {r.doc_id: r.evidence for r in truncation.truncations(spark.createDataFrame([r for r in rows if r[0] != 5], DOC)).collect()}
+    assert got == {1: "word", 2: "word", 3: "word"}
+
+
 def test_strict_prefixes(spark):
     values = ["ab", "abc", "abcd", "b", "", None, "bb", "ab", "c", "zz", "zzz"]
     got = {tuple(r) for r in truncation.strict_prefixes(spark.createDataFrame([(v,) for v in values], "v string"), "v").collect()}
