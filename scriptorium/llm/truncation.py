@@ -25,10 +25,10 @@ CUT_MARK = r"(?:[\s\p{Z}]*(?:[\[(][\s\p{Z}]*(?:…|\.\.\.+)[\s\p{Z}]*[\])]|…|\
 TAIL = r"(?:[\s\p{Z}\p{So}\p{Sk}\x{FE0F}]|\[[0-9]+\])+$"
 #: A text is closed if it ends in one of the signs, closers aside.
 CLOSERS, SIGNS = "\"'»“”’)]", ".?!;·;"
-#: A length is a field limit if at least LIMIT_ROWS texts have it and LIMIT_RATIO times as many as
+#: A length is a field limit if at least LIMIT_ROWS different texts have it and LIMIT_RATIO times as many as
 #: the lengths within LIMIT_REACH around it have on average.
 LIMIT_ROWS, LIMIT_RATIO, LIMIT_REACH = 8, 6, 12
-#: A closing line is usual if it ends at least this share of the texts of its kind.
+#: A closing line is usual if it ends at least this share of the different texts of its kind.
 USUAL_CLOSING = 0.02
 #: Three letters are a usual word ending if at least this share of the words that hold them end there.
 USUAL_ENDING = 0.1
@@ -105,9 +105,9 @@ def strict_prefixes(values: DataFrame, value: str) -> DataFrame:
 
 def field_limits(rows: DataFrame) -> DataFrame:
     """``(source, measure, length)``: the lengths in characters or bytes at which texts of a source
-    pile up. Counts cover all rows."""
+    pile up. Each different text (``h1``, ``h2``) counts once at a length, however often it is repeated."""
     by = Window.partitionBy("source", "measure").orderBy("length").rangeBetween(-LIMIT_REACH, LIMIT_REACH)
-    counts = rows.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("measure"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("measure"), F.col("bytes").alias("length")))).alias("x")).groupBy("source", "x.measure", "x.length").count()
+    counts = rows.select("source", "h1", "h2", F.explode(F.array(F.struct(F.lit("chars").alias("measure"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("measure"), F.col("bytes").alias("length")))).alias("x")).select("source", "x.*", "h1", "h2").distinct().groupBy("source", "measure", "length").count()
     around = (F.sum("count").over(by) - F.col("count")) / (2 * LIMIT_REACH)
     return counts.withColumn("around", around).where((F.col("count") >= LIMIT_ROWS) & (F.col("count") >= LIMIT_RATIO * F.greatest("around", F.lit(0.5)))).select("source", "measure", "length")
 
@@ -183,7 +183,7 @@ def truncations(documents: DataFrame) -> DataFrame:
     prefixes = strict_prefixes(rows, "body").where(F.col("after") != "\n").select(F.xxhash64("value").alias("h1"), F.xxhash64(F.lit(1), "value").alias("h2")).distinct().withColumn("is_prefix", F.lit(True))
     # 2. usual closing lines of letters, and their strict beginnings
     bare = F.regexp_replace("line", r"[.?!]+$", "")
-    letters = judged.where((F.col("form") == "letter") & F.col("several")).select(bare.alias("closing"))
+    letters = judged.where((F.col("form") == "letter") & F.col("several")).select(bare.alias("closing"), "h1", "h2").distinct()
     often = letters.groupBy("closing").count().withColumn("all", F.sum("count").over(Window.partitionBy())).where((F.col("count") >= F.col("all") * USUAL_CLOSING) & (F.length("closing") <= 24)).select("closing", "count")
     cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length("closing") - 1, F.lit(1))), lambda i: F.regexp_replace(F.rtrim(F.left(F.col("closing"), i)), r"[.?!]+$", ""))
     begin = often.select("closing", "count", F.explode(cut).alias("bare")).where(F.col("bare") != F.col("closing"))

@@ -1,6 +1,7 @@
 """One key, place or text in a third or more of all rows: results stay whole and no pairs are formed."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -32,3 +33,17 @@ def test_one_text_in_many_rows(spark):
     assert truncation.truncations(docs).count() == 5000  # all are open
     assert truncation.strict_prefixes(docs, "text").count() > 0
     assert tokenise.token_count(docs, "doc_id", "text").select("n_tokens").distinct().count() < 10
+
+
+def test_one_poem_or_letter_in_many_rows(spark):
+    """A repeated whole text makes no limit, hides none, and changes no usual closing line."""
+    r = random.Random(5)
+    line = lambda: " ".join("".join(r.choice("aeiormst") for _ in range(r.randrange(3, 9))) for _ in range(6))
+    poem = lambda n: "\n".join(line() for _ in range(n))
+    hot = next(t for t in iter(lambda: poem(10), None) if 392 <= len(t) <= 398)
+    cut = [t[:400] for t in (poem(30) for _ in range(60))]
+    rows = [(k, t, "paste", "verse") for k, t in enumerate([hot] * 400 + cut + [poem(r.randrange(2, 9)) for _ in range(300)])]
+    rows += [(1000 + k, f"Bene vales. Nummer {'x' * k}.\nVale", "post", "letter") for k in range(12)]
+    rows += [(2000 + k, "Bene vales.\nCura ut valeas amice carissime atque scribas.", "post", "letter") for k in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, kind string")
+    assert {x.doc_id for x in truncation.truncations(docs).collect()} == set(range(400, 460))
