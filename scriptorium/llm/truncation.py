@@ -11,6 +11,7 @@ the last word stands nowhere else, another word goes on from it, and words seldo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,9 +26,10 @@ CUT_MARK = r"(?:[\s\p{Z}]*(?:[\[(][\s\p{Z}]*(?:…|\.\.\.+)[\s\p{Z}]*[\])]|…|\
 TAIL = r"(?:[\s\p{Z}\p{So}\p{Sk}\x{FE0F}]|\[[0-9]+\])+$"
 #: A text is closed if it ends in one of the signs, closers aside.
 CLOSERS, SIGNS = "\"'»“”’)]", ".?!;·;"
-#: A length is a field limit if at least LIMIT_ROWS different texts have it and LIMIT_RATIO times as many as
-#: the lengths within LIMIT_REACH around it have on average.
-LIMIT_ROWS, LIMIT_RATIO, LIMIT_REACH = 8, 6, 12
+#: A length is a field limit if LIMIT_RATIO times as many different texts have it as the lengths
+#: within LIMIT_REACH around it have on average, and so many would come together by chance at any
+#: length of the source in less than LIMIT_CHANCE of all cases.
+LIMIT_RATIO, LIMIT_REACH, LIMIT_CHANCE = 6, 12, 0.001
 #: A closing line is usual if it ends at least this share of the different texts of its kind.
 USUAL_CLOSING = 0.02
 #: Three letters are a usual word ending if at least this share of the words that hold them end there.
@@ -108,8 +110,12 @@ def field_limits(rows: DataFrame) -> DataFrame:
     pile up. Each different text (``h1``, ``h2``) counts once at a length, however often it is repeated."""
     by = Window.partitionBy("source", "measure").orderBy("length").rangeBetween(-LIMIT_REACH, LIMIT_REACH)
     counts = rows.select("source", "h1", "h2", F.explode(F.array(F.struct(F.lit("chars").alias("measure"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("measure"), F.col("bytes").alias("length")))).alias("x")).select("source", "x.*", "h1", "h2").distinct().groupBy("source", "measure", "length").count()
-    around = (F.sum("count").over(by) - F.col("count")) / (2 * LIMIT_REACH)
-    return counts.withColumn("around", around).where((F.col("count") >= LIMIT_ROWS) & (F.col("count") >= LIMIT_RATIO * F.greatest("around", F.lit(0.5)))).select("source", "measure", "length")
+    near = F.sum("count").over(by) - F.col("count")
+    k, mean = F.col("count"), (F.col("near") + 1) / (2 * LIMIT_REACH)  # one more, as none seen is not none possible
+    # Chernoff's bound of the Poisson chance of k or more, for each of the source's lengths
+    chance = k - mean - k * F.log(k / mean) + F.log("lengths")
+    counts = counts.withColumn("near", near).withColumn("lengths", F.count("*").over(Window.partitionBy("source", "measure")))
+    return counts.where((k >= LIMIT_RATIO * mean) & (chance < math.log(LIMIT_CHANCE))).select("source", "measure", "length")
 
 
 def _words(body: Column) -> Column:

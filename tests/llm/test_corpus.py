@@ -124,6 +124,17 @@ def test_field_limit_of_verse(spark):
     assert got == {k for k, t in enumerate(poems) if k % 2 and len(t) > 400 or len(t) == 400}
 
 
+def test_field_limit_of_a_small_source(spark):
+    """Four texts at one length among forty of scattered lengths are a limit, two are none."""
+    r = random.Random(6)
+    vocab = ["".join(r.choice("aeiormst") for _ in range(r.randrange(3, 9))) for _ in range(60)]
+    poem = lambda n: "\n".join(" ".join(r.choice(vocab) for _ in range(6)) for _ in range(n))
+    rows = [(k, poem(40)[: 600 if k < 4 else 700], "paste", "verse", "") for k in range(6)]
+    rows += [(10 + k, poem(2 + k), "paste", "verse", "") for k in range(40)]
+    got = {x.doc_id for x in truncation.truncations(spark.createDataFrame(rows, DOC)).where("evidence = 'limit'").collect()}
+    assert got == {0, 1, 2, 3}
+
+
 def test_verse_and_lists_cut_inside_a_word(spark):
     """Cut at no field limit, without mark or longer copy; an inflected or repeated word is no stump."""
     rows = [
