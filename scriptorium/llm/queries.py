@@ -22,8 +22,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    loc = _table(spark, sf_dir, "loc")
-    return survivor.survivors(loc, _table(spark, sf_dir, "works"), _table(spark, sf_dir, "text_source"))
+    """The survivors with what the editions together say of their work, field by field."""
+    loc, works, sources = (_table(spark, sf_dir, n) for n in ("loc", "works", "text_source"))
+    return survivor.survivors(loc, works, sources).join(survivor.work_records(works, sources), "identity", "left")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,25 +106,30 @@ r AS (SELECT work_id, min(t)::BIGINT AS tok_first, max(t)::BIGINT AS tok_last FR
 """
 
 
-# Survivors by plain ranking: these tables have no missing load times, so no precedence is needed.
+# Survivors by plain ranking, from the wording of the task: these tables have no missing load times,
+# so no precedence is needed. A place is the list of all numbers in ref and leaf; a leaf that ref
+# repeats is told by the number of parts that most rows of the work have.
+_NUMBERS = "list_filter(string_split_regex({ref}, '[^0-9A-Za-z]+'), lambda x: x <> '')"
+_ARABIC = """list_transform({parts}, lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN x::BIGINT ELSE
+  list_sum(list_transform(regexp_extract_all(upper(x), 'CM|CD|XC|XL|IX|IV|[IVXLCDM]'), lambda r: CASE r WHEN 'CM' THEN 900 WHEN 'CD' THEN 400 WHEN 'XC' THEN 90 WHEN 'XL' THEN 40 WHEN 'IX' THEN 9 WHEN 'IV' THEN 4
+    WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 WHEN 'D' THEN 500 ELSE 1000 END))::BIGINT END)"""
 _SURVIVORS = f"""
-WITH t AS (SELECT source, max(trust) AS trust FROM text_source GROUP BY source),
-w AS (SELECT id, regexp_replace(CASE WHEN len(k) >= 2 THEN k[-2] || '.' || k[-1] ELSE k[1] END, '[^\\p{{L}}\\p{{N}}.]+', '', 'g') AS identity, source
-  FROM (SELECT id, source, string_split(regexp_replace(lower(key), '[.](txt|xml|html?)$', ''), '/') AS k FROM works)),
-l AS (SELECT loc_id, identity, trust, loaded_at, leaf, list_filter(string_split({PLAIN_REF_SQL.format(ref="ref")}, '.'), lambda x: x <> '') AS parts,
-  coalesce(length(regexp_replace(text, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), 0) AS n FROM loc JOIN w ON w.id = loc.work_id LEFT JOIN t USING (source)),
-d AS (SELECT identity, arg_max(k, (c, -k)) AS depth FROM (SELECT identity, len(parts) AS k, count(*) AS c FROM l WHERE leaf IS NOT NULL AND parts IS NOT NULL GROUP BY ALL) GROUP BY identity),
-p AS (SELECT l.*, array_to_string(CASE WHEN len(parts) = 0 THEN NULL WHEN leaf IS NOT NULL AND len(parts) = depth + 1 AND parts[-1] = leaf::VARCHAR THEN parts WHEN leaf IS NOT NULL THEN list_append(parts, leaf::VARCHAR)
-  WHEN len(parts) > depth THEN parts END, '.') AS path FROM l LEFT JOIN d USING (identity)),
-g AS (SELECT *, count(*) OVER (PARTITION BY identity, path) AS copies, max(n) OVER (PARTITION BY identity, path) AS longest FROM p WHERE path IS NOT NULL),
-r AS (SELECT *, row_number() OVER (PARTITION BY identity, path ORDER BY trust DESC NULLS LAST, loaded_at DESC NULLS LAST, loc_id) AS k FROM g WHERE copies >= 2 AND n * 5 >= longest * 4)
+WITH k AS (SELECT w.id, s.trust, w.author, w.title, w.unit, translate(lower(trim(w.key)), 'vj', 'ui') AS name, s.code FROM works w LEFT JOIN text_source s USING (source)),
+e AS (SELECT id, trust, author, title, unit, CASE WHEN starts_with(name, code || '.') OR starts_with(name, code || '/') OR starts_with(name, code || ':') THEN substr(name, length(code) + 2) ELSE name END AS name FROM k),
+w AS (SELECT id, trust, author, title, unit, array_to_string(regexp_extract_all(regexp_replace(name, '[.]txt$', ''), '[a-z0-9]+'), '') AS identity FROM e),
+l AS (SELECT loc_id, identity, trust, loaded_at, leaf, {_ARABIC.format(parts=_NUMBERS.format(ref="ref"))} AS nums, length(coalesce(trim(text, E' \\t\\n\\r'), '')) AS n FROM loc JOIN w ON w.id = loc.work_id WHERE ref IS NOT NULL),
+u AS (SELECT identity, mode(len(nums)) AS usual FROM l WHERE leaf IS NOT NULL GROUP BY identity),
+p AS (SELECT l.*, array_to_string(CASE WHEN leaf IS NULL OR (len(nums) > usual AND nums[-1] = leaf) THEN nums ELSE list_append(nums, leaf) END, '.') AS path FROM l JOIN u USING (identity) WHERE len(nums) > 0 AND (leaf IS NOT NULL OR len(nums) > usual)),
+g AS (SELECT *, count(*) OVER (PARTITION BY identity, path) AS copies, max(n) OVER (PARTITION BY identity, path) AS longest FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY identity, path ORDER BY trust DESC NULLS LAST, loaded_at DESC NULLS LAST, loc_id) AS k FROM g WHERE copies >= 2 AND n * 5 >= longest * 4),
+best AS (SELECT identity, arg_max(trim(author), (trust, -id)) FILTER (trim(author) <> '') AS author, arg_max(trim(title), (trust, -id)) FILTER (trim(title) <> '') AS title, arg_max(trim(unit), (trust, -id)) FILTER (trim(unit) <> '') AS unit FROM w GROUP BY identity)
 """
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _SURVIVORS + "SELECT loc_id FROM r WHERE k = 1",
-        "p1_survivors": _SURVIVORS + "SELECT loc_id, copies, identity, path FROM r WHERE k = 1",
+        "p1_survivors": _SURVIVORS + "SELECT loc_id, copies, identity, path, author, title, unit FROM r LEFT JOIN best USING (identity) WHERE k = 1",
         "p2_found": _RUNS + "SELECT * FROM r",
         "p2_shares": _RUNS
         + """, t AS (SELECT work_id, max(tok_offset) + 5 AS n_words FROM s GROUP BY work_id),

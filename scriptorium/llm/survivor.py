@@ -4,33 +4,58 @@ A group is the rows of one place: one work (whatever its edition and key), one c
 leaf. Rows whose text is much shorter than the longest of the group drop out, then the most trusted
 source wins, then the latest load. Where load times are missing, the order in which the timestamped
 rows of all groups went from one state to the next (source, way of writing the place) is learned as
-a precedence between states; in the partial order that it gives within a group, the row that comes
-topologically last is the most current.
+a precedence between states. It is closed over longer chains and freed of cycles, so that it is a
+partial order; in the part of it that a group sees, the row that comes topologically last is the
+most current. What is known of the work (author, title, unit) is built field by field.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.refs import ref_parts
-from ..functions.text import strip_blanks
-from ..session import materialise
+from ..functions.text import base_letter_table, strip_blanks
+from ..session import map_batches, materialise
 
 #: Shortest text that stays in the choice, as a share (numerator, denominator) of the group's longest.
 LEAST_SHARE = (4, 5)
+#: Rank of a source without trust.
+NO_TRUST = -(2**31)
 
 
-def work_identity(key: Column) -> Column:
+def work_identity(key: Column, code: Column) -> Column:
     """One key for all editions of a work.
 
-    A file path counts as its last folder and file name without extension; case, blanks and signs
-    other than the dot between author and title carry nothing. Null stays null.
+    A first part that is the ``code`` of the edition's source, the ending of a file name, case,
+    marks, every sign and the choice between u and v, i and j carry nothing. Null stays null; a
+    null code is no part of any key.
     """
-    k = F.regexp_replace(F.lower(key), r"\.(txt|xml|html?)$", "")
-    parts = F.split(k, "/")
-    k = F.when(F.size(parts) >= 2, F.concat(F.element_at(parts, -2), F.lit("."), F.element_at(parts, -1))).otherwise(k)
-    return F.regexp_replace(k, r"[^\p{L}\p{N}.]+", "")
+    src, dst = base_letter_table()
+    k = F.regexp_replace(F.lower(F.translate(strip_blanks(key), src, dst)), r"\.(txt|xml|html?)$", "")
+    first = F.regexp_extract(k, r"^([\p{L}\p{N}]+)[^\p{L}\p{N}]", 1)
+    plain_code = F.lower(F.translate(code, src, dst))
+    rest = F.when(first == plain_code, F.substr(k, F.length(first) + 1)).otherwise(k)
+    return F.regexp_replace(rest, r"[^\p{L}\p{N}]+", "")
+
+
+def editions(works: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(work_id, identity, source, trust, author, title, unit)``: one row for each work id; of
+    several the least (key, source) holds. The source table is the small side, by the planner's sizes."""
+    s = sources.groupBy("source").agg(F.max("trust").alias("trust"), F.min("code").alias("code"))
+    w = works.groupBy("id").agg(F.min(F.struct("key", "source", "author", "title", "unit")).alias("w")).select(F.col("id").alias("work_id"), "w.*")
+    return w.join(s, "source", "left").select("work_id", work_identity(F.col("key"), F.col("code")).alias("identity"), "source", "trust", "author", "title", "unit")
+
+
+def work_records(works: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(identity, author, title, unit)``: of each field the filled value of the most trusted
+    edition; ties go to the smallest work id. Blank counts as missing; null where no edition has one."""
+    e = editions(works, sources).where(F.col("identity").isNotNull())
+    rank = [F.coalesce("trust", F.lit(NO_TRUST)).alias("t"), (-F.col("work_id")).alias("w")]
+    filled = lambda c: F.when(strip_blanks(F.col(c)) != "", F.struct(*rank, strip_blanks(F.col(c)).alias("v")))
+    return e.groupBy("identity").agg(*[F.max(filled(c))["v"].alias(c) for c in ("author", "title", "unit")])
 
 
 def ref_style(ref: Column, leaf: Column) -> Column:
@@ -53,9 +78,7 @@ def places(loc: DataFrame, works: DataFrame, sources: DataFrame) -> DataFrame:
     the work's references, counted over all its rows, tells which. Rows without work or path have a
     null ``path`` and belong to no place.
     """
-    trust = sources.groupBy("source").agg(F.max("trust").alias("trust"))
-    w = works.groupBy("id").agg(F.min(F.struct("key", "source")).alias("w")).select(F.col("id").alias("work_id"), work_identity(F.col("w.key")).alias("identity"), F.col("w.source").alias("source"))
-    w = w.join(trust, "source", "left")
+    w = editions(works, sources).select("work_id", "identity", "source", "trust")
     needed = loc.select("loc_id", "work_id", "ref", "leaf", "text", "loaded_at")
     rows = needed.join(w, "work_id").select(
         "loc_id", "identity", "source", "trust", "loaded_at", ref_parts(F.col("ref")).alias("parts"), F.col("leaf").cast("string").alias("leaf"), ref_style(F.col("ref"), F.col("leaf")).alias("style"), F.coalesce(F.length(strip_blanks(F.col("text"))), F.lit(0)).alias("length")
@@ -77,18 +100,37 @@ def places(loc: DataFrame, works: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(depth, "identity", "left").withColumn("path", F.array_join(F.when(n > 0, path), ".")).drop("parts", "depth")
 
 
+def _partial_order(batches: Iterator) -> Iterator:
+    """The moves between states, all in one batch or several, as a closed partial order."""
+    import numpy as np
+    import pyarrow as pa
+
+    moves = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+    names = sorted({x for a, b, _ in moves for x in (a, b)})
+    at = {x: k for k, x in enumerate(names)}
+    seen = np.zeros((len(names), len(names)), np.int64)
+    for a, b, n in moves:
+        seen[at[a], at[b]] = n
+    reach = np.where(seen > seen.T, seen, 0)  # a move seen as often backwards says nothing
+    for k in range(len(names)):
+        reach = np.maximum(reach, np.minimum(reach[:, k : k + 1], reach[k : k + 1, :]))
+    before, after = np.nonzero(reach > reach.T)
+    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in x], pa.string()) for x in (before, after)], names=["earlier", "later"])
+
+
 def learned_precedence(states: DataFrame) -> DataFrame:
     """``(earlier, later)`` pairs of states, learned from the timestamped rows of all groups.
 
-    ``states`` has one row per group and state with the earliest load time. State a precedes b where
-    a comes before b in more groups than the other way round.
+    ``states`` has one row per group and state with the earliest load time. What is counted are the
+    moves from a state to the next of its group. A chain of moves is as strong as its rarest move,
+    and a precedes b if the strongest chain from a to b is stronger than the one back: that relation
+    has no cycles and holds over chains (the beat-path order of Schulze, 2011). The states are as
+    many as sources times ways of writing, so the table of moves has a bound and one task closes it.
     """
     timed = states.where(F.col("first").isNotNull())
     nxt = timed.withColumn("prev", F.lag("state").over(Window.partitionBy("identity", "path").orderBy("first", "state")))
     moves = nxt.where(F.col("prev").isNotNull()).groupBy("prev", "state").count()
-    back = moves.select(F.col("state").alias("prev"), F.col("prev").alias("state"), F.col("count").alias("back"))
-    net = moves.join(back, ["prev", "state"], "left").where(F.col("count") > F.coalesce("back", F.lit(0)))
-    return net.select(F.col("prev").alias("earlier"), F.col("state").alias("later"))
+    return map_batches(moves.coalesce(1), _partial_order, "earlier string, later string")
 
 
 def survivors(loc: DataFrame, works: DataFrame, sources: DataFrame) -> DataFrame:
@@ -98,8 +140,9 @@ def survivors(loc: DataFrame, works: DataFrame, sources: DataFrame) -> DataFrame
     Combined before the shuffle: what reaches a group is one row for each different (length, trust,
     state), so a place with a third of all rows is no larger than another. Null or blank texts have
     length 0 and survive only among their like. A source without trust comes after all others.
-    Without any load time in the best class, the topologically last state wins; a row without time
-    beats one with time only if its state is learned to come later. Ties go to the smallest loc_id.
+    Without any load time in the best class, the topologically last state wins: the one that most
+    states of its group precede, which in a partial order is never before another. A row without
+    time beats one with time only if its state is learned to come later. Ties go to the smallest loc_id.
     Rows of unknown work, without ref or without leaf belong to no group. Empty tables give nothing.
     """
     rows = places(loc, works, sources).where(F.col("path").isNotNull() & F.col("identity").isNotNull())
@@ -122,8 +165,8 @@ def survivors(loc: DataFrame, works: DataFrame, sources: DataFrame) -> DataFrame
         brief.withColumn("copies", F.sum("n").over(by))
         .withColumn("longest", F.max("length").over(by))
         .where((F.col("copies") >= 2) & (F.col("length") * LEAST_SHARE[1] >= F.col("longest") * LEAST_SHARE[0]))
-        .withColumn("top", F.max(F.coalesce("trust", F.lit(-(2**31)))).over(by))
-        .where(F.coalesce("trust", F.lit(-(2**31))) == F.col("top"))
+        .withColumn("top", F.max(F.coalesce("trust", F.lit(NO_TRUST))).over(by))
+        .where(F.coalesce("trust", F.lit(NO_TRUST)) == F.col("top"))
     )
     # one candidate per state: its latest timed row, and its untimed row
     candidates = fit.select(

@@ -17,8 +17,8 @@ def test_one_stretch_in_many_works(spark):
 
 
 def test_one_place_loaded_often(spark):
-    works = spark.createDataFrame([(1, "a.b", "s")], "id bigint, key string, source string")
-    sources = spark.createDataFrame([("s", 5)], "source string, trust int")
+    works = spark.createDataFrame([(1, "a.b", "s", "a", "b", "line")], "id bigint, key string, source string, author string, title string, unit string")
+    sources = spark.createDataFrame([("s", "x", 5)], "source string, code string, trust int")
     at = dt.datetime(2024, 1, 1)
     loc = spark.range(9000).select(F.col("id").alias("loc_id"), F.lit(1).cast("bigint").alias("work_id"), F.lit(0).cast("bigint").alias("tok_offset"), F.lit("1").alias("ref"),
                                    F.when(F.col("id") < 6000, 1).otherwise(F.col("id")).cast("int").alias("leaf"), F.lit("text").alias("text"), (F.lit(at) + F.expr("make_dt_interval(0, 0, 0, id)")).cast("timestamp").alias("loaded_at"))
