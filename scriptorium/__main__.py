@@ -1,4 +1,4 @@
-"""Command line: ``python -m scriptorium status|catalogue|library ...``"""
+"""Command line: ``python -m scriptorium status|catalogue|build|ingest|library ...``"""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from .engine import Engine
-from .plans.build import build_library
+from .plans.build import build_editions, build_library, ingest
 
 
 def main(args: list[str] | None = None) -> int:
@@ -15,12 +15,17 @@ def main(args: list[str] | None = None) -> int:
     sub = p.add_subparsers(dest="what", required=True)
     for name in ("status", "catalogue"):
         sub.add_parser(name).add_argument("--data")
-    lib = sub.add_parser("library", help="index a folder of plain texts")
-    lib.add_argument("files")
-    lib.add_argument("--data", required=True)
+    for name, what in (("build", "index the editions of a folder"), ("ingest", "read the commentaries of a folder"), ("library", "add a folder of plain texts to the index")):
+        one = sub.add_parser(name, help=what)
+        one.add_argument("files")
+        one.add_argument("--data", required=True)
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("scriptorium").getOrCreate()
-    if a.what == "library":
+    if a.what == "build":
+        build_editions(spark, a.files, a.data).show(200, truncate=False)
+    elif a.what == "ingest":
+        ingest(spark, a.files, a.data).show(200, truncate=False)
+    elif a.what == "library":
         build_library(spark, a.files, a.data)
     engine = Engine(spark, a.data)
     (engine.catalogue() if a.what == "catalogue" else engine.status()).show(200, truncate=False)

@@ -6,10 +6,12 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import __version__
 from .operators import retrieval
 from .operators.constructions import catalogue
 from .operators.scansion import scan
 from .plans.assemble import Analysis, analyse, to_documents
+from .session import materialise
 from .sources.sinks import status
 
 #: Environment variable that names the folder of the tables where none is given.
@@ -20,7 +22,8 @@ class Engine:
     """The tables ``works``, ``loc``, ``shingle`` and ``note`` of a folder, read when used.
 
     A table that is missing or broken leaves the other results whole: its part is left out and named
-    in ``warnings``.
+    in ``warnings``. To know that, each such part is run and written once when it is asked for; a
+    file that breaks only while it is read counts there and not in the caller's job.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, main_source: str = "editions") -> None:
@@ -39,12 +42,17 @@ class Engine:
     def status(self) -> DataFrame:
         return status(self.spark, {n: self.path(n) for n in ("works", "loc", "shingle", "note")})
 
+    def health(self, annotator: object = None) -> dict:
+        """Version, state of each table, and whether an annotator is at hand for plain texts."""
+        tables = {r.table: r.state for r in self.status().collect()}  # four rows
+        return {"version": __version__, "ready": annotator is not None, "tables": tables}
+
     def catalogue(self) -> DataFrame:
         return catalogue(self.spark)
 
     def _optional(self, name: str, make) -> DataFrame | None:
         try:
-            return make()
+            return materialise(make())
         except Exception as e:  # noqa: BLE001 - an optional part must not take the rest down
             self.warnings.append(f"{name}: {type(e).__name__}")
             return None

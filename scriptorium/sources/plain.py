@@ -8,13 +8,37 @@ from pyspark.sql import functions as F
 
 
 MARKER = r"\[\s*(\d{1,4})\s*\]"
-# Files that are no texts, longest title, longest unit text that is stored.
+# Folders of the authors that are indexed by default, authors of files outside such
+# folders by the beginning of the file name, names shown instead of folder names, files that are no
+# texts, longest title, longest unit text that is stored.
+AUTHORS = (
+    "caesar", "cicero", "vergil", "ovid", "horace", "catullus", "livy", "tacitus", "sallust", "lucretius", "juvenal", "martial", "seneca", "propertius", "tibullus", "persius", "lucan", "statius",
+    "plautus", "terence", "quintilian", "pliny", "suetonius", "nepos", "curtius", "apuleius", "gellius", "ammianus", "columella", "varro", "vitruvius", "frontinus", "justin", "florus", "valeriusmaximus", "sen",
+)
+ROOT_FILES = {
+    "sall": "Sallust", "prop": "Propertius", "tib": "Tibullus", "pers": "Persius", "quintilian": "Quintilian", "manilius": "Manilius", "silius": "Silius Italicus",
+    "valeriusflaccus": "Valerius Flaccus", "germanicus": "Germanicus",
+}
+SHOWN_NAMES = {"sen": "Seneca", "vergil": "Vergil", "livy": "Livy", "sall": "Sallust", "valeriusmaximus": "Valerius Maximus", "curtius": "Curtius Rufus"}
 SKIPPED = ("index", "contents", "readme", "license")
 TITLE_LENGTH, STORED_LENGTH = 90, 400
 
 
-def read_library(spark: SparkSession, folder: str, authors: list[str] | None = None, prefixes: dict[str, str] | None = None, names: dict[str, str] | None = None) -> DataFrame:
-    """``(path, author, title, seq, ref, leaf, text)`` of every text file below ``folder``.
+def text_files(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
+    """``(path, raw)`` of the files below a folder whose name fits."""
+    return spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+
+
+def read_library(spark: SparkSession, folder: str, **choice) -> DataFrame:
+    """The :func:`library_units` of every text file below ``folder``."""
+    return library_units(text_files(spark, folder), **choice)
+
+
+def library_units(files: DataFrame, authors: list[str] | None = None, prefixes: dict[str, str] | None = None, names: dict[str, str] | None = None) -> DataFrame:
+    """``(path, author, title, seq, ref, leaf, text)`` of ``files(path, raw)``.
+
+    ``authors`` are the folders to take (all, if none are named), ``prefixes`` authors by the first
+    part of a file's name, ``names`` what is shown for a folder.
 
     Lines of more than two words are content, the first of them the heading. Where ``[ n ]`` marks
     chapters, a unit is a chapter (leaf 1); text before the first mark is left out. Elsewhere each
@@ -22,9 +46,8 @@ def read_library(spark: SparkSession, folder: str, authors: list[str] | None = N
     three signs and no number, else the file name; the author is the folder's name. Sorting within a
     file is by line, the only order a text has; a file is gathered whole.
     """
-    f = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
     name = F.regexp_extract("path", r"([^/]+)\.txt$", 1)
-    f = f.where(~F.lower(name).isin(*SKIPPED))
+    f = files.select("path", "raw").where(~F.lower(name).isin(*SKIPPED))
     lines = F.transform(F.split("raw", r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"[\s\p{Z}]+", " ")))
     f = f.select("path", "raw", name.alias("name"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("author"), lines.alias("lines"))
     by_prefix = F.lit(None).cast("string")
@@ -58,7 +81,12 @@ def stored_form(units: DataFrame) -> DataFrame:
 def read_conllu(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of CoNLL-U files in the engine's token schema: one document a file (its id a hash of
     the path), sentences and tokens numbered from 0; ranges and empty nodes are left out."""
-    f = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.conllu").select(F.xxhash64("_metadata.file_path").alias("doc_id"), F.col("value").alias("raw"))
+    f = text_files(spark, folder, "*.conllu")
+    return conllu_tokens(f.select(F.xxhash64("path").alias("doc_id"), "raw"))
+
+
+def conllu_tokens(f: DataFrame) -> DataFrame:
+    """The tokens of ``f(doc_id, raw)``; null and empty texts have none."""
     s = f.select("doc_id", F.posexplode(F.filter(F.split("raw", r"\r?\n\s*\r?\n"), lambda x: x.rlike(r"(?m)^\d+\t"))).alias("sent_id", "block"))
     t = s.select("doc_id", F.col("sent_id").cast("bigint").alias("sent_id"), F.explode(F.filter(F.split("block", r"\r?\n"), lambda x: x.rlike(r"^\d+\t"))).alias("line"))
     c = F.split("line", "\t")
@@ -72,6 +100,3 @@ def read_conllu(spark: SparkSession, folder: str) -> DataFrame:
         F.when(feats.isNull() | (feats == "_"), F.create_map().cast("map<string,string>")).otherwise(F.str_to_map(feats, F.lit("\\|"), F.lit("="))).alias("morph"),
         F.array().cast("array<map<string,string>>").alias("candidates"), F.regexp_extract(F.coalesce(misc, F.lit("")), r"(?:^|\|)NER=([^|]*)", 1).alias("ent"), F.regexp_extract(F.coalesce(misc, F.lit("")), r"(?:^|\|)Gloss=([^|]*)", 1).alias("gloss"),
     )
-
-
-

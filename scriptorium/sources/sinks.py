@@ -18,9 +18,11 @@ REQUIRED = {
 def replace_parts(df: DataFrame, path: str, part: str) -> None:
     """Overwrite those partitions (values of ``part``) that ``df`` has, keep all others.
 
-    Running it again gives the same table; an empty ``df`` changes nothing.
+    Running it again gives the same table; an empty ``df`` changes nothing. The shuffle before the
+    write is one that adaptive execution may balance: a part with a third of all rows is split over
+    several tasks and files, small parts share a task.
     """
-    df.repartition(F.col(part)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    df.hint("rebalance", F.col(part)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
 
 
 def status(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -46,7 +48,10 @@ def export_json(df: DataFrame, path: str, kind: str = "scriptorium-analysis") ->
 
 
 def save_recent(saved: DataFrame, fresh: DataFrame, text: str, saved_at: str, keep: int = 20) -> DataFrame:
-    """The saved readings with the fresh ones in front: each text once, the newest ``keep`` of all."""
-    every = saved.unionByName(fresh)
+    """The saved readings with the fresh ones in front: each text once, the newest ``keep`` of all.
+
+    Rows without text or time are no readings and are left out; saved columns that lack come as null.
+    """
+    every = fresh.unionByName(saved, allowMissingColumns=True).where(F.col(text).isNotNull() & F.col(saved_at).isNotNull())
     newest = every.groupBy(text).agg(F.max_by(F.struct(*every.columns), saved_at).alias("r")).select("r.*")
     return newest.orderBy(F.col(saved_at).desc(), text).limit(keep)

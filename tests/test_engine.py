@@ -15,13 +15,17 @@ def built(spark, tmp_path_factory):
     files, data = tmp_path_factory.mktemp("files"), tmp_path_factory.mktemp("data")
     (files / "a.xml").write_text(BOOK.format("".join(f"<l>{x}</l>" for x in LINES)))
     (files / "n.xml").write_text(NOTES)
+    (files / "bad.xml").write_text("<TEI.2><text>")
     (files / "caesar").mkdir()
+    with pytest.raises(FileNotFoundError):
+        build_library(spark, str(files), str(data))
     (files / "caesar" / "bg.txt").write_text("CAESAR\nliber primus est\n[1] Gallia est omnis divisa in partes tres quarum unam incolunt Belgae")
     works = spark.createDataFrame([("v.a", "Vates", "Arma", "line")], "key string, author string, title string, unit string")
     for _ in range(2):  # a second build changes nothing
-        build_editions(spark, str(files), [Edition("v.a", "a.xml"), Edition("none", "none.xml")], works, str(data))
+        broken = build_editions(spark, str(files), str(data), [Edition("v.a", "a.xml"), Edition("none", "none.xml"), Edition("bad", "bad.xml")], works)
+        assert [r.spec for r in broken.collect()] == ["bad"]
         build_library(spark, str(files), str(data))
-    counts = {r.source: r.n for r in ingest(spark, str(files), [Commentary("s", "S", "v.a", "la", "n.xml"), Commentary("t", "T", "v.a", "la", "none.xml")], str(data)).collect()}
+    counts = {r.source: r.n for r in ingest(spark, str(files), str(data), [Commentary("s", "S", "v.a", "la", "n.xml"), Commentary("t", "T", "v.a", "la", "none.xml")]).collect()}
     assert counts == {"s": 2, "t": 0}
     return Engine(spark, str(data))
 
@@ -50,6 +54,23 @@ def test_missing_tables_leave_a_warning(spark, tmp_path):
     assert e.warnings and e.warnings[0].startswith("commentary") and {r.state for r in e.status().collect()} == {"missing"}
 
 
+def test_a_part_that_fails_while_it_runs_leaves_a_warning(spark, built, tmp_path):
+    import shutil
+
+    shutil.copytree(built.folder, tmp_path / "d")
+    for f in (tmp_path / "d" / "note").rglob("*.parquet"):
+        data = bytearray(f.read_bytes())
+        footer = int.from_bytes(data[-8:-4], "little") + 8
+        data[4:-footer] = b"x" * len(data[4:-footer])  # the footer stays readable, the pages do not
+        f.write_bytes(bytes(data))
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    e = Engine(spark, str(tmp_path / "d"))
+    asked = spark.createDataFrame([(1, "v.a", "1", 3)], "request int, work string, ref string, line int")
+    assert e.notes_for(asked) is None and [w.split(":")[0] for w in e.warnings] == ["commentary"]
+    lines = spark.createDataFrame([(1, "v.a", "1", 1, 3)], "request int, work string, ref string, first int, last int")
+    assert e.canonical_lines(lines).count() == 3 and e.health()["tables"]["note"] == "available"
+
+
 def test_readings(spark):
     e = spark.createDataFrame([(1, k, f"h{k}", "N", "3", "F", "A", "X") for k in range(6)] + [(2, 0, "v", "V", "5", None, "Q", None)], "t int, n int, headword string, pos string, decl string, gender string, freq string, age string")
     got = readings.lexicon_entries(e, "t", "n").orderBy("t", "n").collect()

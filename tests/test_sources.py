@@ -41,6 +41,31 @@ def test_commentaries(spark, tmp_path):
     assert rows == [("s", "1", 1, 7, "arma", "", "Arma] bella"), ("s", "1", None, None, "", "", "praefatio"), ("w", "1.2", None, None, "gallia", "AG 495", "tota; sic"), ("w", "1.2", None, None, "est", "", "verbum magnum")]
 
 
+def test_broken_files_and_odd_markup(spark):
+    from scriptorium.sources.tei import commentary_notes, edition_units
+
+    section = '<TEI.2><div1 type="Speech" n="1"><p>Quo <milestone unit="section" n="2"/>usque <note>a <hi>b</hi></note>tandem<milestone unit="page" n="9"/> abutere</p></div1><div1 type="speech" n="x"><p>no</p></div1></TEI.2>'
+    deep = '<TEI.2><div1 type="book" n="1"><div2 type="poem" n="3"><l>unus</l><l n="9">nouem</l><l/><l>undecim</l></div2></div1></TEI.2>'
+    turned = '<TEI.2><div1 type="book" n="1"><p>ante<milestone unit="chapter" n="4"/>quattuor<milestone unit="chapter" n="pr"/>nusquam<milestone unit="section" n="5.0"/>quinque</p></div1></TEI.2>'
+    files = spark.createDataFrame([("d/s.xml", section), ("d/p.xml", deep), ("d/t.xml", turned), ("d/bad.xml", "<a><b></a>"), ("d/null.xml", None), ("d/other.xml", "<a/>")], "path string, raw string")
+    units, broken = edition_units(files, [Edition("s", "s.xml", ("speech",), False, ("section",)), Edition("p", "p.xml", ("book", "poem")), Edition("t", "t.xml", ("book",), False, ("chapter", "section")), Edition("b", "bad.xml"), Edition("n", "null.xml"), Edition("whole", "p.xml", ())])
+    assert sorted((r.work, r.ref, r.leaf, r.text) for r in units.collect()) == [
+        ("p", "1.3", 1, "unus"), ("p", "1.3", 9, "nouem"), ("p", "1.3", 11, "undecim"), ("s", "1", 1, "Quo"), ("s", "1", 2, "usque tandemb abutere"), ("t", "1.4", 1, "quattuor"), ("t", "1.5", 1, "quinque"),
+        ("whole", "", 1, "unus"), ("whole", "", 9, "nouem"), ("whole", "", 11, "undecim"),
+    ]
+    assert [(r.path, r.spec) for r in broken.collect()] == [("d/bad.xml", "b")]
+    note = "<TEI.2><div1 type='book' n='2'><div2 type='COMMLINE' n='4 – 6'><p>vide ' arma '<hi rend='CAPS'>[Regi na:</hi>, ( sic )!</p></div2><div2 type='commline' n='9'><pb/></div2></div1></TEI.2>"
+    got = commentary_notes(spark.createDataFrame([("n.xml", note), ("m.xml", "")], "path string, raw string"), [Commentary("s", "S", "v", "la", "n.xml"), Commentary("m", "M", "v", "la", "m.xml")])
+    assert [(r.ref, r.line_start, r.line_end, r.lemma, r.text) for r in got[0].collect()] == [("2", 4, 6, "regi na", "vide 'arma' [Regi na:, (sic)!")] and got[1].count() == 1
+
+
+def test_tables_of_works_and_commentaries(spark):
+    from scriptorium.sources.tei import COMMENTARIES, EDITIONS, works_of
+
+    assert len({e.work for e in EDITIONS}) == len(EDITIONS) == 15 and {c.work for c in COMMENTARIES} <= {e.work for e in EDITIONS}
+    assert {r.unit for r in works_of(spark).collect()} == {"line", "section"}
+
+
 def test_library(spark, tmp_path):
     (tmp_path / "caesar").mkdir()
     write(tmp_path / "caesar", a_txt="CAESAR\n\nliber primus est\n[ 1 ] Gallia est omnis\ndivisa in partes\n[2] Hi omnes lingua differunt", b_txt="12\nTitulus\nunus duo tres\nquattuor quinque sex septem\nocto novem\n", index_txt="a b c d", empty_txt="")
