@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..session import materialise
-from .rules import FAMILIES, SPECIAL, Rule, render, within
-from .token_context import sentences, token_context
+from .rules import FAMILIES, SPECIAL, Rule, columns_of, render
+from .token_context import token_context
 
-FINDING_SCHEMA = "doc_id bigint, sent_id bigint, key string, anchor int, tokens string, confidence double"
+FINDING_SCHEMA = "doc_id bigint, sent_id bigint, key string, anchor int, tokens string, confidence double, label string"
 
 
 def _struct(rule: Rule) -> str:
     tokens = ", ".join(f"CAST({render(x, 'spark')} AS STRING)" for x in rule.tokens)
-    return f"named_struct('key', '{rule.key}', 'anchor', CAST({rule.anchor} AS INT), 'tokens', concat_ws(',', {tokens}), 'confidence', CAST({render(rule.conf, 'spark')} AS DOUBLE))"
+    return f"named_struct('key', '{rule.key}', 'anchor', CAST({rule.anchor} AS INT), 'tokens', concat_ws(',', {tokens}), 'confidence', CAST({render(rule.conf, 'spark')} AS DOUBLE), 'label', {render(rule.label, 'spark')})"
 
 
 def _expression(family: str) -> str:
@@ -32,20 +32,9 @@ def nominal_absolutes(tokens: DataFrame) -> DataFrame:
     """Ablative absolutes without participle: a role word and a nominal ablative within two places.
 
     Word by word from the left; a pair whose first word is already part of an absolute is passed
-    over for the next candidate, so a fold over the sentence carries the words used so far.
+    over for the next candidate.
     """
-    role = f"({within('t.l', [*L.ABL_ABS_ROLE_NOUNS, *L.ABL_ABS_ROLE_ADJS])})"
-    used = """flatten(transform(filter(s, t -> t.dep = 'advcl:abs' AND t.cas = 'Abl'), t -> concat(array(t.i),
-        slice(transform(filter(s, x -> x.head = t.i AND x.i <> t.i AND x.dep IN ('nsubj', 'nsubj:pass') AND x.cas = 'Abl'), x -> x.i), 1, 1))))"""
-    fold = f"""aggregate(filter(s, t -> t.cas = 'Abl' AND t.bare AND {role}),
-      named_struct('used', {used}, 'found', CAST(array() AS array<struct<a:int,b:int,anchor:int>>), 'pick', CAST(array() AS array<int>)),
-      (acc, t) -> aggregate(array(CASE WHEN array_contains(acc.used, t.i) THEN CAST(array() AS array<int>) ELSE slice(transform(filter(s, x -> x.i <> t.i AND x.cas = 'Abl' AND x.bare
-            AND abs(x.i - t.i) <= 2 AND (x.num IS NULL OR t.num IS NULL OR x.num = t.num) AND x.pos IN ('NOUN', 'PROPN', 'PRON') AND NOT array_contains(acc.used, least(x.i, t.i))), x -> x.i), 1, 1) END),
-        acc, (a, p) -> named_struct('used', CASE WHEN size(p) > 0 THEN concat(a.used, array(t.i), p) ELSE a.used END,
-          'found', CASE WHEN size(p) > 0 THEN concat(a.found, array(named_struct('a', least(t.i, p[0]), 'b', greatest(t.i, p[0]), 'anchor', t.i))) ELSE a.found END, 'pick', p)),
-      acc -> acc.found)"""
-    found = sentences(tokens).select("doc_id", "sent_id", F.expr(f"inline({fold})"))
-    return found.select("doc_id", "sent_id", F.lit("ablative_absolute_nominal").alias("key"), "anchor", F.concat_ws(",", "a", "b").alias("tokens"), F.lit(0.7).alias("confidence"))
+    return family_findings(tokens, ["nominal"])
 
 
 #: Detectors that users add: name -> function of the tokens that gives rows of FINDING_SCHEMA.
@@ -64,11 +53,12 @@ def detector(name: str) -> Callable:
 
 def family_findings(tokens: DataFrame, families: Iterable[str]) -> DataFrame:
     """Findings of some families, as ``FINDING_SCHEMA``, without suppression."""
-    context = token_context(tokens)
+    families = list(families)
+    context = token_context(tokens, columns_of(families))
     parts = [_expression(f) for f in families]
     out = context.select("doc_id", "sent_id", F.expr(f"inline({parts[0] if len(parts) == 1 else 'concat(' + ', '.join(parts) + ')'})"))
     if "genitive" in families:  # the objective reading always comes with the subjective one
-        rows = F.filter(F.array(F.struct("key", "anchor", "tokens", "confidence"), F.when(F.col("key") == "genitive_subjective", F.struct(F.lit("genitive_objective").alias("key"), "anchor", "tokens", F.lit(0.5).alias("confidence")))), lambda x: x.isNotNull())
+        rows = F.filter(F.array(F.struct("key", "anchor", "tokens", "confidence", "label"), F.when(F.col("key") == "genitive_subjective", F.struct(F.lit("genitive_objective").alias("key"), "anchor", "tokens", F.lit(0.5).alias("confidence"), "label"))), lambda x: x.isNotNull())
         out = out.select("doc_id", "sent_id", F.inline(rows))
     return out
 
@@ -80,13 +70,12 @@ def constructions(tokens: DataFrame) -> DataFrame:
     anchor with a more special clause. No order: sort by confidence where one is shown. Null
     features never equal a value; sentences without tokens give nothing.
     """
-    # the findings of a sentence lie together already, so the window needs no shuffle of its own
+    # the shuffle of this window moves findings, which are few and narrow beside the tokens
     special = F.max(F.col("key").isin(*SPECIAL)).over(Window.partitionBy("doc_id", "sent_id", "anchor"))
     found = family_findings(tokens, FAMILIES).withColumn("special", special)
     found = found.where(~(F.col("special") & F.col("key").isin("purpose_clause", "result_clause"))).drop("special")
-    found = found.unionByName(nominal_absolutes(tokens))
     for fn in DETECTORS.values():
-        found = found.unionByName(fn(tokens))
+        found = found.unionByName(fn(tokens), allowMissingColumns=True)
     return found
 
 

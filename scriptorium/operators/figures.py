@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from .rules import within
-from .token_context import sentences
+from .token_context import flat_tokens, sentences
 
 WORD = "(t.pos NOT IN ('PUNCT', 'X') AND t.text <> '')"
 PAIR = "t.pos IN ('ADJ', 'DET', 'NUM') AND t.dep IN ('amod', 'det', 'nummod') AND exists(s, x -> x.i = t.head)"
@@ -76,8 +76,10 @@ ALLITERATION = f"""aggregate(CASE WHEN size(w) > 0 THEN sequence(0, size(w) - 1)
 #: Sentences of a document that are looked at together for anaphora.
 SENTENCE_BLOCK = 4096
 
+HYPERBATON = _each(f"{PAIR} AND abs(t.i - t.head) - 1 >= 3", "hyperbaton", "array(t.i, t.head)", "0.7")
+
 GROUPS: dict[str, list[str]] = {
-    "order": [_each(f"{PAIR} AND abs(t.i - t.head) - 1 >= 3", "hyperbaton", "array(t.i, t.head)", "0.7"), CROSSED, GOLDEN, _each("t.dep = 'case' AND t.pos = 'ADP' AND exists(s, x -> x.i = t.head AND t.i = x.i + 1)", "anastrophe", "array(t.head, t.i)", "0.75")],
+    "order": [HYPERBATON, CROSSED, GOLDEN, _each("t.dep = 'case' AND t.pos = 'ADP' AND exists(s, x -> x.i = t.head AND t.i = x.i + 1)", "anastrophe", "array(t.head, t.i)", "0.75")],
     "words": [POLYPTOTON, LITOTES, SIMILE, APOSTROPHE, ELLIPSIS],
     "coordination": [ASYNDETON, POLYSYNDETON, TRICOLON],
     "sound": [HOMOEOTELEUTON, ASSONANCE],
@@ -104,8 +106,8 @@ def anaphora(tokens: DataFrame) -> DataFrame:
     Runs are found within blocks of sentences; only those at the ends of blocks are then compared
     along the document, so a document with a third of all sentences is not sorted in one task.
     """
-    s = sentences(tokens).select("doc_id", "sent_id", F.expr(f"filter(s, t -> {WORD})[0]").alias("t")).where("t IS NOT NULL")
-    s = s.select("doc_id", "sent_id", F.floor(F.col("sent_id") / SENTENCE_BLOCK).alias("block"), "t.i", "t.form")
+    first = flat_tokens(tokens).alias("t").where(WORD).groupBy("doc_id", "sent_id").agg(F.min(F.struct("i", "form")).alias("t"))
+    s = first.select("doc_id", "sent_id", F.floor(F.col("sent_id") / SENTENCE_BLOCK).alias("block"), "t.i", "t.form")
     by = Window.partitionBy("doc_id", "block").orderBy("sent_id")
     new = F.when(F.lag("form").over(by).eqNullSafe(F.col("form")), 0).otherwise(1)
     runs = s.withColumn("new", new).withColumn("run", F.sum("new").over(by)).groupBy("doc_id", "block", "run")
@@ -122,5 +124,5 @@ def anaphora(tokens: DataFrame) -> DataFrame:
 
 def hyperbaton_tokens(tokens: DataFrame) -> DataFrame:
     """``(doc_id, sent_id, i)`` of every token in a hyperbaton, for suppressing anomalies there."""
-    h = figures(tokens, ["order"]).where("key = 'hyperbaton'")
+    h = sentences(tokens).select("doc_id", "sent_id", F.expr(f"inline({HYPERBATON})"))
     return h.select("doc_id", "sent_id", F.explode(F.split("tokens", ",").cast("array<int>")).alias("i")).distinct()

@@ -8,6 +8,22 @@ from ..sources.surrogate import annotation_sql
 
 KEY = "doc_id, sent_id"
 
+# The kinds of the constructions that have kinds, told from the tokens anew and not from the rules.
+LABELS = """CASE key
+  WHEN 'ablative_absolute' THEN CASE WHEN vf IS DISTINCT FROM 'Part' THEN 'predicate' WHEN voice = 'Pass' THEN 'completed action' WHEN tense = 'Pres' THEN 'ongoing action' ELSE 'predicate' END
+  WHEN 'indirect_statement' THEN coalesce(map {'Pres': 'at the same time', 'Past': 'before', 'Fut': 'after'}[tense], 'relative')
+  WHEN 'purpose_clause' THEN CASE WHEN l = 'ut' OR l = 'quo' THEN 'positive' ELSE 'negative' END
+  WHEN 'cum_clause' THEN CASE WHEN coalesce(hd_mood, '') <> 'Sub' THEN 'temporal' WHEN coalesce(hd_tense, '') IN ('Pqp', 'Past') THEN 'circumstantial or causal' ELSE 'causal or concessive' END
+  WHEN 'supine' THEN CASE WHEN form LIKE '%um' THEN 'accusative, purpose' ELSE 'ablative, respect' END
+  WHEN 'gerund' THEN CASE WHEN coalesce(prep_l, '') = 'ad' THEN 'purpose' ELSE coalesce(map {'Gen': 'genitive', 'Abl': 'means'}[cas], '') END
+  WHEN 'subjunctive_independent' THEN CASE coalesce(person, '') WHEN '3' THEN 'jussive' WHEN '1' THEN CASE WHEN num IS NOT DISTINCT FROM 'Plur' THEN 'hortatory' ELSE 'deliberative' END ELSE 'optative or potential' END
+    || CASE WHEN EXISTS (SELECT 1 FROM tok k WHERE k.doc_id = f.doc_id AND k.sent_id = f.sent_id AND k.head = f.ti AND k.i <> f.ti AND k.l IN ('non', 'ne')) THEN ', negated' ELSE '' END
+  WHEN 'conditional_clause' THEN CASE WHEN own_mood <> 'Sub' THEN 'indicative'
+    WHEN own_tense IN ('Imp', 'Pqp') AND coalesce(gh_mood, gk_cop_mood, '') = 'Sub' AND (CASE WHEN gh_mood IS NULL THEN gk_cop_tense ELSE gh_tense END) IN ('Imp', 'Pqp') THEN 'contrary to fact' ELSE 'subjunctive' END
+  WHEN 'genitive_with_adjective' THEN CASE WHEN cas IS NOT DISTINCT FROM 'Gen' THEN '' ELSE 'against the parser' END
+  ELSE '' END"""
+_LABEL_COLUMNS = "i AS ti, vf, voice, tense, l, hd_mood, hd_tense, form, prep_l, cas, person, num, gh_mood, gh_tense, gk_cop_mood, gk_cop_tense, CASE WHEN hd_mood IN ('Ind', 'Sub', 'Imp') THEN hd_mood ELSE hk_fin_mood END AS own_mood, CASE WHEN hd_mood IN ('Ind', 'Sub', 'Imp') THEN hd_tense ELSE hk_fin_tense END AS own_tense"
+
 
 def context_sql() -> str:
     """CTEs up to ``ctx``, one row per token with the columns the rules name."""
@@ -17,29 +33,54 @@ def context_sql() -> str:
     )
     gov = lambda c: "CASE " + " ".join(f"WHEN u{k}.pos IN ('VERB', 'AUX') THEN u{k}.{c}" for k in range(1, CLIMB + 1)) + " END"
     heads = ", ".join(f"u1.{c} AS hd_{c}" for c in ("i", "l", "pos", "dep", "cas", "mood", "tense", "voice", "vf", "deg"))
-    look = lambda table: ", ".join(f"arg_min_null(x.{f}, x.i) FILTER (WHERE {c}) AS {n}".replace("arg_min_null", "arg_min") for n, (c, f) in table.items())
+    # arg_min passes over nulls, so a feature that may be missing in the first token is listed
+    one = lambda n, c, f: f"(list(x.{f} ORDER BY x.i) FILTER (WHERE {c}))[1] AS {n}" if f == "tense" or n == "gk_cop_mood" else f"arg_min(x.{f}, x.i) FILTER (WHERE {c}) AS {n}"
+    look = lambda table: ", ".join(one(n, c, f) for n, (c, f) in table.items())
     return f"""WITH {annotation_sql()},
 flat AS (SELECT *, (coalesce(cas, '') = 'Gen' OR cand_gen) AS may_gen, {GERUNDIVE_SQL} AS gdv, {duck(DEGREE_SQL)} AS deg FROM flat0),
 flat1 AS (SELECT *, {duck(GERUND_CASE_SQL)} AS gcas FROM flat),
 tok AS MATERIALIZED (SELECT t.*, NOT EXISTS (SELECT 1 FROM flat x WHERE x.sent_id = t.sent_id AND x.doc_id = t.doc_id AND x.head = t.i AND x.i <> t.i AND x.dep = 'case' AND x.pos IN ('ADP', 'SCONJ')) AS bare, p.l AS hl
   FROM flat1 t LEFT JOIN flat p ON p.doc_id = t.doc_id AND p.sent_id = t.sent_id AND p.i = t.head AND t.head <> t.i),
-up AS (SELECT t.*, {heads}, u2.i AS gh_i, u2.l AS gh_l, {gov("i")} AS gov_i, {gov("l")} AS gov_l, {gov("pos")} AS gov_pos FROM tok t {ups}),
+up AS (SELECT t.*, {heads}, u2.i AS gh_i, u2.l AS gh_l, u2.mood AS gh_mood, u2.tense AS gh_tense, {gov("i")} AS gov_i, {gov("l")} AS gov_l, {gov("pos")} AS gov_pos FROM tok t {ups}),
 l1 AS (SELECT t.doc_id, t.sent_id, t.i AS ti, {look(LOOKUPS)} FROM up t JOIN tok x USING (doc_id, sent_id) GROUP BY t.doc_id, t.sent_id, t.i),
 c1 AS (SELECT up.*, l1.* EXCLUDE (doc_id, sent_id, ti) FROM up JOIN l1 ON l1.doc_id = up.doc_id AND l1.sent_id = up.sent_id AND l1.ti = up.i),
 l2 AS (SELECT t.doc_id, t.sent_id, t.i AS ti, {look(LOOKUPS2)} FROM c1 t JOIN tok x USING (doc_id, sent_id) GROUP BY t.doc_id, t.sent_id, t.i),
 ctx AS MATERIALIZED (SELECT c1.*, l2.* EXCLUDE (doc_id, sent_id, ti) FROM c1 JOIN l2 ON l2.doc_id = c1.doc_id AND l2.sent_id = c1.sent_id AND l2.ti = c1.i)"""
 
 
+def _role_words() -> str:
+    from ..functions import lexicon as L
+
+    return _in("l", [*L.ABL_ABS_ROLE_NOUNS, *L.ABL_ABS_ROLE_ADJS])
+
+
+# The role words of a sentence in order; each takes the first mate that is left, and both are used.
+NOMINAL = """ro AS (SELECT doc_id, sent_id, i, num, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY i) AS k FROM tok WHERE cas = 'Abl' AND bare AND {role}),
+us AS (SELECT doc_id, sent_id, list(j) AS used FROM (SELECT doc_id, sent_id, unnest([i, k_subj_abl]) AS j FROM ctx WHERE dep = 'advcl:abs' AND cas = 'Abl') GROUP BY ALL),
+ma AS (SELECT ro.doc_id, ro.sent_id, ro.k, ro.i AS t, x.i AS x FROM ro JOIN tok x ON x.doc_id = ro.doc_id AND x.sent_id = ro.sent_id AND x.i <> ro.i AND abs(x.i - ro.i) <= 2
+  WHERE x.cas = 'Abl' AND x.bare AND x.pos IN ('NOUN', 'PROPN', 'PRON') AND (x.num IS NULL OR ro.num IS NULL OR x.num = ro.num)),
+ml AS (SELECT ro.doc_id, ro.sent_id, ro.k, ro.i AS t, coalesce((SELECT list(x ORDER BY x) FROM ma WHERE ma.doc_id = ro.doc_id AND ma.sent_id = ro.sent_id AND ma.k = ro.k), []) AS xs FROM ro),
+na AS (SELECT DISTINCT ro.doc_id, ro.sent_id, 0::BIGINT AS k, NULL::INT AS t, NULL::INT AS x, coalesce(us.used, []) AS used FROM ro LEFT JOIN us USING (doc_id, sent_id)
+  UNION ALL SELECT doc_id, sent_id, k, t, x, CASE WHEN x IS NULL THEN used ELSE list_concat(used, [t, x]) END FROM (
+    SELECT na.doc_id, na.sent_id, ml.k, ml.t, na.used, CASE WHEN NOT list_contains(na.used, ml.t) THEN list_filter(ml.xs, lambda y: NOT list_contains(na.used, least(y, ml.t)))[1] END AS x
+    FROM na JOIN ml ON ml.doc_id = na.doc_id AND ml.sent_id = na.sent_id AND ml.k = na.k + 1))"""
+
+
 def _row(rule, number: int | None = None) -> str:
     duck = lambda s: render(s, "duckdb")
     tokens = ", ".join(f"({duck(x)})" for x in rule.tokens)
-    return f"{KEY}, '{rule.key}' AS key, CAST({rule.anchor} AS INT) AS anchor, concat_ws(',', {tokens}) AS tokens, CAST({duck(rule.conf)} AS DOUBLE) AS confidence"
+    return f"{KEY}, '{rule.key}' AS key, CAST({rule.anchor} AS INT) AS anchor, concat_ws(',', {tokens}) AS tokens, CAST({duck(rule.conf)} AS DOUBLE) AS confidence, {_LABEL_COLUMNS}"
 
 
 def family_sql(families: list[str]) -> str:
     """Findings of some families, without suppression: a cascade numbers its branches first."""
     extra, parts = [], []
     for f in families:
+        if f == "nominal":  # settled word by word, by a recursive query of its own
+            extra.append(NOMINAL.format(role=_role_words()))
+            nothing = ", ".join(f"NULL::VARCHAR AS {c}" for c in "vf voice tense l hd_mood hd_tense form prep_l cas person num gh_mood gh_tense gk_cop_mood gk_cop_tense own_mood own_tense".split())
+            parts.append(f"SELECT {KEY}, 'ablative_absolute_nominal' AS key, t AS anchor, least(t, x) || ',' || greatest(t, x) AS tokens, 0.7::DOUBLE AS confidence, t AS ti, {nothing} FROM na WHERE x IS NOT NULL")
+            continue
         alone, cascade = FAMILIES[f]
         parts += [f"SELECT {_row(r)} FROM ctx WHERE {render(r.when, 'duckdb')}" for r in alone]
         if cascade:
@@ -47,27 +88,28 @@ def family_sql(families: list[str]) -> str:
             extra.append(f"b_{f} AS (SELECT *, {branch} AS branch FROM ctx)")
             parts += [f"SELECT {_row(r)} FROM b_{f} WHERE branch = {n}" for n, r in enumerate(cascade) if r.key]
             if f == "genitive":
-                parts += [f"SELECT {_row(r).replace('genitive_subjective', 'genitive_objective')}" .replace(_row(r).split(" AS tokens, ")[1], "0.5::DOUBLE AS confidence") + f" FROM b_{f} WHERE branch = {n}" for n, r in enumerate(cascade) if r.key == "genitive_subjective"]
-    return context_sql() + "".join(f",\n{x}" for x in extra) + ",\nfound AS MATERIALIZED (" + "\nUNION ALL ".join(parts) + ")\n"
+                parts += [f"SELECT {_row(r)} FROM b_{f} WHERE branch = {n}".replace("genitive_subjective", "genitive_objective").replace(f"CAST({render(r.conf, 'duckdb')} AS DOUBLE)", "0.5::DOUBLE") for n, r in enumerate(cascade) if r.key == "genitive_subjective"]
+    head = context_sql() if "nominal" not in families else context_sql().replace("WITH", "WITH RECURSIVE", 1)
+    return head + "".join(f",\n{x}" for x in extra) + ",\nfound AS MATERIALIZED (" + "\nUNION ALL ".join(parts) + ")\n"
 
 
 def findings_sql(families: list[str]) -> str:
-    return family_sql(families) + f"SELECT {KEY}, key, anchor, tokens, confidence FROM found"
+    return family_sql(families) + f"SELECT {KEY}, key, anchor, tokens, confidence, {LABELS} AS label FROM found f"
+
+
+#: The findings that stay after suppression, as a subquery.
+KEPT = f"""(SELECT * FROM found f WHERE NOT (key IN ('purpose_clause', 'result_clause') AND EXISTS (SELECT 1 FROM found s WHERE s.key IN ({', '.join(map(repr, SPECIAL))}) AND s.doc_id = f.doc_id AND s.sent_id = f.sent_id AND s.anchor = f.anchor))) kept"""
 
 
 def suppressed_sql() -> str:
-    """Number of findings of each key after suppression, without the nominal absolutes."""
-    keys = ", ".join(map(repr, SPECIAL))
-    return (
-        family_sql(list(FAMILIES))
-        + f"""SELECT key, count(*)::BIGINT AS n FROM found f WHERE NOT (key IN ('purpose_clause', 'result_clause') AND EXISTS (SELECT 1 FROM found s WHERE s.key IN ({keys}) AND s.doc_id = f.doc_id AND s.sent_id = f.sent_id AND s.anchor = f.anchor)) GROUP BY key"""
-    )
+    """Number of findings of each key after suppression."""
+    return family_sql(list(FAMILIES)) + f"SELECT key, count(*)::BIGINT AS n FROM {KEPT} GROUP BY key"
 
 
 def tags_sql() -> str:
     return (
-        family_sql(["core"])
-        + f"""SELECT {KEY}, i::INT AS i, string_agg(key, ',' ORDER BY key) AS keys FROM (SELECT {KEY}, key, unnest(string_split(tokens, ',')) AS i FROM found) GROUP BY {KEY}, i"""
+        family_sql(list(FAMILIES))
+        + f"""SELECT {KEY}, i::INT AS i, string_agg(key, ',' ORDER BY key) AS keys FROM (SELECT {KEY}, key, unnest(string_split(tokens, ',')) AS i FROM {KEPT}) GROUP BY {KEY}, i"""
     )
 
 

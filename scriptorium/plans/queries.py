@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.refs import plain_ref
-from ..operators.constructions import catalogue, constructions, explained, family_findings, nominal_absolutes, token_tags
+from ..operators.constructions import catalogue, constructions, explained, family_findings, token_tags
 from ..operators.figures import GROUPS, anaphora, figures
 from ..operators.intervals import periods_and_gaps
 from ..operators.rules import FAMILIES
@@ -58,15 +58,11 @@ def _family(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def constructions_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = constructions(tokens_of(spark, sf_dir))
-    return found.where("key <> 'ablative_absolute_nominal'").groupBy("key").agg(F.count("*").alias("n"))
+    return found.groupBy("key").agg(F.count("*").alias("n"))
 
 
 def construction_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_tags(family_findings(tokens_of(spark, sf_dir), ["core"]))
-
-
-def ablative_absolute_nominal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nominal_absolutes(tokens_of(spark, sf_dir))
+    return token_tags(constructions(tokens_of(spark, sf_dir)))
 
 
 def construction_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +86,7 @@ def figures_anaphora(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {"p3_found": p3_found}
     out |= {f"findings_{name}": _family(name) for name in FAMILIES}
-    out |= {f.__name__: f for f in (constructions_counts, construction_tags, ablative_absolute_nominal, construction_catalogue, figures_anaphora, findings_explained)}
+    out |= {f.__name__: f for f in (constructions_counts, construction_tags, construction_catalogue, figures_anaphora, findings_explained)}
     out |= {f"figures_{name}": _figures(name) for name in GROUPS}
     return out
 
