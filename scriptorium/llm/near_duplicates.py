@@ -24,7 +24,7 @@ SHARE = (3, 4)
 LEAST_WORDS = 5
 #: Buckets of the word-frequency table that orders words; fixed, so its size has a bound.
 FREQUENCY_BUCKETS = 1 << 16
-#: Longs of the bitmap of a record.
+#: Longs of the bitmap of a record; even, as it is folded for short records.
 BITMAP_WORDS = 4
 #: Records up to this many words go to tiles of two shared words, longer ones to tiles of one.
 PAIR_TILE_WORDS = 28
@@ -49,27 +49,29 @@ def word_classes(df: DataFrame, record: str, text: str) -> tuple[DataFrame, Data
     Records of the same words, counted with repeats, form a class, named by its least record id.
     Records of fewer than LEAST_WORDS words (null and empty texts among them) belong to none.
     """
-    bag = F.array_sort(words(plain_text(F.col(f"`{text}`"))))
+    rows = df.where(F.col(f"`{record}`").isNotNull()).select(F.col(f"`{record}`").alias("record"), plain_text(F.col(f"`{text}`")).alias("t"))
+    # one projection a step, so that each is compiled and none is made twice; sort_array, other than
+    # array_sort, does not take its projection out of the compiled code
+    rows = rows.select("record", F.sort_array(words(F.col("t"))).alias("w"))
     # the test sits in the generator: as a filter it would be pushed down and make the words twice
-    long_enough = F.explode(F.filter(F.array(bag), lambda w: F.size(w) >= LEAST_WORDS))
-    bags = df.where(F.col(f"`{record}`").isNotNull()).select(F.col(f"`{record}`").alias("record"), long_enough.alias("words"))
+    bags = rows.select("record", F.explode(F.filter(F.array("w"), lambda w: F.size(w) >= LEAST_WORDS)).alias("words"))
     key = [F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2")]
-    bags = materialise(bags.select("record", "words", *key))
-    classes = materialise(bags.groupBy("words", "k1", "k2").agg(F.min("record").alias("class")))
+    bags = materialise(bags)
+    classes = materialise(bags.groupBy("words").agg(F.min("record").alias("class")))
     # repeated rows fold here, on three numbers a row
-    members = bags.select("record", "k1", "k2").distinct().join(classes.select("k1", "k2", "class"), ["k1", "k2"]).select("record", "class")
-    return members, classes.select("class", "words")
+    members = bags.select("record", *key).distinct().join(classes.select(*key, "class"), ["k1", "k2"]).select("record", "class")
+    return members, classes
 
 
 def _signatures(classes: DataFrame) -> DataFrame:
     """``(class, n, tokens, b0..b3)``: tokens are 64-bit hashes of (word, how manieth in the record),
     rarest first under one global order; the b's are a bitmap of BITMAP_WORDS * 64 bits, one bit a token.
     """
-    nth = F.transform("words", lambda w, i: F.struct(w.alias("w"), (i - F.array_position("words", w)).alias("k")))
-    t = classes.withColumn("freq", _frequencies(classes)).select("class", F.size("words").alias("n"), "freq", nth.alias("nth"))
-    keyed = F.transform("nth", lambda x: F.struct(F.element_at("freq", (F.pmod(F.xxhash64(x["w"]), F.lit(FREQUENCY_BUCKETS)) + 1).cast("int")).alias("f"), F.xxhash64(x["w"], x["k"]).alias("h")))
-    t = t.select("class", "n", F.transform(F.array_sort(keyed), lambda x: x["h"]).alias("tokens"))
-    bits = [F.expr(f"aggregate(filter(tokens, h -> shiftrightunsigned(h, 20) % {BITMAP_WORDS} = {j}), 0L, (a, h) -> a | shiftleft(1L, CAST(shiftrightunsigned(h, 29) & 63 AS INT)))").alias(f"b{j}") for j in range(BITMAP_WORDS)]
+    bucket = lambda w: (F.pmod(F.xxhash64(w), F.lit(FREQUENCY_BUCKETS)) + 1).cast("int")
+    keyed = F.transform("words", lambda w, i: F.struct(F.element_at("freq", bucket(w)).alias("f"), F.xxhash64(w, i - F.array_position("words", w)).alias("h")))
+    t = classes.withColumn("freq", _frequencies(classes)).select("class", F.size("words").alias("n"), keyed.alias("keyed"))
+    t = t.select("class", "n", F.sort_array("keyed")["h"].alias("tokens"))
+    bits = [F.expr(f"aggregate(tokens, 0L, (a, h) -> a | CASE WHEN shiftrightunsigned(h, 20) % {BITMAP_WORDS} = {j} THEN shiftleft(1L, CAST(shiftrightunsigned(h, 29) & 63 AS INT)) ELSE 0L END)").alias(f"b{j}") for j in range(BITMAP_WORDS)]
     return t.select("class", "n", "tokens", *bits)
 
 
@@ -77,22 +79,32 @@ def _tiles(signatures: DataFrame) -> DataFrame:
     """``(tile, class, n, b0..)``: a class in each of its tiles.
 
     A pair with M words in the longer record shares at least ceil(share * M) tokens, so among the
-    first n - ceil(share * M) + k tokens of each it shares k: the tiles are named by k of them and by
-    size range, k being 2 up to PAIR_TILE_WORDS words (of the longer) and 1 beyond. A record near
-    that border takes part in both. Tokens stay behind; only the bitmap travels.
+    first n - ceil(share * M) + k tokens of each it shares k, and a tile is named by k of them: by
+    two up to PAIR_TILE_WORDS words (of the longer), by one beyond. A record near that border takes
+    part in both. The size range of possible partners so sets how many tokens name tiles; it is no
+    part of a tile's name. Tokens stay behind, only the bitmap travels, for tiles of two tokens
+    folded to half its length.
     """
-    n = F.col("n")
-    # as the longer record n decides; as the shorter the longer has up to n * 4/3 words
-    in_pairs = n <= PAIR_TILE_WORDS
-    in_single = F.floor(n * SHARE[1] / SHARE[0]) > PAIR_TILE_WORDS
+    n, half = F.col("n"), BITMAP_WORDS // 2
+    bits = [F.col(f"b{j}") for j in range(BITMAP_WORDS)]
+    folded = [bits[j].bitwiseOR(bits[j + half]) for j in range(half)] + [F.lit(0).cast("bigint")] * half
     head = F.slice("tokens", F.lit(1), F.least(n, n - _needed(n) + 2))
     pairs = lambda h: F.flatten(F.transform(h, lambda a, i: F.transform(F.slice(h, i + 2, F.greatest(F.size(h) - i - 1, F.lit(0))), lambda b: F.xxhash64(a, b))))
     # a record that can only be the shorter of a single-tile pair has a longer partner of > PAIR_TILE_WORDS words
     longer = F.greatest(n, F.lit(PAIR_TILE_WORDS + 1))
     singles = F.transform(F.slice("tokens", F.lit(1), F.least(n, n - _needed(longer) + 1)), lambda a: F.xxhash64(a))
-    none = F.array().cast("array<bigint>")
-    tiles = F.concat(F.when(in_pairs, F.get(F.transform(F.array(head), pairs), F.lit(0))).otherwise(none), F.when(in_single, singles).otherwise(none))
-    return signatures.select("class", "n", *[f"b{j}" for j in range(BITMAP_WORDS)], F.explode(F.array_distinct(tiles)).alias("tile"))
+    named = lambda b, tiles: ["class", "n", *[x.alias(f"b{j}") for j, x in enumerate(b)], F.explode(F.array_distinct(tiles)).alias("tile")]
+    # as the longer record n decides; as the shorter the longer has up to n * 4/3 words
+    of_two = signatures.where(n <= PAIR_TILE_WORDS).select(*named(folded, F.get(F.transform(F.array(head), pairs), F.lit(0))))
+    return of_two.unionByName(signatures.where(F.floor(n * SHARE[1] / SHARE[0]) > PAIR_TILE_WORDS).select(*named(bits, singles)))
+
+
+#: Tokens that two arrays in the order of their values share, by one walk along both.
+_SHARED = """aggregate(sequence(1, size(a) + size(b)), named_struct('i', 0, 'j', 0, 'n', 0), (s, _) -> CASE
+  WHEN s.i >= size(a) OR s.j >= size(b) THEN s
+  WHEN get(a, s.i) = get(b, s.j) THEN named_struct('i', s.i + 1, 'j', s.j + 1, 'n', s.n + 1)
+  WHEN get(a, s.i) < get(b, s.j) THEN named_struct('i', s.i + 1, 'j', s.j, 'n', s.n)
+  ELSE named_struct('i', s.i, 'j', s.j + 1, 'n', s.n) END).n"""
 
 
 def class_links(classes: DataFrame) -> DataFrame:
@@ -100,7 +112,8 @@ def class_links(classes: DataFrame) -> DataFrame:
 
     No link is lost: the tiles are complete, the bitmaps bound from above and the last test is exact
     on the sorted token arrays. Tiles are joined, not gathered, so a tile of common words streams
-    through the join and is split by the adaptive skew join; both sides of the join are one shuffle.
+    through the join and is split by the adaptive skew join; both sides of the join are one shuffle,
+    and the token arrays are fetched for both ends of a pair by another.
     """
     signatures = materialise(_signatures(classes))
     tiles = _tiles(signatures)
@@ -113,9 +126,10 @@ def class_links(classes: DataFrame) -> DataFrame:
 
     fits = longer_first & (F.col("b.n") >= need) & (F.col("a.n") - missing("a", "b") >= need) & (F.col("b.n") - missing("b", "a") >= need)
     close = tiles.alias("a").join(tiles.alias("b"), (F.col("a.tile") == F.col("b.tile")) & fits).select(F.col("a.class").alias("long"), F.col("b.class").alias("short")).distinct()
-    side = lambda c: signatures.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"t_{c}"))
-    both = close.join(side("long"), "long").join(side("short"), "short").withColumn("overlap", F.size(F.array_intersect("t_long", "t_short")))
-    found = both.where(F.col("overlap") >= F.ceil(F.col("n_long") * SHARE[0] / SHARE[1]))
+    ends = close.select("long", "short", F.explode(F.array("long", "short")).alias("class")).join(signatures.select("class", F.sort_array("tokens").alias("tokens")), "class")
+    of = lambda c: F.max(F.when(F.col("class") == F.col(c), F.col("tokens")))
+    both = ends.groupBy("long", "short").agg(of("long").alias("a"), of("short").alias("b")).withColumn("overlap", F.expr(_SHARED))
+    found = both.where(F.col("overlap") >= F.ceil(F.size("a") * SHARE[0] / SHARE[1]))
     return found.select(F.least("long", "short").alias("class_a"), F.greatest("long", "short").alias("class_b"), "overlap")
 
 
