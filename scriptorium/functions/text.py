@@ -35,8 +35,9 @@ def normalised(text: Column) -> Column:
     """
     src, dst = base_letter_table()
     t = F.lower(F.translate(text, src, dst))
-    t = F.replace(F.replace(t, F.lit("æ"), F.lit("ae")), F.lit("œ"), F.lit("oe"))
-    t = F.regexp_replace(F.regexp_replace(t, r"\p{Mn}+", ""), "[^a-z]+", " ")
+    rest = F.replace(F.replace(t, F.lit("æ"), F.lit("ae")), F.lit("œ"), F.lit("oe"))
+    # only what is more than one byte a letter needs the other steps
+    t = F.regexp_replace(F.when(F.octet_length(t) == F.length(t), t).otherwise(F.regexp_replace(rest, r"\p{Mn}+", "")), "[^a-z]+", " ")
     old = F.regexp_replace(t, r"\buo(l[ntgpc])", "uu$1")
     old = F.regexp_replace(old, r"(?<=[a-z])uo([ms])\b", "uu$1")
     old = F.regexp_replace(F.regexp_replace(old, r"\bquom\b", "cum"), r"\bquoi\b", "cui")
