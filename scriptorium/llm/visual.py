@@ -27,13 +27,29 @@ LOOK_ALIKES = (
     "аa еe ѕs іi јj оo рp сc уy хx һh ԁd ԛq ԝw ӏl ѵv кk мm нh тt "
     # Armenian
     "Օo Սs Տs Լl օo ոn սu հh ցg զq յj ք "
+    # Coptic
+    "Ⲁa Ⲃb Ⲉe Ⲏh Ⲓi Ⲕk Ⲙm Ⲛn Ⲟo Ⲣp Ⲥc Ⲧt Ⲩy Ⲭx ⲟo ⲣp ⲥc ⲭx "
+    # Cherokee
+    "Ꭰd Ꭱr Ꭲt Ꭵi Ꭺa Ꭻj Ꭼe Ꮃw Ꮇm Ꮋh Ꮍy Ꮐg Ꮓz Ꮢr Ꮩv Ꮪs Ꮮl Ꮯc Ꮲp Ꮶk Ᏼb Ꮟb Ꮷd "
+    # Lisu
+    "ꓐb ꓑp ꓓd ꓔt ꓖg ꓗk ꓙj ꓚc ꓜz ꓝf ꓟm ꓠn ꓡl ꓢs ꓣr ꓦv ꓧh ꓪw ꓫx ꓬy ꓮa ꓰe ꓲi ꓳo ꓴu "
 )
+# Letters of the Latin script in small capitals or another cut, each before its plain letter.
+OTHER_CUTS = "ᴀa ᴄc ᴅd ᴇe ᴊj ᴋk ᴍm ᴏo ᴘp ᴛt ᴜu ᴠv ᴡw ᴢz ꜱs ɡg"
 
-#: Kinds of compatibility decomposition whose result looks the same.
+#: Kinds of compatibility decomposition whose result looks the same, and the ranges in which that
+#: holds for those that Unicode calls just <compat>: digraphs, Roman numerals, ligatures, signs.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<font>")
+SAME_LOOK_RANGES = ((0x132, 0x133), (0x149, 0x149), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x203C, 0x203C), (0x2047, 0x2049), (0x2160, 0x217F), (0xFB00, 0xFB06), (0xFB13, 0xFB17))
+#: Characters besides those of category Cf that show nothing: joiners, fillers, variation selectors.
+INVISIBLE = ((0x34F, 0x34F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0000, 0xE0FFF))
+#: All planes that hold letters, marks or signs; the rest are ideographs and private use.
+CODE_POINTS = ((0x80, 0x33480), (0xE0000, 0xE1000))
 
 MARKS = r"\p{M}"
-OTHER_SCRIPTS = r"\p{IsGreek}\p{IsCyrillic}\p{IsArmenian}"
+OTHER_SCRIPTS = r"\p{IsGreek}\p{IsCyrillic}\p{IsArmenian}\p{IsCoptic}\p{IsCherokee}\p{IsLisu}"
+#: Scripts into which a word of mixed scripts may fall if it cannot be Latin.
+WAYS_BACK = {"greek": r"\p{IsGreek}", "cyrillic": r"\p{IsCyrillic}", "armenian": r"\p{IsArmenian}"}
 #: A run of letters, marks and invisible characters: what the eye takes for one word.
 WORD = r"[\p{L}\p{M}\p{Cf}]+"
 
@@ -52,26 +68,27 @@ def look_alikes() -> dict[str, str]:
 def decompositions() -> tuple[dict[str, str], list[tuple[str, str, int, int]]]:
     """(plain replacements, rows of (character, piece, place, combining class)).
 
-    Replacements: invisible format characters go, every space becomes the plain one, full-width and
-    font variants, Latin f-ligatures and the script g become plain letters. Rows: the full canonical
+    Replacements: invisible characters go, every space becomes the plain one, full-width and font
+    variants, ligatures, digraphs, Roman numerals and small capitals become plain letters. Rows: the full canonical
     decomposition of the replacement of every character that differs from it, and the class of
     every combining mark. The size is bounded by the Unicode character set.
     """
-    plain: dict[str, str] = {"ɡ": "g"}
+    within = lambda cp, ranges: any(a <= cp <= b for a, b in ranges)
+    plain: dict[str, str] = {x[0]: x[1] for x in OTHER_CUTS.split()}
     rows = []
-    for cp in range(0x80, 0x30000):
+    for cp in (cp for a, b in CODE_POINTS for cp in range(a, b)):
         if 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xDFFF:  # Hangul composes by rule and is left alone
             continue
         ch = chr(cp)
         cat = unicodedata.category(ch)
-        if cat in ("Cn", "Co"):
+        if cat in ("Cn", "Co") and not within(cp, INVISIBLE):
             continue
         kind = unicodedata.decomposition(ch).split(" ")[0]
-        if cat == "Cf" or cp == 0x34F or 0xFE00 <= cp <= 0xFE0F:
+        if cat == "Cf" or within(cp, INVISIBLE):
             plain[ch] = ""
         elif cat == "Zs":
             plain[ch] = " "
-        elif kind in SAME_LOOK or (kind == "<compat>" and 0xFB00 <= cp <= 0xFB04):
+        elif kind in SAME_LOOK or (kind == "<compat>" and within(cp, SAME_LOOK_RANGES)):
             plain[ch] = unicodedata.normalize("NFKC", ch)
         parts = unicodedata.normalize("NFD", plain.get(ch, ch))
         if parts != ch or unicodedata.combining(ch):
@@ -83,7 +100,7 @@ def decompositions() -> tuple[dict[str, str], list[tuple[str, str, int, int]]]:
 def composition_pairs() -> str:
     """``pair:composed`` for every canonical primary composite, for ``str_to_map``."""
     out = []
-    for cp in range(0xC0, 0x30000):
+    for cp in range(0xC0, CODE_POINTS[0][1]):
         ch = chr(cp)
         d = unicodedata.decomposition(ch)
         if d and d[0] != "<" and " " in d and unicodedata.normalize("NFC", ch) == ch:
@@ -102,9 +119,18 @@ def odd_pattern() -> str:
     return rf"(?=[^\x00-\x7F])[{MARKS}{_ranges(odd)}]"
 
 
+@functools.cache
+def safe_pattern() -> str:
+    """Java pattern of texts of plain Latin letters and the usual signs only, a cheap first test."""
+    plain, rows = decompositions()
+    odd = set(plain) | {c for c, *_ in rows}
+    composed = {c for c in map(chr, (*range(0xA1, 0x180), *range(0x1E00, 0x1F00), *range(0x2010, 0x2028))) if unicodedata.category(c)[0] in "LPS" and (c not in odd or (c not in plain and unicodedata.normalize("NFC", c) == c))}
+    return rf"^[\x00-\x7F{_ranges(composed)}]*+$"
+
+
 #: A letter of one script right beside one of another: every word of mixed scripts without marks and
 #: invisible characters has such a place.
-OTHERS = r"\u0370-\u03FF\u0400-\u058F\u1F00-\u1FFF"
+OTHERS = r"\u0370-\u03FF\u0400-\u058F\u13A0-\u13FF\u1C80-\u1C8F\u1F00-\u1FFF\u2C80-\u2CFF\u2DE0-\u2DFF\uA4D0-\uA4FF\uA640-\uA69F\uAB70-\uABBF"
 LATIN = r"A-Za-z\u00AA-\u024F\u1E00-\u1EFF"
 SEAM = f"[{LATIN}][{OTHERS}]|[{OTHERS}][{LATIN}]"
 
@@ -122,9 +148,10 @@ def _ranges(chars: set[str]) -> str:
 def suspicious(text: Column) -> Column:
     """True where the text may hold a character that plainly typed text would not; null as false.
 
-    Texts of ASCII characters only are told by their length in bytes.
+    Texts of ASCII characters only are told by their length in bytes, those of plain Latin letters
+    by one run over them.
     """
-    return F.coalesce((F.octet_length(text) != F.length(text)) & (text.rlike(odd_pattern()) | text.rlike(SEAM)), F.lit(False))
+    return F.coalesce((F.octet_length(text) != F.length(text)) & ~text.rlike(safe_pattern()) & (text.rlike(odd_pattern()) | text.rlike(SEAM)), F.lit(False))
 
 
 def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -137,7 +164,8 @@ def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     there = [(a, "latin", b) for a, b in look_alikes().items()]
     back: dict[tuple[str, str], str] = {}
     for a, b in look_alikes().items():
-        back.setdefault(("greek" if "GREEK" in unicodedata.name(a) else "cyrillic" if "CYR" in unicodedata.name(a) else "armenian", b), a)
+        if (script := unicodedata.name(a).split()[0].lower()) in WAYS_BACK:
+            back.setdefault((script, b), a)
     look = spark.createDataFrame(there + [(b, s, a) for (s, b), a in back.items()], "ch string, script string, twin string")
     return d, look
 
@@ -152,7 +180,7 @@ def _target_script(token: Column) -> Column:
     of = lambda s: "".join(b for a, b in twins.items() if s in unicodedata.name(a))
     mixed = token.rlike(r"\p{IsLatin}") & token.rlike(f"[{OTHER_SCRIPTS}]")
     out = F.when(~token.rlike(f"[{OTHER_SCRIPTS}&&[^{''.join(twins)}]]"), "latin")
-    for name, cls in (("greek", r"\p{IsGreek}"), ("cyrillic", r"\p{IsCyrillic}"), ("armenian", r"\p{IsArmenian}")):
+    for name, cls in WAYS_BACK.items():
         letters = of(name.upper())
         out = out.when(token.rlike(cls) & ~token.rlike(rf"[\p{{IsLatin}}&&[^{letters}]]"), name)
     return F.when(mixed, out)
@@ -241,19 +269,25 @@ def plain_text(text: Column) -> Column:
     scripts as :func:`canonical_map` does and leaves composition aside, which words do not see.
     """
     plain, _ = decompositions()
-    one = {a: b for a, b in plain.items() if len(b) == 1 and ord(a) < 0x10000 and ord(b) < 0x80}
-    gone = "".join(a for a, b in plain.items() if not b and ord(a) < 0x10000)
-    t = F.translate(text, "".join(one) + gone, "".join(one.values()))
-    for a, b in plain.items():
-        if len(b) > 1 and 0xFB00 <= ord(a) <= 0xFB04:
-            t = F.replace(t, F.lit(a), F.lit(b))
+    one = {a: b for a, b in plain.items() if len(b) == 1 and ord(b) < 0x80}
+    gone = "".join(a for a, b in plain.items() if not b and unicodedata.category(a) != "Cn")
+    several = {a: b for a, b in plain.items() if len(b) > 1 and b.isascii()}
     twins = look_alikes()
-    bare = lambda w: F.regexp_replace(w, r"[\p{M}]+", "")
-    word = lambda w: (
-        F.when(_target_script(bare(w)) == "latin", F.translate(w, "".join(twins), "".join(twins.values())))
-        .when(_target_script(bare(w)).isNotNull(), "")
-        .otherwise(w)
-    )
-    pieces = F.regexp_extract_all(t, F.lit(f"({WORD}|[^\\p{{L}}\\p{{M}}\\p{{Cf}}]+)"), 1)
-    mixed = F.array_join(F.transform(pieces, word), "")
-    return F.when(suspicious(text), F.when(t.rlike(f"[{OTHER_SCRIPTS}]"), mixed).otherwise(t)).otherwise(text)
+    # a one-element array binds a value, so that no step is made twice
+    then = lambda value, step: F.get(F.transform(F.array(value), step), F.lit(0))
+
+    def spelt_out(t: Column) -> Column:
+        longer = t
+        for a, b in several.items():
+            longer = F.replace(longer, F.lit(a), F.lit(b))
+        return F.when(t.rlike(f"[{_ranges(set(several))}]"), longer).otherwise(t)
+
+    def word(w: Column) -> Column:
+        to = lambda script: F.when(script == "latin", F.translate(w, "".join(twins), "".join(twins.values()))).when(script.isNotNull(), "").otherwise(w)
+        return F.when(w.rlike(f"[{OTHER_SCRIPTS}]"), then(_target_script(F.regexp_replace(w, r"[\p{M}]+", "")), to)).otherwise(w)
+
+    def one_script(t: Column) -> Column:
+        pieces = F.regexp_extract_all(t, F.lit(f"({WORD}|[^\\p{{L}}\\p{{M}}\\p{{Cf}}]+)"), 1)
+        return F.when(t.rlike(f"[{OTHER_SCRIPTS}]"), F.array_join(F.transform(pieces, word), "")).otherwise(t)
+
+    return F.when(suspicious(text), then(then(F.translate(text, "".join(one) + gone, "".join(one.values())), spelt_out), one_script)).otherwise(text)

@@ -12,7 +12,7 @@ CASES = [
     ("exvivendō", "exvivendō"), ("ﬂuviis oﬀicium ofﬁcina", "fluviis officium officina"), ("iɡitur", "igitur"), ("vero﻿̄rum", "verōrum"), ("ọ̄", "ọ̄"), ("ọ̄", "ọ̄"),
     ("χρόνoς", "χρόνος"), ("Βeispiel Αusdruck", "Beispiel Ausdruck"), ("​", ""), ("​Regula", "Regula"), ("é̄x", "é̄x"),
 ]
-PLAIN = ["", None, "lætarum ōrum Ætas", "(берег сказка)", "[y̆, v̄]", "Ὁ μὲν ποιμήν σοφός ἐστιν", "für così été", "a\nb\tc", "…", "слово word"]
+PLAIN = ["", None, "lætarum ōrum Ætas", "(берег сказка)", "[y̆, v̄]", "Ὁ μὲν ποιμήν σοφός ἐστιν", "für così été", "a\nb\tc", "…", "слово word", "ᏣᎳᎩ ⲁⲛⲟⲕ", "ꓐꓯ"]
 
 
 def test_cases(spark):
