@@ -10,6 +10,7 @@ product of its sparse presence matrix with that weight matrix.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -23,14 +24,15 @@ from ..session import map_batches
 from .visual import plain_text
 
 LANGUAGES = ("la", "en", "de", "fr", "it", "grc")
-#: Bound of the training sample: notes per language, and landmarks per language among their sentences.
+#: Bound of the training sample: notes per language, sentences per language among them (the first in
+#: the order of the sample), and landmarks per language among these (likewise the first).
 TRAINING_NOTES = 150
+TRAINING_SENTENCES = 1000
 LANDMARKS = 40
 RIDGE = 0.05
-#: n-grams are hashed to this many buckets.
+#: n-grams are hashed to this many buckets; text and bucket share one 32-bit number.
 BUCKET_BITS = 18
-#: Words of the shortest text that counts as a whole sentence.
-SENTENCE_WORDS = 3
+MOST_ROWS = 1 << (32 - BUCKET_BITS)
 #: A sentence whose best score leads by less takes the language of its text.
 LEAST_LEAD = 0.15
 
@@ -57,69 +59,96 @@ def label_language(label: Column) -> Column:
     return out.otherwise("other")
 
 
-_QUOTED = re.compile(r"(?<!\w)'[^'\n]{1,80}'(?!\w)|\"[^\"\n]{1,200}\"|[«“][^»”\n]{1,200}[»”]")
+_QUOTED = re.compile(r"(?<!\w)'[^'\n]+'(?!\w)|\"[^\"\n]+\"|[«“][^»”\n]+[»”]")
+_QUOTES, _BRACKETS = "'\"«“", "(["
 _ASIDE = re.compile(r"\([^()\n]*\)|\[[^\[\]\n]*\]")
-_HEAD = re.compile(r"^\s*[^\s.:!?]+(?:\s+[^\s.:!?]+){0,3}\s*:\s+")
+_HEAD = re.compile(r"^[^.:!?]*:\s+")
 _REFERENCE = re.compile(r"\b[A-Z]{2,}\.?\s*\d+|\d+(?:[.,]\d+)*")
 _SENTENCE = re.compile(r"(?<=[.!?;·])[\"')\]]*\s+|\n+")
 _SEE = re.compile(r"\b(?:[Cc]fr?|[Vv]gl|[Cc]onf)\.\s+[^.!?\n]*[.!?]?")
-_NO_LETTER = re.compile(r"[\W\d_]+")
 _WORD = re.compile(r"[^\W\d_]{2,}")
+_DIGIT = re.compile(r"\d")
 
 
 def sentences(text: str | None) -> list[str]:
-    """The whole sentences of a text, without its headword, quoted words, asides and references."""
+    """The whole sentences of a text, without its headword (what stands before the first colon),
+    quoted words, asides and references. A sentence has a word of two letters or more; short ones
+    rarely lead by much and then go with their text."""
     if not text:
         return []
+    # each pattern is asked only where the text holds a sign that it needs
     text = unicodedata.normalize("NFC", text)
+    text = _HEAD.sub("", text, count=1) if ":" in text else text
+    if any(c in text for c in _QUOTES):
+        text = _QUOTED.sub(" ", text)
+    if any(c in text for c in _BRACKETS):
+        text = _ASIDE.sub(" ", text)
+    if "f." in text or "fr." in text or "gl." in text:
+        text = _SEE.sub(" ", text)
     out = []
-    for part in _SENTENCE.split(_SEE.sub(" ", _ASIDE.sub(" ", _QUOTED.sub(" ", _HEAD.sub("", text))))):
-        s = " ".join(_REFERENCE.sub(" ", part).split())
-        if len(_WORD.findall(s)) >= SENTENCE_WORDS:
+    for part in _SENTENCE.split(text):
+        s = " ".join((_REFERENCE.sub(" ", part) if _DIGIT.search(part) else part).split())
+        if _WORD.search(s):
             out.append(s)
     return out
 
 
+@functools.cache
+def _letters() -> np.ndarray:
+    """For each character of the first plane its small letter, 32 for what is no letter."""
+    return np.array([ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 32 for c in map(chr, range(1 << 16))], np.uint32)
+
+
 def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows, buckets, sizes): the presence matrix of the n-grams of a batch, in coordinates sorted
     by row, and how many different ones each text has."""
     if not texts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    padded = [f" {_NO_LETTER.sub(' ', t.lower()).strip()} " for t in texts]
-    lengths = np.fromiter(map(len, padded), np.int64, len(padded))
-    codes = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    row = np.repeat(np.arange(len(padded), dtype=np.int64), lengths)
-    keys = []
-    h = codes.copy()
-    mask = np.uint64((1 << BUCKET_BITS) - 1)
+    if len(texts) > MOST_ROWS:
+        parts = [presence(texts[k : k + MOST_ROWS]) for k in range(0, len(texts), MOST_ROWS)]
+        rows = [r + k * MOST_ROWS for k, (r, _, _) in enumerate(parts)]
+        return np.concatenate(rows), np.concatenate([c for _, c, _ in parts]), np.concatenate([n for _, _, n in parts])
+    joined = "\0".join(texts)
+    if joined.count("\0") != len(texts) - 1:
+        joined = "\0".join(t.replace("\0", " ") for t in texts)
+    codes = np.frombuffer(f"\0{joined}\0".encode("utf-32-le", "replace"), np.uint32)
+    # every text stands between two zeros, which count as blanks; of a run of blanks one is kept
+    plain = np.where(codes < 1 << 16, _letters()[codes & 0xFFFF], codes)
+    plain = np.where(codes == 0, np.uint32(0), plain)
+    plain = plain[(plain != 32) | (np.roll(plain, 1) > 32)]
+    plain = plain[(plain != 32) | (np.roll(plain, -1) != 0)]
+    edges = np.flatnonzero(plain == 0)
+    row = np.cumsum(plain == 0).astype(np.uint32) - np.uint32(1)
+    h, keys = plain, []
     for n in (2, 3, 4):
-        h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :]
-        whole = row[: len(h)] == row[n - 1 :]
-        mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * n)
-        keys.append((row[: len(h)][whole] << BUCKET_BITS) | ((mixed >> np.uint64(40)) & mask).astype(np.int64)[whole])
-    key = np.concatenate(keys)
-    key.sort()  # sorting and comparing neighbours is faster here than np.unique, which hashes first
-    key = key[np.flatnonzero(np.diff(key, prepend=-1))]
-    rows = key >> BUCKET_BITS
-    return rows, key & ((1 << BUCKET_BITS) - 1), np.bincount(rows, minlength=len(texts))
+        h = h[:-1] * np.uint32(0x9E3779B1) + plain[n - 1 :]
+        mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B + 2 * n)
+        key = (row[: len(h)] << np.uint32(BUCKET_BITS)) | (mixed >> np.uint32(32 - BUCKET_BITS))
+        for back in range(1, n - 1):  # what runs over the end of a text counts as its first n-gram
+            at = edges - back
+            at = at[(at >= 0) & (at < len(key))]
+            key[at] = keys[0][edges[row[at]]] if keys else key[at]
+        keys.append(key)
+    key = np.sort(np.concatenate(keys))  # sorting and comparing neighbours is faster here than np.unique
+    key = key[np.flatnonzero(np.diff(key, prepend=~key[:1]))]
+    rows = (key >> np.uint32(BUCKET_BITS)).astype(np.int64)
+    return rows, (key & np.uint32((1 << BUCKET_BITS) - 1)).astype(np.int64), np.bincount(rows, minlength=len(texts))
 
 
 @dataclass(frozen=True)
 class KernelClassifier:
-    """Weights per n-gram bucket (sorted ``buckets``, one row each) for the languages it knows."""
+    """One row of weights for each n-gram bucket, one column for each language it knows."""
 
-    buckets: np.ndarray
     weights: np.ndarray
     languages: tuple[str, ...]
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """One row of one-versus-rest scores for each text."""
+        """One row of one-versus-rest scores for each text: the sum of its buckets' weights."""
         rows, cols, sizes = presence(texts)
-        at = np.searchsorted(self.buckets, cols)
-        at[at == len(self.buckets)] = 0
-        known = self.buckets[at] == cols if len(self.buckets) else np.zeros(len(cols), bool)
-        rows, at = rows[known], at[known]
-        out = np.stack([np.bincount(rows, self.weights[at, k], minlength=len(texts)) for k in range(len(self.languages))], axis=1) if len(texts) else np.zeros((0, len(self.languages)))
+        out = np.zeros((len(texts), len(self.languages)))
+        if len(rows):
+            begin = np.flatnonzero(np.diff(rows, prepend=-1))
+            out[rows[begin]] = np.add.reduceat(self.weights.take(cols, axis=0), begin, axis=0)
         return out / np.sqrt(np.maximum(sizes, 1))[:, None]
 
 
@@ -137,7 +166,7 @@ def fit(texts: list[str], labels: list[str]) -> KernelClassifier:
     sentences in another language than their note)."""
     names = tuple(x for x in LANGUAGES if x in set(labels))
     if not names:
-        return KernelClassifier(np.zeros(0, np.int64), np.zeros((0, 0)), ())
+        return KernelClassifier(np.zeros((1 << BUCKET_BITS, 0), np.float32), ())
     y = np.array([names.index(x) for x in labels])
     phi, used = _dense(texts)  # linear kernel on normalised presence: K = phi phi^T
     keep = np.ones(len(y), bool)
@@ -157,7 +186,9 @@ def fit(texts: list[str], labels: list[str]) -> KernelClassifier:
         keep = (phi @ folded).argmax(1) == y
         if not all((keep & (y == k)).any() for k in range(len(names))):
             break
-    return KernelClassifier(used.astype(np.int64), folded, names)
+    weights = np.zeros((1 << BUCKET_BITS, len(names)), np.float32)
+    weights[used] = folded
+    return KernelClassifier(weights, names)
 
 
 def training_sample(notes: DataFrame) -> list[tuple[str, str]]:
@@ -173,7 +204,7 @@ def trained(notes: DataFrame) -> KernelClassifier:
     """The classifier of the labelled notes of this table."""
     texts, labels = [], []
     for lang, text in training_sample(notes):
-        for s in sentences(text):
+        for s in sentences(text)[: max(0, TRAINING_SENTENCES - labels.count(lang))]:
             texts.append(s)
             labels.append(lang)
     return fit(texts, labels)
@@ -190,44 +221,42 @@ def segments(notes: DataFrame, model: KernelClassifier | None = None) -> DataFra
     import pyarrow as pa
 
     spark = notes.sparkSession
-    shared = spark.sparkContext.broadcast(model or trained(notes))  # at most 2^BUCKET_BITS rows
+    shared = spark.sparkContext.broadcast(model or trained(notes))  # 2^BUCKET_BITS rows of six numbers
     source = notes.select(F.col("id").alias("note_id"), label_language(F.col("language")).alias("label"), plain_text(F.col("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clf: KernelClassifier = shared.value
         names = ["note_id", "label", "segment", "language", "confidence", "sentences"]
         for batch in batches:
-            ids, labels, texts = (batch.column(k).to_pylist() for k in range(3))
             parts, owner = [], []
-            for k, t in enumerate(texts):
+            for k, t in enumerate(batch.column(2).to_pylist()):
                 found = sentences(t) or ([t] if t and _WORD.search(t) else [])
                 parts += found
                 owner += [k] * len(found)
-            out: list[list] = [[] for _ in names]
-            if parts and clf.languages:
-                score = clf.scores(parts)
-                p = np.exp(3 * (score - score.max(1, keepdims=True)))
-                p /= p.sum(1, keepdims=True)
-                two = np.sort(score, axis=1)
-                lead = two[:, -1] - (two[:, -2] if two.shape[1] > 1 else -1)
-                best = score.argmax(1)
-                begin = 0
-                while begin < len(owner):
-                    end = begin
-                    while end < len(owner) and owner[end] == owner[begin]:
-                        end += 1
-                    sure = lead[begin:end] >= LEAST_LEAD
-                    main = int((p[begin:end][sure] if sure.any() else p[begin:end]).sum(0).argmax())
-                    lang = np.where(sure, best[begin:end], main)
-                    conf = p[np.arange(begin, end), lang]
-                    cuts = [0, *(np.flatnonzero(np.diff(lang)) + 1).tolist(), end - begin]
-                    for n, (a, b) in enumerate(zip(cuts, cuts[1:]), 1):
-                        row = (ids[owner[begin]], labels[owner[begin]], n, clf.languages[lang[a]], float(conf[a:b].mean()), b - a)
-                        for col, x in zip(out, row):
-                            col.append(x)
-                    begin = end
-            types = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+            if not parts or not clf.languages:
+                continue
+            owner = np.array(owner)
+            score = clf.scores(parts)
+            p = np.exp(3 * (score - score.max(1, keepdims=True)))
+            p /= p.sum(1, keepdims=True)
+            two = np.sort(score, axis=1)
+            sure = two[:, -1] - (two[:, -2] if two.shape[1] > 1 else -1) >= LEAST_LEAD
+            # what the sure sentences of a note say together, or all of them if none is sure
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            note = np.cumsum(np.diff(owner, prepend=-1) > 0) - 1
+            counts = sure | ~np.logical_or.reduceat(sure, first)[note]
+            main = np.add.reduceat(p * counts[:, None], first, axis=0).argmax(1)
+            lang = np.where(sure, score.argmax(1), main[note])
+            conf = p[np.arange(len(lang)), lang]
+            starts = np.flatnonzero((np.diff(owner, prepend=-1) > 0) | (np.diff(lang, prepend=-1) != 0))
+            size = np.diff(starts, append=len(lang))
+            opens = np.flatnonzero(np.diff(note[starts], prepend=-1))
+            nth = np.arange(len(starts)) - opens[note[starts]] + 1
+            rows = pa.array(owner[starts])
+            names_of = np.array(clf.languages, dtype=object)[lang[starts]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(nth.astype(np.int32)), pa.array(names_of, pa.string()), pa.array(np.add.reduceat(conf, starts) / size), pa.array(size.astype(np.int32))], names=names
+            )
 
     return map_batches(source, run, "note_id bigint, label string, segment int, language string, confidence double, sentences int")
 
