@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.text import base_letter_table
-from ..session import map_batches
+from ..session import map_batches, whole_groups
 from .rules import DEGREE_SQL, GERUND_CASE_SQL, GERUNDIVE_SQL, NOMINAL, among, render, within
 
 TOKEN_SCHEMA = (
@@ -294,25 +294,7 @@ def token_context(tokens: DataFrame, needed: Iterable[str] | None = None) -> Dat
         yield from pa.table(columns, names=[n for n, _ in out]).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        waiting: list[pa.RecordBatch] = []  # rows of one sentence
-        for b in batches:
-            if not b.num_rows:
-                continue
-            last = [b.column(k)[b.num_rows - 1] for k in (0, 1)]
-            same = np.ones(b.num_rows, bool)
-            for k in (0, 1):
-                none = -(1 << 62)
-                same &= numbers(b.column(k), none) == (none if not last[k].is_valid else last[k].as_py())
-            begin = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if waiting and (begin or [waiting[0].column(k)[0] for k in (0, 1)] != last):
-                yield from done(pa.Table.from_batches([*waiting, b.slice(0, begin)]))
-                waiting = []
-            elif begin:
-                yield from done(pa.Table.from_batches([b.slice(0, begin)]))
-            waiting.append(b.slice(begin))
-        if waiting:
-            yield from done(pa.Table.from_batches(waiting))
+        for sentences_of_batch in whole_groups(batches, 2):
+            yield from done(sentences_of_batch)
 
     return map_batches(source, run, ", ".join(f"`{n}` {t}" for n, t in out))

@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,3 +81,40 @@ def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``df.mapInArrow`` with the package at hand in the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
+
+
+def whole_groups(batches: Iterator, keys: int) -> Iterator:
+    """Arrow tables of whole groups from record batches in which the rows of a group lie together.
+
+    A group is the rows of equal values in the first ``keys`` columns, numbers or null. One that goes
+    on in the next batch waits for its end, so what is held is a batch and one group.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def last_group(b: pa.RecordBatch) -> int:
+        """Where the group of the last row begins."""
+        same = np.ones(b.num_rows, bool)
+        for k in range(keys):
+            c = b.column(k)
+            null = c.is_null().to_numpy(zero_copy_only=False)
+            value = c.fill_null(0).to_numpy(zero_copy_only=False)
+            same &= (null == null[-1]) & (value == value[-1])
+        other = np.flatnonzero(~same)
+        return int(other[-1]) + 1 if len(other) else 0
+
+    waiting: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        begin = last_group(b)
+        goes_on = waiting and [waiting[0].column(k)[0] for k in range(keys)] == [b.column(k)[0] for k in range(keys)]
+        if waiting and not goes_on:
+            yield pa.Table.from_batches(waiting)
+            waiting = []
+        if begin:
+            yield pa.Table.from_batches([*waiting, b.slice(0, begin)])
+            waiting = []
+        waiting.append(b.slice(begin))
+    if waiting:
+        yield pa.Table.from_batches(waiting)
