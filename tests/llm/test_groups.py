@@ -105,6 +105,15 @@ def test_shared_runs(spark, monkeypatch):
     assert shared_spans.shared_runs(df.limit(0)).count() == 0
 
 
+def test_two_hashes_at_one_offset(spark):
+    """An offset loaded with two hashes stands for both; no run through either is lost."""
+    words = lambda w, n, start=0: [(1000 * w + k, k) for k in range(start, start + n)]
+    common = [(7 * k + 1, k) for k in range(30)]
+    rows = [(h, 1, k) for h, k in common] + [(-5 - k, 1, k) for k in (4, 9, 11, 12)] + [(h, 2, k + 50) for h, k in common] + [(99, 2, 54)] + [(h, 3, k) for h, k in words(3, 20)]
+    df = spark.createDataFrame(rows, "hash bigint, work_id bigint, tok_offset bigint")
+    assert sorted(map(tuple, shared_spans.shared_runs(df).collect())) == [(1, 0, 33), (2, 50, 83)]
+
+
 def brute_pairs(texts):
     bags = {k: collections.Counter(t.lower().split()) for k, t in texts.items() if t and len(t.split()) >= 5}
     size = {k: sum(b.values()) for k, b in bags.items()}
