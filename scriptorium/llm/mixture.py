@@ -15,8 +15,13 @@ from ..session import materialise, spread
 from .tokenise import TOKENIZERS, VOCABULARY, token_count
 
 #: Steps in which a source's rate is searched, a fixed number, so the histograms have a bound.
-RATE_STEPS = 8192
+RATE_STEPS = 1 << 16
+#: Halvings in which the rate is found at which a copy enters: enough for the last bit of a step.
+HALVINGS = 40
 SEED = 17
+#: Sources up to which the plan of the mixture, one row each, is sent to all tasks; beyond, it is joined
+#: by a shuffle.
+MOST_SENT = 10_000
 
 
 def _uniform(document: Column, seed: int) -> Column:
@@ -27,23 +32,26 @@ def _uniform(document: Column, seed: int) -> Column:
 def _entry_rate(u: Column, k: Column) -> Column:
     """The Poisson mean at which the inverse distribution at ``u`` first gives ``k`` or more.
 
-    The root of P(X < k; rate) = u, by 26 halvings of [0, 64].
+    The root of P(X < k; rate) = u. For any u of 52 bits it lies below k + 37 + sqrt(37^2 + 74 k), by
+    Chernoff's bound of the lower tail, so the search has no other limit than k. Terms are summed by
+    their logarithms, which large means do not underflow.
     """
 
     def below(rate: Column) -> Column:
-        start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-        done = F.aggregate(
-            F.sequence(F.lit(1), F.greatest(k - 1, F.lit(1))), start,
-            lambda a, i: F.struct((a["term"] * rate / i).alias("term"), (a["total"] + a["term"] * rate / i).alias("total")),
+        start = F.struct((-rate).alias("log"), F.exp(-rate).alias("total"))
+        return F.aggregate(
+            F.filter(F.sequence(F.lit(0), k - 1), lambda i: i > 0), start,
+            lambda a, i: F.struct((a["log"] + F.log(rate) - F.log(i)).alias("log"), (a["total"] + F.exp(a["log"] + F.log(rate) - F.log(i))).alias("total")),
+            lambda a: a["total"],
         )
-        return F.exp(-rate) * F.when(k == 1, F.lit(1.0)).otherwise(done["total"])
 
-    closed = -F.log(u)  # k = 1: P(X < 1) = exp(-rate)
-    halved = F.aggregate(
-        F.sequence(F.lit(1), F.lit(26)), F.struct(F.lit(0.0).alias("lo"), F.lit(64.0).alias("hi")),
-        lambda a, _: F.when(below((a["lo"] + a["hi"]) / 2) > u, F.struct(((a["lo"] + a["hi"]) / 2).alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), ((a["lo"] + a["hi"]) / 2).alias("hi"))),
-    )
-    return F.when(k == 1, closed).otherwise(halved["hi"])
+    def halve(a: Column, _: Column) -> Column:
+        middle = (a["lo"] + a["hi"]) / 2
+        return F.when(below(middle) > u, F.struct(middle.alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), middle.alias("hi")))
+
+    top = (k + 37 + F.sqrt(F.lit(37.0 * 37) + 74 * k)).cast("double")
+    halved = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), F.struct(F.lit(0.0).alias("lo"), top.alias("hi")), halve, lambda a: a["hi"])
+    return F.when(k == 1, -F.log(u)).otherwise(halved)  # P(X < 1) = exp(-rate)
 
 
 def sized_documents(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -54,13 +62,13 @@ def sized_documents(documents: DataFrame, targets: DataFrame, folder: str = TOKE
     return materialise(token_count(spread(rows), "doc_id", "text", keep=("source",), folder=folder, vocabulary=vocabulary))
 
 
-def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
+def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | str | None = None) -> DataFrame:
     """``(source, weight, max_repeats, available, goal)``: the tokens that each source should give.
 
     Weights are taken relative to those of all sources that have documents. Without
     ``total_tokens`` the mixture is as large as it can be with every one of these sources at its
     weight: the source with the least room for its weight is used up to its cap. With a larger
-    total, a source whose share is more than ``max_repeats`` times its tokens gives what it can, and
+    total, or ``"available"`` for as many tokens as the documents of all these sources have, a source whose share is more than ``max_repeats`` times its tokens gives what it can, and
     the others keep their weights among themselves for the rest, again and again until none is
     short. Null or negative weights and repeats count as 0; of several rows for a source the largest
     weight holds.
@@ -75,7 +83,8 @@ def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     # water filling: in order of room per weight the level at which a source is full is known
     order = Window.partitionBy().orderBy("fill", "source")
     p = p.withColumn("fill", F.when(F.col("w") > 0, F.col("room") / F.col("w")))
-    p = p.withColumn("total", F.lit(total_tokens).cast("double") if total_tokens is not None else F.min("fill").over(whole) * F.sum("w").over(whole))
+    given = F.sum(F.when(F.col("w") > 0, F.col("available"))).over(whole).cast("double") if total_tokens == "available" else F.lit(total_tokens).cast("double")
+    p = p.withColumn("total", given if total_tokens is not None else F.min("fill").over(whole) * F.sum("w").over(whole))
     p = p.withColumn("full_before", F.coalesce(F.sum(F.when(F.col("fill").isNotNull(), F.col("room")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     p = p.withColumn("w_left", F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)))
     p = p.withColumn("level", F.when(F.col("fill").isNotNull(), (F.col("total") - F.col("full_before")) / F.col("w_left")))
@@ -88,14 +97,17 @@ def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None)
 def _copies(sized: DataFrame, targets_plan: DataFrame, seed: int) -> DataFrame:
     """Every allowed copy with the step of the rate at which it enters."""
     u = _uniform(F.col("doc_id"), seed)
-    rows = sized.join(targets_plan.where("goal > 0").select("source", "max_repeats", "goal"), "source").where(F.col("n_tokens") > 0)
+    named = targets_plan.where("goal > 0").select("source", "max_repeats", "goal")
+    few = named.count() <= MOST_SENT
+    # sent to the documents, so that these stay spread as they are, whatever the share of a source
+    rows = sized.where(F.col("n_tokens") > 0).join(F.broadcast(named) if few else named, "source")
     rows = rows.select("doc_id", "source", "n_tokens", "goal", u.alias("u"), F.explode(F.sequence(F.lit(1), F.col("max_repeats"))).alias("copy"))
     rate = _entry_rate(F.col("u"), F.col("copy"))
-    # steps even in 1 - exp(-rate / 2), so that they are fine where most copies enter
-    return rows.withColumn("step", F.floor((1 - F.exp(-rate / 2)) * RATE_STEPS)).drop("u")
+    # steps even in rate / (rate + 2): fine where most copies enter, and never running out
+    return rows.withColumn("rate", rate).withColumn("step", F.floor(F.col("rate") / (F.col("rate") + 2) * RATE_STEPS)).drop("u", "rate")
 
 
-def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = SEED, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | str | None = None, seed: int = SEED, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """``(chosen, shares)``.
 
     ``chosen(doc_id, source, copy, n_tokens, shuffle_key)`` has one row per chosen copy, spread over

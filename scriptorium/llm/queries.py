@@ -80,6 +80,11 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixture(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_target"))[1]
 
 
+def p8_shares_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of a mixture of as many tokens as all sources have, where the caps bind."""
+    return mixture.mixture(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_target"), "available")[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncations(_table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -89,7 +94,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_of = (p1_found, p1_survivors, p2_found, p2_shares, p4_found, p4_forms, p5_found, p5_segments, p6_found, p6_groups, p7_ids, p8_mix, p8_shares, p9_found, p9_rates)
+    all_of = (p1_found, p1_survivors, p2_found, p2_shares, p4_found, p4_forms, p5_found, p5_segments, p6_found, p6_groups, p7_ids, p8_mix, p8_shares, p8_shares_full, p9_found, p9_rates)
     return {f.__name__: f for f in all_of}
 
 

@@ -1,3 +1,4 @@
+import math
 import base64
 import random
 from pathlib import Path
@@ -41,8 +42,6 @@ def test_encode_documents(spark, reference):
 
 
 def test_entry_rate_inverts_poisson(spark):
-    import math
-
     cdf = lambda k, m: sum(math.exp(-m) * m**i / math.factorial(i) for i in range(k))
     rows = [(u, k) for u in (0.001, 0.2, 0.5, 0.9) for k in (1, 2, 3, 5)]
     df = spark.createDataFrame(rows, "u double, k int").withColumn("m", mixture._entry_rate(F.col("u"), F.col("k")))
@@ -57,6 +56,23 @@ def mix_tables(spark):
     return spark.createDataFrame(rows, DOC), targets
 
 
+def test_entry_rate_beyond_any_cap(spark):
+    rows = [(u, k) for u in (1e-9, 0.01, 0.5, 0.999) for k in (65, 80, 120, 1000)]
+    df = spark.createDataFrame(rows, "u double, k int").withColumn("m", mixture._entry_rate(F.col("u"), F.col("k")))
+    for r in df.collect():
+        below = sum(math.exp(i * math.log(r.m) - r.m - math.lgamma(i + 1)) for i in range(r.k))
+        assert abs(below - r.u) < 1e-6 * r.u + 1e-12, r
+
+
+def test_many_repeats_of_a_small_source(spark):
+    docs = spark.createDataFrame([(k, "a", "arma virumque cano " * 3) for k in range(40)] + [(100 + k, "b", f"word {k} " * 50) for k in range(800)], "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 120), ("b", 0.5, 1)], "source string, weight double, max_repeats int")
+    got = {r.source: r for r in mixture.mixture(docs, targets)[1].collect()}
+    assert got["a"].most_repeats > 64 and abs(got["a"].share - 0.5) < 0.02
+    full = {r.source: r for r in mixture.mixture(docs, targets, "available")[1].collect()}
+    assert sum(r.n_goal for r in full.values()) <= sum(r.n_available for r in full.values()) + 2
+
+
 def test_mixture(spark):
     """Without a total every source that has documents is at its weight."""
     docs, targets = mix_tables(spark)
