@@ -60,49 +60,61 @@ def _body(text: Column) -> Column:
 
 
 def _prefix_pass(batches: Iterator, columns: tuple[str, ...] = ("value",)) -> Iterator:
-    """Over one sorted partition: values that the next value continues, and the two edges."""
+    """Over one sorted partition: values that later ones continue, and what the edges need.
+
+    All values that continue a value follow it directly, so a stack of the values that the present
+    one continues, each inside the next, is all that is kept. ``after`` is the first sign other than
+    a line end with which some longer value goes on, or the line end if all do with that.
+    """
     import pyarrow as pa
     from pyspark import TaskContext
 
     pid = TaskContext.get().partitionId()
-    first = last = None
+    first = None
+    stack: list[list] = []  # [value, sign with which it goes on so far]
+    names = ["what", "pid", "value", "after"]
+
+    def rows(what: str, items: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([what] * len(items), pa.string()), pa.array([pid] * len(items), pa.int32()), pa.array([v for v, _ in items], pa.string()), pa.array([a for _, a in items], pa.string())], names=names)
+
     for batch in batches:
-        hits, after = [], []
+        hits = []
         for v in batch.column(0).to_pylist():
             if not v:
                 continue
-            if first is None:
-                first = v
-            elif v.startswith(last):
-                hits.append(last)
-                after.append(v[len(last)])
-            last = v
-        n = len(hits)
-        yield pa.RecordBatch.from_arrays([pa.array(["hit"] * n, pa.string()), pa.array([pid] * n, pa.int32()), pa.array(hits, pa.string()), pa.array(after, pa.string())], names=["what", "pid", "value", "after"])
+            first = v if first is None else first
+            while stack and not v.startswith(stack[-1][0]):
+                if (top := stack.pop())[1] is not None:
+                    hits.append(top)
+            if stack and stack[-1][1] in (None, "\n"):  # those further down go on as the one above them does
+                stack[-1][1] = v[len(stack[-1][0])]
+            stack.append([v, None])
+        yield rows("hit", hits)
+    yield rows("hit", [x for x in stack if x[1] is not None])
     if first is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(["first", "last"]), pa.array([pid, pid], pa.int32()), pa.array([first, last], pa.string()), pa.array([None, None], pa.string())], names=["what", "pid", "value", "after"])
+        yield rows("first", [(first, None)])
+        yield rows("last", [(v, None) for v, a in stack if a in (None, "\n")])
 
 
 def strict_prefixes(values: DataFrame, value: str) -> DataFrame:
     """``(value, after)`` for each different non-empty value that is a strict prefix of another one;
-    ``after`` is the character with which its successor in sorted order goes on.
+    ``after`` is a character with which a longer value goes on, a line end only if all seen do so.
 
     Copies fold before the sort, and a partition is read as a stream, so neither hot values nor
-    common beginnings gather in memory. Null and empty values are left out.
+    common beginnings gather in memory. A value at the end of a partition is held against the first
+    of the next. Null and empty values are left out.
     """
     v = values.select(F.col(f"`{value}`").alias("value")).distinct()
     parts = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = v.repartitionByRange(parts, "value").sortWithinPartitions("value")
     seen = materialise(map_batches(ordered, _prefix_pass, "what string, pid int, value string, after string"))
     hits = seen.where("what = 'hit'").select("value", "after")
-    # a partition's last value against the first of the next partition that has any (one row each)
-    edges = seen.where("what <> 'hit'")
-    rank = F.dense_rank().over(Window.orderBy("pid"))
-    edges = edges.withColumn("nth", rank)
-    last = edges.where("what = 'last'").select("nth", "value")
-    nxt = edges.where("what = 'first'").select((F.col("nth") - 1).alias("nth"), F.col("value").alias("next"))
+    # partitions that hold any value are numbered, a table of one row for each
+    firsts = seen.where("what = 'first'").select("pid", "value", F.row_number().over(Window.orderBy("pid")).alias("nth"))
+    last = seen.where("what = 'last'").select("pid", "value").join(firsts.select("pid", "nth"), "pid")
+    nxt = firsts.select((F.col("nth") - 1).alias("nth"), F.col("value").alias("next"))
     over = last.join(nxt, "nth").where(F.col("next").startswith(F.col("value"))).select("value", F.substring("next", F.length("value") + 1, F.lit(1)).alias("after"))
-    return hits.union(over)
+    return hits.union(over).groupBy("value").agg(F.max("after").alias("after"))
 
 
 def field_limits(rows: DataFrame) -> DataFrame:
@@ -121,7 +133,8 @@ def field_limits(rows: DataFrame) -> DataFrame:
 def _words(body: Column) -> Column:
     """The words in order, in small letters without marks; the last is empty after a sign."""
     src, dst = base_letter_table()
-    return F.split(F.regexp_replace(F.lower(F.translate(body, src, dst)), r"\p{M}+", ""), r"\P{L}+")
+    t = F.lower(F.translate(body, src, dst))
+    return F.split(F.when(F.octet_length(t) == F.length(t), t).otherwise(F.regexp_replace(t, r"\p{M}+", "")), r"\P{L}+")
 
 
 def _ending(word: Column) -> Column:
@@ -135,9 +148,10 @@ def word_stumps(rows: DataFrame, last: DataFrame) -> DataFrame:
     another word, and ends in three letters (or its beginning) with which few words end. Open ends
     do not count as known words, so another text cut at the same letters hides nothing.
     """
-    words = _words(F.col("body"))
-    sure = F.when(_closed(F.col("body")), words).otherwise(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))
-    known = materialise(rows.select(F.explode(sure).alias("word")).where("word <> ''").distinct())
+    # the words are a column of their own, so that the generator does not make them again
+    said = rows.select(_words(F.col("body")).alias("w"), _closed(F.col("body")).alias("whole"))
+    sure = F.when(F.col("whole"), F.col("w")).otherwise(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))))
+    known = materialise(said.select(F.explode(sure).alias("word")).where("word <> ''").distinct())
     fresh = materialise(last.where("word <> ''").distinct().join(known, "word", "left_anti"))
     longer = strict_prefixes(known.union(fresh), "word").select(F.col("value").alias("word"))
     padded = F.concat(F.lit("^"), F.col("word"))
@@ -177,50 +191,47 @@ def truncations(documents: DataFrame) -> DataFrame:
     )
     lines = F.split("body", "\n+")
     lengths = F.transform(F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0))), F.length)
+    rows = rows.withColumn("form", _form(F.col("kind"), F.col("body")))
+    letter = F.col("form").isin("letter", "unknown") & (F.size(lines) >= 2)
     judged = rows.select(
-        "doc_id", "source", "marked", "chars", "bytes", _form(F.col("kind"), F.col("body")).alias("form"),
+        "doc_id", "source", "marked", "chars", "bytes", "form",
         (~_closed(F.col("body"))).alias("open"), F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"),
-        F.left(F.element_at(lines, -1), F.lit(40)).alias("line"), (F.size(lines) >= 2).alias("several"),
+        F.when(letter, F.regexp_replace(F.element_at(lines, -1), r"[.?!]+$", "")).alias("bare"),
         F.length(F.element_at(lines, -1)).alias("last_len"), F.array_min(lengths).alias("least_len"), "body",
     )
     may_stop = F.col("form").isin("verse", "list") & F.col("open")
     judged = materialise(judged.withColumn("word", F.when(may_stop, F.element_at(_words(F.col("body")), -1))).drop("body"))
     # 1. strict prefixes of longer texts
     prefixes = strict_prefixes(rows, "body").where(F.col("after") != "\n").select(F.xxhash64("value").alias("h1"), F.xxhash64(F.lit(1), "value").alias("h2")).distinct().withColumn("is_prefix", F.lit(True))
-    # 2. usual closing lines of letters, and their strict beginnings
-    bare = F.regexp_replace("line", r"[.?!]+$", "")
-    letters = judged.where((F.col("form") == "letter") & F.col("several")).select(bare.alias("closing"), "h1", "h2").distinct()
-    often = letters.groupBy("closing").count().withColumn("all", F.sum("count").over(Window.partitionBy())).where((F.col("count") >= F.col("all") * USUAL_CLOSING) & (F.length("closing") <= 24)).select("closing", "count")
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length("closing") - 1, F.lit(1))), lambda i: F.regexp_replace(F.rtrim(F.left(F.col("closing"), i)), r"[.?!]+$", ""))
-    begin = often.select("closing", "count", F.explode(cut).alias("bare")).where(F.col("bare") != F.col("closing"))
-    begin = begin.groupBy("bare").agg(F.max("count").alias("longer"))
-    # a line that is the beginning of a more frequent one is no usual closing itself
-    usual = often.join(begin, F.col("closing") == F.col("bare"), "left").where(F.coalesce("longer", F.lit(0)) < F.col("count")).select("closing")
-    begun = begin.join(usual, F.col("bare") == F.col("closing"), "left_anti").select("bare", F.lit(True).alias("begun"))
-    closings = usual.select(F.col("closing").alias("bare"), F.lit(True).alias("usual"))
-    # at most 1 / USUAL_CLOSING closings of 24 characters exist, so both tables have a bound
+    # 2. usual closing lines of letters, and their strict beginnings: each closing line is that of a
+    # share of the texts, so at most 1 / USUAL_CLOSING are often; they come as one array
+    closings = judged.where((F.col("form") == "letter") & F.col("bare").isNotNull()).groupBy("bare").agg(F.countDistinct("h1", "h2").alias("n"))
+    every = closings.agg(F.sum("n")).scalar()
+    often = closings.where(F.col("n") >= every * USUAL_CLOSING).agg(F.collect_list(F.struct("bare", "n"))).scalar()
     limits = field_limits(judged).withColumn("limit", F.lit(True))
     chars = limits.where("measure = 'chars'").select("source", F.col("length").alias("chars"), F.col("limit").alias("at_chars"))
     octets = limits.where("measure = 'bytes'").select("source", F.col("length").alias("bytes"), F.col("limit").alias("at_bytes"))
     # 3. last words that are cut
     stumps = word_stumps(rows, judged.where(F.col("word").isNotNull()).select("word")).withColumn("is_stump", F.lit(True))
     known = (
-        judged.withColumn("bare", bare)
+        judged.withColumn("often", F.when(F.col("bare").isNotNull(), often))
         .join(prefixes, ["h1", "h2"], "left")
-        .join(F.broadcast(closings), "bare", "left")
-        .join(F.broadcast(begun), "bare", "left")
         .join(chars, ["source", "chars"], "left")
         .join(octets, ["source", "bytes"], "left")
         .join(stumps, "word", "left")
     )
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     short = F.col("last_len") < F.col("least_len")
-    letter = F.col("form").isin("letter", "unknown") & F.col("several")
+    goes_on = lambda c: c["bare"].startswith(F.col("bare")) & (c["bare"] != F.col("bare"))
+    times = F.coalesce(F.array_max(F.transform(F.filter("often", lambda c: c["bare"] == F.col("bare")), lambda c: c["n"])), F.lit(0))
+    # a line that is the beginning of a more frequent one is no usual closing itself
+    usual = F.coalesce((times > 0) & ~F.exists("often", lambda c: goes_on(c) & (c["n"] > times)), F.lit(False))
+    begun = F.coalesce((F.col("bare") != "") & F.exists("often", goes_on) & ~usual, F.lit(False))
     evidence = (
-        F.when(letter & yes("begun"), "closing")
+        F.when(begun, "closing")
         .when(F.col("marked") & F.col("open"), "mark")
         .when(yes("is_prefix") & F.col("open"), "prefix")
-        .when(F.col("form").isin("prose", "letter", "unknown") & F.col("open") & ~(letter & yes("usual")), "open")
+        .when(F.col("form").isin("prose", "letter", "unknown") & F.col("open") & ~usual, "open")
         .when((F.col("form") == "verse") & F.col("open") & (yes("at_chars") | yes("at_bytes")), "limit")
         .when((F.col("form") == "list") & F.col("open") & (yes("at_chars") | yes("at_bytes")) & short, "limit")
         .when(may_stop & yes("is_stump"), "word")

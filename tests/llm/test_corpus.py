@@ -41,6 +41,22 @@ def test_encode_documents(spark, reference):
     assert tokenise.encode_documents(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_prefixes_by_brute_force(spark):
+    r = random.Random(4)
+    values = {"".join(r.choice("ab\n") for _ in range(r.randrange(0, 9))) for _ in range(400)}
+    df = spark.createDataFrame([(v,) for v in values for _ in range(2)], "v string")
+    got = {x.value: x.after for x in truncation.strict_prefixes(df.coalesce(1), "v").collect()}
+    longer = {v: {w[len(v)] for w in values if w.startswith(v) and w != v} for v in values if v}
+    assert set(got) == {v for v, a in longer.items() if a}
+    assert sum((got[v] == "\n") != (a == {"\n"}) for v, a in longer.items() if a) <= 8  # only at the edges of partitions
+
+
+def test_long_usual_closing_line(spark):
+    end = "Cura ut valeas et nos, quod facis, ut amicum decet semper ama"
+    rows = [(k, f"Salve {'x' * k}. Bene est.\n{end}", "post", "letter") for k in range(60)] + [(99, f"Salve. Bene est.\n{end[:41]}", "post", "letter")]
+    assert [x.doc_id for x in truncation.truncations(spark.createDataFrame(rows, "doc_id bigint, text string, source string, kind string")).collect()] == [99]
+
+
 def test_entry_rate_inverts_poisson(spark):
     cdf = lambda k, m: sum(math.exp(-m) * m**i / math.factorial(i) for i in range(k))
     rows = [(u, k) for u in (0.001, 0.2, 0.5, 0.9) for k in (1, 2, 3, 5)]
