@@ -141,46 +141,47 @@ def first_sense(gloss: Column) -> Column:
     return F.coalesce(F.trim(F.get(F.split(gloss, "[,;]"), F.lit(0))), F.lit(""))
 
 
-# Words of a morphological description.
-_LABELS = {
-    "Case": "Nom nominative Gen genitive Dat dative Acc accusative Abl ablative Voc vocative Loc locative",
-    "Number": "Sing singular Plur plural",
-    "Gender": "Masc masculine Fem feminine Neut neuter",
-    "Person": "1 first 2 second 3 third",
-    "Tense": "Pres present Past perfect Imp imperfect Fut future Pqp pluperfect",
-    "Voice": "Act active Pass passive",
-    "Mood": "Ind indicative Sub subjunctive Imp imperative",
+# Words of a morphological description; a value without a name stands for itself.
+MORPH_NAMES = {
+    "Case": {"Nom": "nominative", "Gen": "genitive", "Dat": "dative", "Acc": "accusative", "Abl": "ablative", "Voc": "vocative", "Loc": "locative"},
+    "Number": {"Sing": "singular", "Plur": "plural"},
+    "Gender": {"Masc": "masculine", "Fem": "feminine", "Neut": "neuter"},
+    "Person": {"1": "1st person", "2": "2nd person", "3": "3rd person"},
+    "Tense": {"Pres": "present", "Past": "perfect", "Fut": "future", "Pqp": "pluperfect"},
+    "Voice": {"Act": "active", "Pass": "passive"},
+    "Mood": {"Ind": "indicative", "Sub": "subjunctive", "Imp": "imperative"},
 }
-_POS = "NOUN noun PROPN proper-noun VERB verb AUX verb ADJ adjective ADV adverb PRON pronoun DET determiner ADP preposition SCONJ conjunction CCONJ conjunction NUM numeral"
+POS_NAMES = {
+    "NOUN": "noun", "PROPN": "proper noun", "VERB": "verb", "AUX": "auxiliary verb", "ADJ": "adjective", "ADV": "adverb", "PRON": "pronoun", "DET": "determiner", "ADP": "preposition",
+    "CCONJ": "coordinating conjunction", "SCONJ": "subordinating conjunction", "NUM": "numeral", "PART": "particle", "INTJ": "interjection", "PUNCT": "punctuation", "X": "unclassified",
+}
+VERBAL_NOUNS = {"Part": "participle", "Ger": "gerund", "Gdv": "gerundive", "Sup": "supine"}
+
+
+def _named(value: Column, names: dict[str, str], otherwise: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), value), otherwise)
 
 
 def describe_morph(morph: Column, pos: Column) -> Column:
-    """A line such as ``third person singular present indicative active`` for a token.
+    """A line such as ``3rd person singular present active indicative verb`` for a token.
 
-    Participles and gerundives get their tense or name before case; finite verbs person, number,
-    tense, mood, voice; all others gender, number, case, part of speech. Missing features are left out.
+    Verbal nouns and adjectives have tense (or what the aspect says of it) and voice before their
+    name and gender, case and number behind it, but a prospective passive participle is a plain
+    gerundive; verbs have person, number, tense, voice, mood; all others gender, case, number and
+    their part of speech. Missing features are left out.
     """
-
-    def label(feature: str) -> Column:
-        names = _LABELS[feature].split()
-        v = F.try_element_at(morph, F.lit(feature))
-        out = F.when(v == names[0], names[1])
-        for a, b in zip(names[2::2], names[3::2]):
-            out = out.when(v == a, b)
-        return out
-
-    form = F.coalesce(F.try_element_at(morph, F.lit("VerbForm")), F.lit(""))
-    prosp = (F.try_element_at(morph, F.lit("Aspect")) == "Prosp") & (F.try_element_at(morph, F.lit("Voice")) == "Pass")
-    names = _POS.split()
-    kind = F.when(pos == names[0], names[1])
-    for a, b in zip(names[2::2], names[3::2]):
-        kind = kind.when(pos == a, b.replace("-", " "))
-    agree = [label("Gender"), label("Number"), label("Case")]
+    raw = lambda f: F.nullif(F.try_element_at(morph, F.lit(f)), F.lit(""))
+    label = lambda f: _named(raw(f), MORPH_NAMES[f], raw(f))
+    has = lambda f, *values: F.coalesce(raw(f).isin(*values), F.lit(False))
+    kind = _named(pos, POS_NAMES, F.lower(pos))
+    agree = [label(f) for f in ("Gender", "Case", "Number")]
+    said = F.when(has("Aspect", "Perf") | has("Tense", "Past"), "perfect").when(has("Aspect", "Prosp") | has("Tense", "Fut"), "future").when(has("Aspect", "Imp") | has("Tense", "Pres"), "present")
+    gerundive = has("VerbForm", "Part") & has("Aspect", "Prosp") & has("Voice", "Pass")
+    name = F.when(gerundive, "gerundive").otherwise(_named(raw("VerbForm"), VERBAL_NOUNS, F.lit("")))
+    before = [F.when(has("VerbForm", "Part") & ~gerundive, x) for x in (said, label("Voice"))]
+    verb = [label("Person"), label("Number"), label("Tense"), label("Voice"), F.when(has("VerbForm", "Inf"), "infinitive").otherwise(label("Mood")), F.when(pos == "VERB", "verb").otherwise(kind)]
     return (
-        F.when(form.isin("Gdv", "Ger") | ((form == "Part") & F.coalesce(prosp, F.lit(False))), F.concat_ws(" ", F.when(form == "Ger", "gerund").otherwise("gerundive"), *agree))
-        .when(form == "Part", F.concat_ws(" ", label("Tense"), label("Voice"), F.lit("participle"), *agree))
-        .when(form == "Inf", F.concat_ws(" ", label("Tense"), label("Voice"), F.lit("infinitive")))
-        .when(form == "Sup", F.concat_ws(" ", F.lit("supine"), label("Case")))
-        .when(label("Mood").isNotNull(), F.concat_ws(" ", F.concat(label("Person"), F.lit(" person")), label("Number"), label("Tense"), label("Mood"), label("Voice")))
+        F.when(has("VerbForm", *VERBAL_NOUNS), F.concat_ws(" ", *before, name, *agree))
+        .when(has("VerbForm", "Inf") | F.coalesce(pos.isin("VERB", "AUX"), F.lit(False)), F.concat_ws(" ", *verb))
         .otherwise(F.concat_ws(" ", *agree, kind))
     )

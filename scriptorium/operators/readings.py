@@ -25,22 +25,35 @@ def named(code: Column, names: dict[str, str]) -> Column:
 
 def lexicon_entries(entries: DataFrame, token: str, order: str) -> DataFrame:
     """The first entries of each token with their codes spelt out: ``headword, pos, declension,
-    gender, frequency, age`` beside ``token`` and ``order``. Ties in ``order`` go by headword."""
+    gender, frequency, age`` beside ``token`` and ``order``, and where the dictionary has them the
+    lists ``glosses``, ``principal_parts`` and ``source_refs`` (empty for null). Ties in ``order`` go
+    by headword."""
     first = Window.partitionBy(token).orderBy(order, "headword")
     e = entries.withColumn("__k", F.row_number().over(first)).where(F.col("__k") <= MOST_ENTRIES)
     which = F.when(F.col("pos").isin("N", "ADJ"), named(F.col("decl"), DECLENSION)).when(F.col("pos") == "V", named(F.col("decl"), CONJUGATION))
-    return e.select(token, order, "headword", "pos", which.alias("declension"), named(F.col("gender"), GENDER).alias("gender"), named(F.col("freq"), FREQUENCY).alias("frequency"), named(F.col("age"), AGE).alias("age"))
+    return e.select(token, order, "headword", "pos", which.alias("declension"), named(F.col("gender"), GENDER).alias("gender"), named(F.col("freq"), FREQUENCY).alias("frequency"), named(F.col("age"), AGE).alias("age"), *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("glosses", "principal_parts", "source_refs") if c in entries.columns])
 
 
 def distinct_parses(parses: DataFrame, token: str, order: str) -> DataFrame:
     """Of the first parses of each token one for each (lemma, case, number, pos), the earliest;
-    case and number spelt out. Null features are equal to each other."""
+    case and number spelt out, with ``headword``, ``stem``, ``ending``, ``declension`` (of ``decl``)
+    and ``meaning`` (without a closing semicolon) where the analyser gives them. Null features are
+    equal to each other."""
     first = Window.partitionBy(token).orderBy(order, "lemma")
     p = parses.withColumn("__k", F.row_number().over(first)).where(F.col("__k") <= MOST_PARSES)
     once = Window.partitionBy(token, "lemma", "case", "number", "pos").orderBy("__k")
     p = p.withColumn("__d", F.row_number().over(once)).where(F.col("__d") == 1)
+    more = [F.col(c) for c in ("headword", "stem", "ending") if c in parses.columns]
+    more += [F.col("decl").alias("declension")] if "decl" in parses.columns else []
+    more += [F.regexp_replace(F.coalesce(F.trim("meaning"), F.lit("")), ";+$", "").alias("meaning")] if "meaning" in parses.columns else []
     number = F.when(F.col("number") == "S", "singular").when(F.col("number").isNotNull(), "plural")
-    return p.select(token, order, "lemma", "pos", F.coalesce(named(F.left(F.initcap("case"), F.lit(3)), CASE), "case").alias("case"), number.alias("number"))
+    return p.select(token, order, "lemma", "pos", F.coalesce(named(F.left(F.initcap("case"), F.lit(3)), CASE), "case").alias("case"), number.alias("number"), *more)
+
+
+def findings_by_token(findings: DataFrame) -> DataFrame:
+    """Every finding at each token that it contains (``i``), strongest first by ``rank``."""
+    each = findings.withColumn("i", F.explode(F.array_distinct(F.split("tokens", ",").cast("array<int>"))))
+    return each.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "sent_id", "i").orderBy(F.col("confidence").desc(), "key", "anchor", "tokens")))
 
 
 def findings_at(findings: DataFrame, tokens: DataFrame) -> DataFrame:

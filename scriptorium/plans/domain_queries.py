@@ -12,11 +12,11 @@ from ..functions import forms
 from ..functions.refs import plain_ref
 from ..functions.text import base_letter_table, shingles, words
 from ..operators import gate, readings, retrieval, scansion
-from ..operators.constructions import family_findings
+from ..operators.constructions import constructions
 from ..session import spread
 from ..sources.surrogate import annotate, annotation_sql
 from .assemble import admitted, analyse, confidence_label, ranked_readings, to_documents
-from .grammar_sql import KEY, family_sql
+from .grammar_sql import KEPT, KEY, all_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -169,10 +169,9 @@ def readings_uncertain(spark, sf_dir):
 
 
 def findings_at_token(spark, sf_dir):
-    """The findings at the first token of each sentence."""
-    found = family_findings(_tokens(spark, sf_dir), ["core"])
-    first = table(spark, sf_dir, "loc").select(F.col("work_id").alias("doc_id"), F.col("loc_id").alias("sent_id"), F.lit(0).alias("i"))
-    return readings.findings_at(found, first).select("doc_id", "sent_id", "key", "anchor", "tokens", F.col("rank").cast("bigint").alias("rank"))
+    """The findings at every token, of all families."""
+    found = constructions(_tokens(spark, sf_dir))
+    return readings.findings_by_token(found).select("doc_id", "sent_id", "i", "key", "anchor", "tokens", F.col("rank").cast("bigint").alias("rank"))
 
 
 def sentence_spans(spark, sf_dir):
@@ -237,16 +236,16 @@ def _map(column: str, names: dict[str, str]) -> str:
 
 
 def _description_sql() -> str:
-    """The description of a token from its feature columns."""
-    col = {"Case": "cas", "Number": "num", "Gender": "gen", "Person": "person", "Tense": "tense", "Voice": "voice", "Mood": "mood"}
-    pairs = lambda text: dict(zip(text.split()[::2], text.split()[1::2]))
-    label = {f: _map(c, pairs(forms._LABELS[f])) for f, c in col.items()}
-    kind = _map("pos", {k: v.replace("-", " ") for k, v in pairs(forms._POS).items()})
+    """The description of a token from its feature columns, written anew for this engine."""
+    name = lambda c, f: f"coalesce(map {{{', '.join(f"'{k}': '{v}'" for k, v in forms.MORPH_NAMES[f].items())}}}[{c}], {c})"
     ws = lambda *x: "concat_ws(' ', " + ", ".join(x) + ")"
-    agree = (label["Gender"], label["Number"], label["Case"])
-    return f"""CASE WHEN coalesce(vf, '') IN ('Gdv', 'Ger') OR (vf = 'Part' AND coalesce(aspect = 'Prosp' AND voice = 'Pass', false)) THEN {ws("CASE WHEN vf = 'Ger' THEN 'gerund' ELSE 'gerundive' END", *agree)}
-      WHEN vf = 'Part' THEN {ws(label["Tense"], label["Voice"], "'participle'", *agree)} WHEN vf = 'Inf' THEN {ws(label["Tense"], label["Voice"], "'infinitive'")} WHEN vf = 'Sup' THEN {ws("'supine'", label["Case"])}
-      WHEN {label["Mood"]} IS NOT NULL THEN {ws(f"({label['Person']}) || ' person'", label["Number"], label["Tense"], label["Mood"], label["Voice"])} ELSE {ws(*agree, kind)} END"""
+    agree = (name("gen", "Gender"), name("cas", "Case"), name("num", "Number"))
+    kind = f"coalesce(map {{{', '.join(f"'{k}': '{v}'" for k, v in forms.POS_NAMES.items())}}}[pos], lower(pos))"
+    when = "CASE WHEN coalesce(aspect, '') = 'Perf' OR coalesce(tense, '') = 'Past' THEN 'perfect' WHEN coalesce(aspect, '') = 'Prosp' OR coalesce(tense, '') = 'Fut' THEN 'future' WHEN coalesce(aspect, '') = 'Imp' OR coalesce(tense, '') = 'Pres' THEN 'present' END"
+    return f"""CASE vf WHEN 'Gdv' THEN {ws("'gerundive'", *agree)} WHEN 'Ger' THEN {ws("'gerund'", *agree)} WHEN 'Sup' THEN {ws("'supine'", *agree)}
+      WHEN 'Part' THEN CASE WHEN concat(aspect, voice) = 'ProspPass' THEN {ws("'gerundive'", *agree)} ELSE {ws(when, name("voice", "Voice"), "'participle'", *agree)} END
+      WHEN 'Inf' THEN {ws(name("person", "Person"), name("num", "Number"), name("tense", "Tense"), name("voice", "Voice"), "'infinitive'", kind)}
+      ELSE CASE WHEN pos IN ('VERB', 'AUX') THEN {ws(name("person", "Person"), name("num", "Number"), name("tense", "Tense"), name("voice", "Voice"), name("mood", "Mood"), kind)} ELSE {ws(*agree, kind)} END END"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -334,7 +333,8 @@ def oracle_sql() -> dict[str, str]:
         "readings_uncertain": """WITH e AS (SELECT vec_id, (unnest(range(len(embedding))))::VARCHAR AS label, unnest(embedding)::DOUBLE * 10 AS s FROM embeddings),
           x AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id)) AS e FROM e), p AS (SELECT vec_id, label, CAST(round_even(e / sum(e) OVER (PARTITION BY vec_id), 4) AS DOUBLE) AS probability, row_number() OVER (PARTITION BY vec_id ORDER BY e DESC, label) AS rank FROM x)
           SELECT vec_id, label, probability FROM p WHERE rank = 1 AND probability < 0.9 AND probability >= 0.01""",
-        "findings_at_token": family_sql(["core"]) + """SELECT doc_id, sent_id, key, anchor, tokens, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY confidence DESC, key, anchor, tokens) AS rank FROM found WHERE list_contains(string_split(tokens, ','), '0')""",
+        "findings_at_token": all_sql() + f"""SELECT doc_id, sent_id, i::INT AS i, key, anchor, tokens, row_number() OVER (PARTITION BY doc_id, sent_id, i ORDER BY confidence DESC, key, anchor, tokens) AS rank
+          FROM (SELECT *, unnest(list_distinct(string_split(tokens, ','))) AS i FROM {KEPT})""",
         "sentence_spans": f"WITH {annotation_sql()} SELECT doc_id, sent_id, min(i) AS first, max(i) AS last, count(*) AS n_tokens FROM flat0 GROUP BY doc_id, sent_id",
         "notes_by_line": f"""WITH {place}, {notes}, h AS (SELECT p.work || '|' || p.ref AS request, p.line, n.*, row_number() OVER (PARTITION BY p.work, p.ref, p.line ORDER BY {order}) AS rank FROM p JOIN n ON {hit})
           SELECT request, line::BIGINT AS line, string_agg(id, ',' ORDER BY rank) AS notes FROM h WHERE rank <= 12 GROUP BY request, line""",

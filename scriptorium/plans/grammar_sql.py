@@ -101,6 +101,11 @@ def findings_sql(families: list[str]) -> str:
 KEPT = f"""(SELECT * FROM found f WHERE NOT (key IN ('purpose_clause', 'result_clause') AND EXISTS (SELECT 1 FROM found s WHERE s.key IN ({', '.join(map(repr, SPECIAL))}) AND s.doc_id = f.doc_id AND s.sent_id = f.sent_id AND s.anchor = f.anchor))) kept"""
 
 
+def all_sql() -> str:
+    """CTEs up to ``found`` of all families."""
+    return family_sql(list(FAMILIES))
+
+
 def suppressed_sql() -> str:
     """Number of findings of each key after suppression."""
     return family_sql(list(FAMILIES)) + f"SELECT key, count(*)::BIGINT AS n FROM {KEPT} GROUP BY key"

@@ -71,7 +71,7 @@ def construction_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def findings_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = tokens_of(spark, sf_dir)
-    got = explained(family_findings(tokens, ["genitive"]), tokens)
+    got = explained(constructions(tokens), tokens)
     return got.select("doc_id", "sent_id", "key", "anchor", "tokens", "name", "reference", "words", "strength", "evidence")
 
 
@@ -98,12 +98,12 @@ def oracle_sql() -> dict[str, str]:
     values = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
     out["construction_catalogue"] = f"SELECT * FROM (VALUES {values}) t(key, name, reference, family)"
     out["findings_explained"] = (
-        grammar_sql.family_sql(["genitive"])
-        + f""", cx AS (SELECT * FROM (VALUES {values}) t(key, name, reference, family)), u AS (SELECT DISTINCT doc_id, sent_id, key, tokens FROM found),
+        grammar_sql.all_sql()
+        + f""", cx AS (SELECT * FROM (VALUES {values}) t(key, name, reference, family)), u AS (SELECT DISTINCT doc_id, sent_id, key, tokens FROM {grammar_sql.KEPT}),
     ex AS (SELECT u.*, unnest(string_split(tokens, ','))::INT AS i, unnest(range(len(string_split(tokens, ',')))) AS k FROM u),
     sx AS (SELECT ex.doc_id, ex.sent_id, ex.key, ex.tokens, string_agg(tok.text, ' ' ORDER BY ex.k) AS words FROM ex JOIN tok ON tok.doc_id = ex.doc_id AND tok.sent_id = ex.sent_id AND tok.i = ex.i GROUP BY ALL)
-    SELECT f.doc_id, f.sent_id, f.key, f.anchor, f.tokens, cx.name, cx.reference, sx.words, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.7 THEN 'moderate' ELSE 'tentative' END AS strength,
-      chr(39) || sx.words || chr(39) || ': ' || cx.name || ' (' || cx.reference || ')' AS evidence FROM found f JOIN sx USING (doc_id, sent_id, key, tokens) JOIN cx USING (key)"""
+    SELECT kept.doc_id, kept.sent_id, kept.key, kept.anchor, kept.tokens, cx.name, cx.reference, sx.words, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.7 THEN 'moderate' ELSE 'tentative' END AS strength,
+      chr(39) || sx.words || chr(39) || ': ' || cx.name || CASE WHEN cx.reference = '' THEN '' ELSE ' (' || cx.reference || ')' END AS evidence FROM {grammar_sql.KEPT} JOIN sx USING (doc_id, sent_id, key, tokens) JOIN cx USING (key)"""
     )
     out |= {"constructions_counts": grammar_sql.suppressed_sql(), "construction_tags": grammar_sql.tags_sql()}
     out |= {f"figures_{name}": grammar_sql.figures_sql(name) for name in GROUPS if name != "alliteration"} | {"figures_anaphora": grammar_sql.anaphora_sql()}

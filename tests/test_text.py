@@ -52,11 +52,18 @@ def test_known_words_stay_whole(spark):
 
 
 def test_describe_morph(spark):
-    df = spark.createDataFrame(
-        [({"Case": "Nom", "Number": "Sing", "Gender": "Fem"}, "NOUN"), ({"Mood": "Ind", "Person": "3", "Number": "Sing", "Tense": "Pres", "Voice": "Act", "VerbForm": "Fin"}, "VERB"), ({"VerbForm": "Part", "Tense": "Past", "Voice": "Pass", "Case": "Abl"}, "VERB"), ({}, "ADP"), (None, "ADV")],
-        "m map<string,string>, p string",
-    )
-    assert [r[0] for r in df.select(forms.describe_morph(F.col("m"), F.col("p"))).collect()] == ["feminine singular nominative noun", "third person singular present indicative active", "perfect passive participle ablative", "preposition", "adverb"]
+    golden = [
+        ({"Case": "Abl", "Number": "Sing", "Gender": "Fem"}, "NOUN", "feminine ablative singular noun"),
+        ({"Mood": "Ind", "Person": "3", "Number": "Sing", "Tense": "Pres", "Voice": "Act", "VerbForm": "Fin"}, "VERB", "3rd person singular present active indicative verb"),
+        ({"VerbForm": "Part", "Tense": "Past", "Voice": "Pass", "Case": "Nom", "Number": "Plur", "Gender": "Masc"}, "VERB", "perfect passive participle masculine nominative plural"),
+        ({"VerbForm": "Part", "Aspect": "Prosp", "Voice": "Pass", "Case": "Nom"}, "VERB", "gerundive nominative"), ({"VerbForm": "Part", "Aspect": "Prosp", "Voice": "Act"}, "VERB", "future active participle"),
+        ({"VerbForm": "Part", "Aspect": "Imp", "Case": "Acc"}, "ADJ", "present participle accusative"), ({"VerbForm": "Ger", "Case": "Gen", "Tense": "Pres"}, "VERB", "gerund genitive"), ({"VerbForm": "Sup"}, "VERB", "supine"),
+        ({"VerbForm": "Inf", "Tense": "Past", "Voice": "Act"}, "VERB", "perfect active infinitive verb"), ({"VerbForm": "Inf", "Tense": "Pres"}, "AUX", "present infinitive auxiliary verb"), ({"Tense": "Imp", "Mood": "Sub"}, "VERB", "Imp subjunctive verb"),
+        ({}, "ADP", "preposition"), (None, "ADV", "adverb"), ({"Case": ""}, "SYM", "sym"), ({}, "CCONJ", "coordinating conjunction"), ({"Case": "Xyz"}, "PRON", "Xyz pronoun"),
+    ]
+    df = spark.createDataFrame([(k, m, p) for k, (m, p, _) in enumerate(golden)], "k int, m map<string,string>, p string")
+    got = {r[0]: r[1] for r in df.select("k", forms.describe_morph(F.col("m"), F.col("p"))).collect()}
+    assert got == {k: d for k, (*_, d) in enumerate(golden)}
 
 
 def test_surface_form(spark):
