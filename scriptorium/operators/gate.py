@@ -45,11 +45,16 @@ def language_scores(texts: DataFrame, key: str, text: str) -> DataFrame:
 def analysable(texts: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:
     """``(key, n_words, n_known)``: how many words of each text are in ``known(word)``.
 
-    A left semi join of distinct words, not a look-up per word; texts without words are kept with 0.
+    The distinct words of each text meet the lexicon; texts without words are kept with 0, a null
+    key is no text.
     """
-    every = texts.select(F.col(key), F.explode_outer(words(F.col(text))).alias("word"))
+    # a word that is frequent in a text is one row with its count, and so hot words cost little
+    each = texts.select(F.col(key), words(F.col(text)).alias("w"))
+    counts = each.select(key, F.explode("w").alias("word")).groupBy("word", key).agg(F.count("*").alias("n"))
     lexicon = known.select("word").distinct().withColumn("there", F.lit(1))
-    return every.join(lexicon, "word", "left").groupBy(key).agg(F.count("word").alias("n_words"), F.count("there").alias("n_known"))
+    hit = counts.join(lexicon, "word", "left").groupBy(F.col(key).alias("__key")).agg(F.sum("n").alias("n_words"), F.sum(F.col("n") * F.coalesce("there", F.lit(0))).alias("n_known"))
+    out = texts.select(key).distinct().join(hit, F.col(key) == F.col("__key"), "left")
+    return out.select(key, F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("n_known", F.lit(0)).alias("n_known"))
 
 
 def unrecognised(texts: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:

@@ -8,15 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SHINGLE_WORDS, words
-from ..session import map_batches
+from ..session import map_batches, materialise
 from .ranges import covering
 
 # Start and factor of the 64-bit hash, and the bits that are kept.
 HASH_START, HASH_FACTOR, HASH_BITS = 1469598103934665603, 1099511628211, 63
 #: Shingles that must agree on one alignment; shorter excerpts must be unique instead.
 LEAST_VOTES = 3
-#: Offsets of a work are looked up in blocks of these sizes, so no work is gathered in one task.
-BLOCK, SUPERBLOCK = 10, 20
+#: Offsets of a work are looked up in blocks of 2 to this power, so no work is gathered in one task.
+SUPERBLOCK = 20
 #: Units of a work that are summed together, and words of a work that make one stream.
 UNIT_BLOCK, STREAM_BLOCK = 4096, 1 << 16
 
@@ -52,8 +52,9 @@ def work_streams(units: DataFrame, work: str, order: str, text: str) -> DataFram
     return p.groupBy(work, "base").agg(F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda x: x["w"])).alias("words"))
 
 
-def shingle_rows(streams: DataFrame, key: str, word_array: str) -> DataFrame:
-    """``(hash, key, tok_offset)`` of each run of five words. Streams of fewer words give none.
+def shingle_rows(streams: DataFrame, key: str, word_array: str, counted: bool = False) -> DataFrame:
+    """``(hash, key, tok_offset)`` of each run of five words, with ``n``, the words of its stream, if
+    ``counted``. Streams of fewer words give none.
 
     A column ``base``, where there is one, counts the words before the stream, and only runs that
     begin in the first STREAM_BLOCK words of such a stream are taken. The hash is the index's own
@@ -70,7 +71,7 @@ def shingle_rows(streams: DataFrame, key: str, word_array: str) -> DataFrame:
         import numpy as np
 
         for batch in batches:
-            owner, offset, begin, end, raw, base = [], [], [], [], [], 0
+            owner, offset, begin, end, size, raw, base = [], [], [], [], [], [], 0
             for k, (s, before) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 b = np.frombuffer((s + " ").encode("ascii", "replace"), np.uint8) if s else np.zeros(0, np.uint8)
                 stops = np.flatnonzero(b == 32) + 1  # behind each word's blank
@@ -80,6 +81,7 @@ def shingle_rows(streams: DataFrame, key: str, word_array: str) -> DataFrame:
                     if before is not None:
                         n = min(n, STREAM_BLOCK)
                     owner.append(np.full(n, k))
+                    size.append(np.full(n, len(stops), np.int64))
                     offset.append(np.arange(n) + (before or 0))
                     begin.append(starts[:n] + base)
                     end.append(stops[SHINGLE_WORDS - 1 : SHINGLE_WORDS - 1 + n] + base)
@@ -96,27 +98,38 @@ def shingle_rows(streams: DataFrame, key: str, word_array: str) -> DataFrame:
                     at[live] += 1
                     live = live[at[live] < stop[live]]
             keys = batch.column(0).take(pa.array(np.concatenate(owner)))
-            yield pa.RecordBatch.from_arrays([pa.array((h & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64)), keys, pa.array(np.concatenate(offset).astype(np.int64))], names=["hash", key, "tok_offset"])
+            columns = [pa.array((h & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64)), keys, pa.array(np.concatenate(offset).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(np.concatenate(size))] if counted else [])], names=names)
 
-    return map_batches(source, run, f"hash bigint, `{key}` {kind}, tok_offset bigint")
+    names = ["hash", key, "tok_offset", *(["n"] if counted else [])]
+    return map_batches(source, run, f"hash bigint, `{key}` {kind}, tok_offset bigint" + (", n bigint" if counted else ""))
 
 
-def as_of(queries: DataFrame, units: DataFrame, query: str, at: str) -> DataFrame:
-    """``(query, unit)``: for each query row the unit of its ``work_id`` with the greatest offset not
-    beyond ``at``; of units at one offset the last by (ref, leaf). Queries before all units are left out.
+def locate(positions: DataFrame, units: DataFrame) -> DataFrame:
+    """``(work_id, at, unit)``: for each different ``positions(work_id, at)`` the unit of the work with
+    the greatest offset not beyond ``at``; of units at one offset the last by (ref, leaf). Positions
+    before all units are left out.
 
-    Three equi-joins with growing blocks of offsets instead of a sort by work: inside the block,
-    among the blocks of the superblock, among the superblocks.
+    Units and positions of a superblock of offsets lie in one window that runs along them and carries
+    the last unit seen; what comes in from the superblocks before, one row for each, is added by a
+    join. A superblock has no more positions than words, so no window grows with the data.
     """
-    u = units.select("work_id", F.struct("tok_offset", "ref", "leaf").alias("unit"), F.shiftright("tok_offset", BLOCK).alias("b"), F.shiftright("tok_offset", SUPERBLOCK).alias("sb"))
-    q = queries.select(F.col(query), "work_id", F.col(at).alias("at")).withColumn("b", F.shiftright("at", BLOCK)).withColumn("sb", F.shiftright("at", SUPERBLOCK))
-    blocks = u.groupBy("work_id", "sb", "b").agg(F.max("unit").alias("unit"))
-    supers = blocks.groupBy("work_id", F.col("sb").alias("s")).agg(F.max("unit").alias("unit"))
-    inside = q.join(u.select("work_id", "b", "unit"), ["work_id", "b"]).where(F.col("unit.tok_offset") <= F.col("at"))
-    near = q.join(blocks.select("work_id", "sb", F.col("b").alias("ub"), "unit"), ["work_id", "sb"]).where(F.col("ub") < F.col("b"))
-    far = q.join(supers, "work_id").where(F.col("s") < F.col("sb"))
-    every = inside.select(query, "unit").union(near.select(query, "unit")).union(far.select(query, "unit"))
-    return every.groupBy(query).agg(F.max("unit").alias("unit"))
+    sb = lambda c: F.shiftright(c, SUPERBLOCK).alias("sb")
+    none = "struct<tok_offset:bigint,ref:string,leaf:int>"
+    u = units.where("tok_offset IS NOT NULL").select("work_id", sb("tok_offset"), F.col("tok_offset").alias("at"), F.struct(F.col("tok_offset").cast("bigint").alias("tok_offset"), "ref", F.col("leaf").cast("int").alias("leaf")).alias("unit"))
+    q = positions.where("at IS NOT NULL").select("work_id", "at").distinct().select("work_id", sb("at"), "at", F.lit(None).cast(none).alias("unit"))
+    every = u.unionByName(q).withColumn("asked", F.col("unit").isNull())
+    along = Window.partitionBy("work_id", "sb").orderBy("at", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = every.withColumn("unit", F.max("unit").over(along)).where("asked").select("work_id", "sb", "at", "unit")
+    before = Window.partitionBy("work_id").orderBy("sb").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.groupBy("work_id", "sb").agg(F.max("unit").alias("unit")).select("work_id", "sb", F.max("unit").over(before).alias("carried"))
+    return here.join(carried, ["work_id", "sb"]).select("work_id", "at", F.coalesce("unit", "carried").alias("unit")).where("unit IS NOT NULL")
+
+
+def as_of(queries: DataFrame, units: DataFrame, query: str, at: str) -> DataFrame:
+    """``(query, unit)``: the unit of :func:`locate` for each query row with ``work_id`` and ``at``."""
+    q = queries.select(F.col(query), "work_id", F.col(at).alias("at"))
+    return q.join(locate(q, units), ["work_id", "at"]).select(query, "unit")
 
 
 def _title(author: Column, title: Column) -> Column:
@@ -136,23 +149,24 @@ def identify(texts: DataFrame, key: str, text: str, shingle: DataFrame, loc: Dat
     Null, empty and short texts have no row. Repeated index rows count once.
     """
     w = texts.select(F.col(key), words(F.col(text)).alias("__w")).where(F.size("__w") >= SHINGLE_WORDS)
-    query = shingle_rows(w, key, "__w").withColumnRenamed("tok_offset", "i")
+    # each run of words brings the length of its text along, so that texts are split into words once
+    query = shingle_rows(w, key, "__w", counted=True).withColumnRenamed("tok_offset", "i")
     index = shingle.select("hash", "work_id", "tok_offset").distinct()
-    votes = query.join(index, "hash").groupBy(key, "work_id", (F.col("tok_offset") - F.col("i")).alias("base")).agg(F.count("*").alias("votes"), F.min("i").alias("first"))
+    votes = query.join(index, "hash").groupBy(key, "work_id", (F.col("tok_offset") - F.col("i")).alias("base")).agg(F.count("*").alias("votes"), F.min("i").alias("first"), F.max("n").alias("n"))
     src = works.select(F.col("id").alias("work_id"), F.coalesce("source", F.lit(main_source)).alias("source"))
     ranked = votes.join(src, "work_id", "left").withColumn("source", F.coalesce("source", F.lit(main_source))).withColumn("main", F.col("source") == main_source)
-    order = F.struct("votes", "main", (-F.col("work_id")).alias("w"), (-F.col("first")).alias("f"), (-F.col("base")).alias("b"))
+    order = F.struct("votes", "main", (-F.col("work_id")).alias("w"), (-F.col("first")).alias("f"), (-F.col("base")).alias("b"), "n")
     # counted per (votes, source) before the winner is picked: no alignment list is gathered
     peers = ranked.groupBy(key, "votes", "source").agg(F.count("*").alias("peers"), F.max(order).alias("best"))
     win = peers.groupBy(key).agg(F.max(F.struct("best", "peers", "source")).alias("x"))
-    win = win.select(key, (-F.col("x.best.w")).alias("work_id"), (-F.col("x.best.b")).alias("base"), F.col("x.best.votes").alias("matched"), (F.col("x.peers") - 1).alias("rivals"))
-    sized = w.select(key, F.size("__w").alias("n"), (F.size("__w") - SHINGLE_WORDS + 1).alias("possible"))
-    good = win.join(sized, key).where(F.when(F.col("possible") < least_votes, F.col("rivals") == 0).otherwise(F.col("matched") >= least_votes))
-    good = good.withColumn("last", F.col("base") + F.col("n") - 1)
-    start = as_of(good, loc, key, "base").select(key, F.col("unit").alias("s"))
-    end = as_of(good, loc, key, "last").select(key, F.col("unit").alias("e"))
+    n = F.col("x.best.n")
+    win = win.select(key, (-F.col("x.best.w")).alias("work_id"), (-F.col("x.best.b")).alias("base"), F.col("x.best.votes").alias("matched"), (F.col("x.peers") - 1).alias("rivals"), n.alias("n"), (n - SHINGLE_WORDS + 1).alias("possible"))
+    # written once: the look-up of both ends and the rest of the row read it
+    good = materialise(win.where(F.when(F.col("possible") < least_votes, F.col("rivals") == 0).otherwise(F.col("matched") >= least_votes)))
+    ends = good.select(key, "work_id", F.explode(F.array(F.struct("base", F.lit(True).alias("first")), F.struct((F.col("base") + F.col("n") - 1).alias("base"), F.lit(False).alias("first")))).alias("x")).select(key, "work_id", F.col("x.base").alias("at"), "x.first")
+    found = ends.join(locate(ends, loc), ["work_id", "at"]).groupBy(key).agg(F.max(F.when(F.col("first"), F.col("unit"))).alias("s"), F.max(F.when(~F.col("first"), F.col("unit"))).alias("e"))
     meta = works.select(F.col("id").alias("work_id"), F.col("key").alias("work"), "author", "title", "unit")
-    full = good.join(start, key).join(end, key, "left").join(meta, "work_id")
+    full = good.join(found.where("s IS NOT NULL"), key).join(meta, "work_id")
     same = F.col("e.ref").eqNullSafe(F.col("s.ref"))
     where = F.when(F.coalesce(F.col("s.ref"), F.lit("")) == "", F.concat(F.lit("line "), F.col("s.leaf"))).otherwise(F.concat_ws(".", "s.ref", "s.leaf"))
     where = F.concat(where, F.when(same & (F.col("e.leaf") != F.col("s.leaf")), F.concat(F.lit("-"), F.col("e.leaf"))).otherwise(""))

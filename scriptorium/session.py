@@ -33,13 +33,16 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it from there.
 
     The folder is the one the session names in ``spark.checkpoint.dir``, so the data survive the
-    loss of executors. Only where none is set (tests, one machine) a temporary folder is used.
+    loss of executors. Where none is set, a session on one machine (tests, the bench) takes a
+    temporary folder; a cluster raises, as no folder of one machine would do for it.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="scriptorium-checkpoint-")
             atexit.register(shutil.rmtree, shared, ignore_errors=True)
         sc.setCheckpointDir(shared)
