@@ -10,7 +10,7 @@ from . import __version__
 from .operators import retrieval
 from .operators.constructions import catalogue
 from .operators.scansion import scan
-from .plans.assemble import Analysis, analyse, to_documents
+from .plans.assemble import Analysis, Library, analyse, analyse_texts, to_documents
 from .session import materialise
 from .sources.sinks import status
 
@@ -87,5 +87,10 @@ class Engine:
     def analyse(self, tokens: DataFrame, lines: DataFrame | None = None) -> Analysis:
         return analyse(tokens, lines)
 
+    def analyse_texts(self, texts: DataFrame, key: str, text: str, annotator, known: DataFrame, quantities: DataFrame | None = None) -> DataFrame:
+        """From plain texts to one result each; see :func:`scriptorium.plans.assemble.analyse_texts`."""
+        library = Library(*(self.table(n) for n in ("loc", "works", "shingle", "note")), known, self.main_source)
+        return analyse_texts(texts, key, text, annotator, library, quantities)
+
     def documents(self, tokens: DataFrame) -> DataFrame:
         return to_documents(analyse(tokens))

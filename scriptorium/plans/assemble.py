@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_blanks
+from ..operators import gate, retrieval
 from ..operators.constructions import constructions, token_tags
 from ..operators.figures import anaphora, figures
 from ..operators.gate import anomalies
 from ..operators.scansion import scan
+from ..session import materialise
 
 #: Longest text that a request may hold.
 MOST_CHARACTERS = 20_000
@@ -49,25 +52,74 @@ def analyse(tokens: DataFrame, lines: DataFrame | None = None, quantities: DataF
     )
 
 
-def to_documents(analysis: Analysis) -> DataFrame:
-    """``(doc_id, analysis)``: per document its sentences with tokens, tags and findings, as JSON.
+def _listed(df: DataFrame, name: str) -> DataFrame:
+    """Findings of a sentence as one list, by falling confidence, then key and anchor."""
+    row = F.struct((-F.col("confidence")).alias("order"), *[c for c in ("key", "anchor", "tokens", "confidence", "label") if c in df.columns])
+    return df.groupBy("doc_id", "sent_id").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x.dropFields("order")).alias(name))
 
-    Lists are ordered: tokens by place, findings by falling confidence, then key and anchor.
-    Documents are gathered whole, as their JSON is.
-    """
-    tags = token_tags(analysis.findings)
+
+def to_sentences(analysis: Analysis) -> DataFrame:
+    """``(doc_id, sent_id, tokens, findings, figures)``: each sentence with its tokens in order, their
+    tags, and what was found in it."""
+    findings = materialise(analysis.findings)  # listed, and turned into tags
     flat = analysis.tokens.withColumn("morph", F.to_json("morph"))
-    tok = flat.join(tags, ["doc_id", "sent_id", "i"], "left").groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("i", "text", "lemma", "pos", "dep", "head", "morph", F.coalesce("keys", F.lit("")).alias("constructions")))).alias("tokens"))
+    tok = flat.join(token_tags(findings), ["doc_id", "sent_id", "i"], "left").groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("i", "text", "lemma", "pos", "dep", "head", "morph", F.coalesce("keys", F.lit("")).alias("constructions")))).alias("tokens"))
+    return tok.join(_listed(findings, "findings"), ["doc_id", "sent_id"], "left").join(_listed(analysis.figures, "figures"), ["doc_id", "sent_id"], "left")
 
-    def listed(df: DataFrame, name: str) -> DataFrame:
-        row = F.struct((-F.col("confidence")).alias("order"), *[c for c in ("key", "anchor", "tokens", "confidence") if c in df.columns])
-        return df.groupBy("doc_id", "sent_id").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x.dropFields("order")).alias(name))
 
-    sent = tok.join(listed(analysis.findings, "findings"), ["doc_id", "sent_id"], "left").join(listed(analysis.figures, "figures"), ["doc_id", "sent_id"], "left")
-    per = sent.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_id", "tokens", "findings", "figures"))).alias("sentences"))
+def to_documents(analysis: Analysis) -> DataFrame:
+    """``(doc_id, analysis)``: per document its sentences as JSON, in order.
+
+    A document comes as one string, so it must be a text as requests hold them (:func:`admitted`);
+    of whole works take :func:`to_sentences`.
+    """
+    per = to_sentences(analysis).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_id", "tokens", "findings", "figures"))).alias("sentences"))
     return per.select("doc_id", F.to_json(F.struct("sentences")).alias("analysis"))
 
 
+@dataclass(frozen=True)
+class Library:
+    """What texts are held against: the tables of the index, the commentary, and known words."""
+
+    loc: DataFrame
+    works: DataFrame
+    shingle: DataFrame
+    note: DataFrame
+    known: DataFrame
+    main_source: str = "editions"
+
+
+def analyse_texts(texts: DataFrame, key: str, text: str, annotator: Callable[[DataFrame], DataFrame], library: Library, quantities: DataFrame | None = None) -> DataFrame:
+    """From plain texts to results: ``(doc_id, is_latin, citation, is_verse, n_notes, analysis)``.
+
+    Only admitted texts have a row, so each is bounded. ``annotator`` turns ``lines(doc_id, sent_id,
+    text)`` into tokens. The JSON holds the gate's judgement, the citation, the notes on the cited
+    lines, the scansion of each line, and the sentences with tokens, constructions and figures; what
+    is irregular stands under ``anomalies``. Texts that are not Latin are analysed all the same. A
+    text without tokens, or that no work holds, has null in those parts.
+    """
+    ok = materialise(admitted(texts.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")[0])
+    lines = ok.select("doc_id", F.posexplode(F.split("text", r"\r?\n")).alias("sent_id", "text")).withColumn("sent_id", F.col("sent_id").cast("bigint"))
+    tokens = materialise(annotator(lines))
+    a = analyse(tokens)
+    rate = gate.analysable(ok, "doc_id", "text", library.known)
+    judged = gate.assess(rate, gate.language_scores(ok, "doc_id", "text"), "doc_id")
+    cited = materialise(retrieval.identify(ok, "doc_id", "text", library.shingle, library.loc, library.works, library.main_source))
+    spans = cited.select(F.col("doc_id").alias("request"), "work", "ref", F.col("line_start").alias("first"), F.when(F.col("ref").eqNullSafe(F.col("ref_end")), F.col("line_end")).otherwise(F.col("line_start")).alias("last"))
+    notes = retrieval.commentary_for(spans, library.note).groupBy(F.col("request").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("line", "rank", "author", "lemma", F.col("text").alias("note")))).alias("notes"))
+    keyed = lines.where(strip_blanks(F.col("text")) != "").select(F.struct("doc_id", "sent_id").alias("k"), "text")
+    scans = materialise(scan(keyed, "k", "text", quantities).select("k.doc_id", "k.sent_id", "ok", "pattern", "caesurae"))
+    n, fit = F.count("*"), F.count_if("ok")
+    verse = scans.groupBy("doc_id").agg(((fit >= 1) & ((n <= 2) | (fit * 2 >= n))).alias("is_verse"), F.array_sort(F.collect_list(F.struct("sent_id", "ok", "pattern", "caesurae"))).alias("scansion"))
+    odd = a.anomalies.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_id", "i", "kind", "feature"))).alias("anomalies"))
+    sentences = to_sentences(a).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_id", "tokens", "findings", "figures"))).alias("sentences"))
+    full = ok.select("doc_id").join(judged, "doc_id", "left").join(cited.select("doc_id", "citation"), "doc_id", "left")
+    for part in (notes, verse, odd, sentences):
+        full = full.join(part, "doc_id", "left")
+    parts = F.struct(F.struct("is_latin", "confidence", "message").alias("gate"), "citation", "notes", "scansion", "anomalies", "sentences")
+    return full.select("doc_id", "is_latin", "citation", F.coalesce("is_verse", F.lit(False)).alias("is_verse"), F.coalesce(F.size("notes"), F.lit(0)).cast("bigint").alias("n_notes"), F.to_json(parts).alias("analysis"))
+
+
 def ranked_readings(scores: DataFrame, token: str, label: str, score: str, most: int = 5, least: float = 0.01) -> DataFrame:
     """Softmax of an annotator's scores over the labels of a token: the ``most`` likeliest with a
     probability of ``least`` or more, ``(token, label, probability, rank)``. Null scores are left out."""

@@ -15,7 +15,7 @@ from ..operators import gate, readings, retrieval, scansion
 from ..operators.constructions import constructions
 from ..session import spread
 from ..sources.surrogate import annotate, annotation_sql
-from .assemble import admitted, analyse, confidence_label, ranked_readings, to_documents
+from .assemble import Library, admitted, analyse, analyse_texts, confidence_label, ranked_readings, to_sentences
 from .grammar_sql import KEPT, KEY, all_sql
 
 
@@ -206,7 +206,18 @@ def parses_distinct(spark, sf_dir):
 
 
 def analysis_documents(spark, sf_dir):
-    return to_documents(analyse(_tokens(spark, sf_dir)))
+    """Every admitted document from its text to its result, with stand-in tokens of its lines."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    library = Library(_plain_loc(spark, sf_dir), table(spark, sf_dir, "works"), table(spark, sf_dir, "shingle"), _plain_notes(spark, sf_dir), _known(spark, sf_dir), "codexhall")
+    return analyse_texts(docs, "doc_id", "text", lambda lines: annotate(lines, "doc_id", "sent_id", "text"), library)
+
+
+def analysis_sentences(spark, sf_dir):
+    """The sentences of all works with what was found in each, in numbers."""
+    s = to_sentences(analyse(_tokens(spark, sf_dir)))
+    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
+    tagged = F.size(F.filter("tokens", lambda t: t["constructions"] != "")).cast("bigint")
+    return s.select("doc_id", "sent_id", n("tokens").alias("n_tokens"), n("findings").alias("n_findings"), tagged.alias("n_tagged"), F.get("findings", F.lit(0))["key"].alias("first_key"))
 
 
 _SRC, _DST = base_letter_table()
@@ -335,6 +346,10 @@ def oracle_sql() -> dict[str, str]:
           SELECT vec_id, label, probability FROM p WHERE rank = 1 AND probability < 0.9 AND probability >= 0.01""",
         "findings_at_token": all_sql() + f"""SELECT doc_id, sent_id, i::INT AS i, key, anchor, tokens, row_number() OVER (PARTITION BY doc_id, sent_id, i ORDER BY confidence DESC, key, anchor, tokens) AS rank
           FROM (SELECT *, unnest(list_distinct(string_split(tokens, ','))) AS i FROM {KEPT})""",
+        "analysis_sentences": all_sql() + f""", k AS (SELECT * FROM {KEPT}), n AS (SELECT doc_id, sent_id, count(*) AS n_findings, arg_min(key, (-confidence, key, anchor, tokens)) AS first_key FROM k GROUP BY ALL),
+          g AS (SELECT doc_id, sent_id, count(DISTINCT i) AS n_tagged FROM (SELECT doc_id, sent_id, unnest(string_split(tokens, ',')) AS i FROM k) GROUP BY ALL),
+          t AS (SELECT doc_id, sent_id, count(*) AS n_tokens FROM tok GROUP BY ALL)
+          SELECT doc_id, sent_id, n_tokens, coalesce(n_findings, 0) AS n_findings, coalesce(n_tagged, 0) AS n_tagged, first_key FROM t LEFT JOIN n USING (doc_id, sent_id) LEFT JOIN g USING (doc_id, sent_id)""",
         "sentence_spans": f"WITH {annotation_sql()} SELECT doc_id, sent_id, min(i) AS first, max(i) AS last, count(*) AS n_tokens FROM flat0 GROUP BY doc_id, sent_id",
         "notes_by_line": f"""WITH {place}, {notes}, h AS (SELECT p.work || '|' || p.ref AS request, p.line, n.*, row_number() OVER (PARTITION BY p.work, p.ref, p.line ORDER BY {order}) AS rank FROM p JOIN n ON {hit})
           SELECT request, line::BIGINT AS line, string_agg(id, ',' ORDER BY rank) AS notes FROM h WHERE rank <= 12 GROUP BY request, line""",
@@ -359,7 +374,7 @@ def oracle_sql() -> dict[str, str]:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_of = (
         text_normalise, text_shingles, index_offsets, index_shingles, passage_identify, locate_units, canonical_lines, notes_for, commentary_for, coverage, gate_assess, gate_unrecognised,
-        gate_anomalies, scansion_lines, scansion_shapes, enclitics, folds, morph_descriptions, readings_ranked, requests_admitted, analysis_documents, readings_uncertain, findings_at_token, sentence_spans,
+        gate_anomalies, scansion_lines, scansion_shapes, enclitics, folds, morph_descriptions, readings_ranked, requests_admitted, analysis_documents, analysis_sentences, readings_uncertain, findings_at_token, sentence_spans,
         notes_by_line, foot_groups, dictionary_entries, parses_distinct,
     )
     return {f.__name__: f for f in all_of}
