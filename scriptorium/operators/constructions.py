@@ -86,21 +86,55 @@ def token_tags(findings: DataFrame) -> DataFrame:
     return each.groupBy("doc_id", "sent_id", F.col("i").cast("int").alias("i")).agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("keys"))
 
 
+#: What to keep in mind with some findings, by key or by key and label.
+CAVEATS: dict[str, str] = {
+    "ablative_absolute_nominal": "There is no participle: the reading rests on two ablatives standing together.",
+    "partitive_genitive": "A genitive on a noun may also possess, describe or be an object.",
+    "greek_accusative": "Most accusatives are objects; this one hangs on an adjective, a participle or a passive.",
+    "double_dative": "It holds only if both datives belong to the same verb.",
+    "accusative_place_to_which": "A bare accusative is mostly an object; look at the verb.",
+    "genitive_with_adjective|against the parser": "The parser saw another case; the adjective and the other readings of the form speak for the genitive.",
+    "genitive_subjective": "In form it is the same as the objective genitive; the sense decides.",
+    "genitive_objective": "In form it is the same as the subjective genitive; the sense decides.",
+    "genitive_possessive": "Such a genitive may also be partitive, descriptive, subjective or objective.",
+    "dative_with_compound": "Not every compound verb takes a dative.",
+    "dative_ethical": "Only if no verb of the clause asks for the dative.",
+    "dative_of_reference": "Taken where nothing more exact fits; try the verb, an adjective and possession first.",
+    "ablative_of_cause": "Cause and means are not sharply apart.",
+    "ablative_of_means": "A bare ablative may as well be cause, manner, respect or price.",
+    "dative_direction": "That the text is verse is not checked; weigh the place, the genre and other datives.",
+    "alliteration": "Two neighbouring words weigh less than a run of them.",
+    "assonance": "With few vowels some repetition comes by itself.",
+    "homoeoteleuton": "Agreement alone makes equal endings.",
+    "ellipsis": "A fragment, a heading or a list looks the same.",
+}
+CLAUSE_CAVEAT = "It rests on where the parser hangs the conjunction; look at the bounds of the clause."
+
+
 def explained(findings: DataFrame, tokens: DataFrame) -> DataFrame:
     """Findings or figures plus ``name``, ``reference``, ``words`` (the texts of their tokens in the
-    order given), ``strength`` and a sentence of ``evidence``. Unknown keys keep null names.
+    order given), ``between`` (for a hyperbaton the words that stand apart what belongs together),
+    ``strength``, a sentence of ``evidence`` and ``caveat``. Unknown keys keep null names.
 
     The catalogue is a table of fixed size and is broadcast; words come by one join with the tokens.
     """
-    f = materialise(findings.withColumn("id", F.xxhash64("doc_id", "sent_id", "key", "tokens")))  # used twice
-    place = f.select("doc_id", "sent_id", "id", F.posexplode(F.split("tokens", ",").cast("array<int>")).alias("k", "i")).distinct()
+    f = findings if "label" in findings.columns else findings.withColumn("label", F.lit(""))
+    f = materialise(f.withColumn("id", F.xxhash64("doc_id", "sent_id", "key", "tokens")))  # used twice
+    at = F.split("tokens", ",").cast("array<int>")
+    said = F.transform(at, lambda i, k: F.struct(k.alias("k"), i.alias("i"), F.lit(False).alias("apart")))
+    lo, hi = F.array_min(at), F.array_max(at)
+    inside = F.when((F.col("key") == "hyperbaton") & (hi - lo > 1), F.transform(F.sequence(lo + 1, hi - 1), lambda i: F.struct(i.alias("k"), i.alias("i"), F.lit(True).alias("apart")))).otherwise(F.array().cast("array<struct<k:int,i:int,apart:boolean>>"))
+    place = f.select("doc_id", "sent_id", "id", F.inline(F.concat(said, inside))).distinct()
     text = tokens.select("doc_id", "sent_id", "i", "text").distinct()
-    said = place.join(text, ["doc_id", "sent_id", "i"]).groupBy("doc_id", "sent_id", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), " ").alias("words"))
-    named = catalogue(findings.sparkSession).select("key", "name", "reference")
-    full = f.join(said, ["doc_id", "sent_id", "id"], "left").join(F.broadcast(named), "key", "left").drop("id")
+    joined = lambda apart: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("apart") == apart, F.struct("k", "text")))), lambda x: x["text"]), " ")
+    words = place.join(text, ["doc_id", "sent_id", "i"]).groupBy("doc_id", "sent_id", "id").agg(joined(False).alias("words"), joined(True).alias("between"))
+    named = catalogue(findings.sparkSession).select("key", "name", "reference", "family")
+    full = f.join(words, ["doc_id", "sent_id", "id"], "left").join(F.broadcast(named), "key", "left").drop("id")
     strength = F.when(F.col("confidence") >= 0.85, "high").when(F.col("confidence") >= 0.7, "moderate").otherwise("tentative")
     where = F.when(F.col("reference") == "", "").otherwise(F.concat(F.lit(" ("), "reference", F.lit(")")))
-    return full.withColumn("strength", strength).withColumn("evidence", F.concat(F.lit("'"), "words", F.lit("': "), "name", where))
+    caveats = F.create_map(*[F.lit(x) for pair in CAVEATS.items() for x in pair])
+    caveat = F.coalesce(F.try_element_at(caveats, F.concat_ws("|", "key", "label")), F.try_element_at(caveats, F.col("key")), F.when(F.col("family") == "clause", CLAUSE_CAVEAT).otherwise(""))
+    return full.withColumns({"strength": strength, "evidence": F.concat(F.lit("'"), "words", F.lit("': "), "name", where), "caveat": caveat}).drop("family")
 
 
 def catalogue(spark) -> DataFrame:

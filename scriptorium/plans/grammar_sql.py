@@ -120,7 +120,9 @@ def tags_sql() -> str:
 
 def tokens_sql() -> str:
     """CTE ``tok`` of stand-in tokens without the rule columns."""
-    return f"WITH {annotation_sql()},\ntok AS MATERIALIZED (SELECT * FROM flat0)"
+    # k counts the words of a sentence, leaving signs out
+    return f"""WITH {annotation_sql()},
+tok AS MATERIALIZED (SELECT *, CASE WHEN pos NOT IN ('PUNCT', 'X') AND text <> '' THEN row_number() OVER (PARTITION BY doc_id, sent_id, (pos NOT IN ('PUNCT', 'X') AND text <> '') ORDER BY i) - 1 END AS k FROM flat0)"""
 
 
 def _in(column: str, lemmas: list[str]) -> str:
@@ -147,7 +149,7 @@ q AS (SELECT p.doc_id, p.sent_id, p.a AS a1, p.n AS n1, r.a AS a2, r.n AS n2,
 z AS (SELECT *, array_to_string(list_transform(x, lambda y: y.c), '') AS shape, array_to_string(list_transform(x, lambda y: y.i), ',') AS tokens FROM q
   WHERE x[4].i - x[1].i <= 8 AND len(list_distinct(list_transform(x, lambda y: y.i))) = 4),
 zz AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY a1, a2) AS k FROM z WHERE shape IN ('ABba', 'BAab', 'ABab', 'BAba')),
-g AS (SELECT doc_id, sent_id, list(pos ORDER BY i) AS ps, list(coalesce(cas, '') ORDER BY i) AS cs, string_agg(i, ',' ORDER BY i) AS tokens FROM tok GROUP BY ALL HAVING count(*) = 5)"""
+g AS (SELECT doc_id, sent_id, list(pos ORDER BY i) AS ps, list(coalesce(cas, '') ORDER BY i) AS cs, string_agg(i, ',' ORDER BY i) AS tokens FROM tok WHERE k IS NOT NULL GROUP BY ALL HAVING count(*) = 5)"""
         parts = [
             out.format(k="'hyperbaton'", t="a || ',' || n", c="0.7", f="p WHERE abs(a - n) - 1 >= 3"),
             out.format(k="CASE WHEN shape IN ('ABba', 'BAab') THEN 'chiasmus' ELSE 'synchysis' END", t="tokens", c="0.65", f="zz WHERE k <= 3"),
@@ -160,33 +162,37 @@ pl AS (SELECT doc_id, sent_id, l, min(i) AS first, max(i) AS last, count(*) AS n
   WHERE pos IN ('NOUN', 'PROPN', 'ADJ', 'PRON', 'VERB') AND length(l) > 2 GROUP BY doc_id, sent_id, l HAVING n >= 2 AND forms >= 2 AND last - first <= 10),
 pk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY first) AS k FROM pl),
 li AS (SELECT t.doc_id, t.sent_id, t.i, min(u.i) AS u FROM tok t JOIN tok u ON u.doc_id = t.doc_id AND u.sent_id = t.sent_id AND u.i BETWEEN t.i + 1 AND t.i + 2 WHERE {_in("t.l", L.NEGATORS)} AND {_in("u.l", L.NEGATIVE_SENSE)} GROUP BY ALL),
-ap AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY i) AS k FROM tok WHERE cas = 'Voc' AND dep NOT IN ('nsubj', 'nsubj:pass') AND pos IN ('NOUN', 'PROPN', 'PRON', 'ADJ')),
-el AS (SELECT doc_id, sent_id, string_agg(i, ',' ORDER BY i) FILTER (WHERE i < 6) AS tokens FROM tok GROUP BY doc_id, sent_id HAVING count(*) >= 3 AND count(*) FILTER (WHERE vf = 'Fin') = 0)"""
+ap AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY i) AS nth FROM tok WHERE cas = 'Voc' AND dep NOT IN ('nsubj', 'nsubj:pass') AND pos IN ('NOUN', 'PROPN', 'PRON', 'ADJ')),
+el AS (SELECT doc_id, sent_id, string_agg(i, ',' ORDER BY i) FILTER (WHERE k < 6) AS tokens FROM tok GROUP BY doc_id, sent_id HAVING count(k) >= 3 AND count(*) FILTER (WHERE vf = 'Fin') = 0)"""
         parts = [
             out.format(k="'polyptoton'", t="tokens", c="0.7", f="pk WHERE k <= 3"),
             out.format(k="'litotes'", t="i || ',' || u", c="0.7", f="li"),
             out.format(k="'simile'", t="i::VARCHAR", c="0.7", f=f"tok WHERE {_in('l', L.SIMILE_MARKERS)}"),
-            out.format(k="'apostrophe'", t="i::VARCHAR", c="0.7", f="ap WHERE k <= 3"),
+            out.format(k="'apostrophe'", t="i::VARCHAR", c="0.7", f="ap WHERE nth <= 3"),
             out.format(k="'ellipsis'", t="tokens", c="0.6", f="el"),
         ]
     if group == "coordination":
         extra = f""",
 co AS (SELECT doc_id, sent_id, count(*) FILTER (WHERE {coord}) AS nc, string_agg(i, ',' ORDER BY i) FILTER (WHERE {coord}) AS cs, count(*) FILTER (WHERE dep = 'conj') AS nj,
   string_agg(i, ',' ORDER BY i) FILTER (WHERE dep = 'conj') AS js, arg_min(head, i) FILTER (WHERE dep = 'conj') AS h FROM tok GROUP BY doc_id, sent_id),
+cm AS (SELECT t.doc_id, t.sent_id, t.i, (SELECT count(*) FROM tok c WHERE c.doc_id = t.doc_id AND c.sent_id = t.sent_id AND c.text = ',' AND c.i < t.i) AS commas FROM tok t
+  WHERE t.pos IN ('VERB', 'NOUN', 'ADJ', 'PROPN', 'ADV', 'NUM') AND t.text <> ',' AND EXISTS (SELECT 1 FROM tok c WHERE c.doc_id = t.doc_id AND c.sent_id = t.sent_id AND c.text = ',')),
+sa AS (SELECT doc_id, sent_id, string_agg(i, ',' ORDER BY i) AS tokens FROM cm JOIN co USING (doc_id, sent_id) WHERE nc = 0 AND nj < 2 GROUP BY doc_id, sent_id HAVING count(*) >= 3 AND count(DISTINCT commas) = count(*)),
 tr AS (SELECT doc_id, sent_id, head, string_agg(i, ',' ORDER BY i) AS ms FROM tok WHERE dep = 'conj' GROUP BY ALL HAVING count(*) = 2)"""
         parts = [
             out.format(k="'asyndeton'", t="h || ',' || js", c="0.65", f="co WHERE nc = 0 AND nj >= 2"),
+            out.format(k="'asyndeton'", t="tokens", c="0.65", f="sa"),
             out.format(k="'polysyndeton'", t="cs", c="0.6", f="co WHERE nc >= 3"),
             out.format(k="'tricolon'", t="head || ',' || ms", c="0.6", f="tr"),
         ]
     if group == "sound":
         extra = """,
-ho AS (SELECT a.doc_id, a.sent_id, a.i, min(b.i) AS b FROM tok a JOIN tok b ON b.doc_id = a.doc_id AND b.sent_id = a.sent_id AND b.i BETWEEN a.i + 1 AND a.i + 3
+ho AS (SELECT a.doc_id, a.sent_id, a.i, min(b.i) AS b FROM tok a JOIN tok b ON b.doc_id = a.doc_id AND b.sent_id = a.sent_id AND b.k BETWEEN a.k + 1 AND a.k + 3
   WHERE length(a.form) >= 3 AND length(b.form) >= 3 AND right(a.form, 3) = right(b.form, 3) AND a.l <> b.l GROUP BY ALL),
 hk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY i) AS k FROM ho),
 wn AS (SELECT a.doc_id, a.sent_id, a.i, count(*) AS n, string_agg(b.form, '' ORDER BY b.i) AS t, string_agg(b.i, ',' ORDER BY b.i) AS tokens,
   min(instr(b.form, 'a') > 0)::INT AS va, min(instr(b.form, 'e') > 0)::INT AS ve, min(instr(b.form, 'i') > 0)::INT AS vi, min(instr(b.form, 'o') > 0)::INT AS vo, min(instr(b.form, 'u') > 0)::INT AS vu
-  FROM tok a JOIN tok b ON b.doc_id = a.doc_id AND b.sent_id = a.sent_id AND b.i BETWEEN a.i AND a.i + 3 GROUP BY ALL HAVING count(*) >= 3),
+  FROM tok a JOIN tok b ON b.doc_id = a.doc_id AND b.sent_id = a.sent_id AND b.k BETWEEN a.k AND a.k + 3 GROUP BY ALL HAVING count(*) >= 3),
 vw AS (SELECT doc_id, sent_id, i, tokens, t, v, length(t) - length(replace(t, v, '')) AS total, row_number() OVER (PARTITION BY doc_id, sent_id, i ORDER BY instr(t, v)) AS k
   FROM (SELECT *, unnest(list_filter([CASE WHEN va = 1 THEN 'a' END, CASE WHEN ve = 1 THEN 'e' END, CASE WHEN vi = 1 THEN 'i' END, CASE WHEN vo = 1 THEN 'o' END, CASE WHEN vu = 1 THEN 'u' END], lambda y: y IS NOT NULL)) AS v FROM wn)),
 vk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY i) AS kk FROM vw WHERE k = 1 AND total >= 6)"""
@@ -198,7 +204,7 @@ def anaphora_sql() -> str:
     return (
         tokens_sql()
         + """,
-o AS (SELECT doc_id, sent_id, i, form, lag(form) OVER (PARTITION BY doc_id ORDER BY sent_id) AS before FROM tok WHERE i = 0),
+o AS (SELECT doc_id, sent_id, i, form, lag(form) OVER (PARTITION BY doc_id ORDER BY sent_id) AS before FROM tok WHERE k = 0),
 r AS (SELECT *, sum(CASE WHEN form = before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY sent_id) AS run FROM o)
 SELECT doc_id, min(sent_id) AS sent_id, 'anaphora' AS key, string_agg(sent_id || ':' || i, ',' ORDER BY sent_id) AS tokens, 0.75::DOUBLE AS confidence FROM r GROUP BY doc_id, run HAVING count(*) >= 2"""
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.refs import plain_ref
-from ..operators.constructions import catalogue, constructions, explained, family_findings, token_tags
+from ..operators.constructions import CAVEATS, CLAUSE_CAVEAT, catalogue, constructions, explained, family_findings, token_tags
 from ..operators.figures import GROUPS, anaphora, figures
 from ..operators.intervals import periods_and_gaps
 from ..operators.rules import FAMILIES
@@ -72,7 +72,7 @@ def construction_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def findings_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = tokens_of(spark, sf_dir)
     got = explained(constructions(tokens), tokens)
-    return got.select("doc_id", "sent_id", "key", "anchor", "tokens", "name", "reference", "words", "strength", "evidence")
+    return got.select("doc_id", "sent_id", "key", "anchor", "tokens", "name", "reference", "words", "label", "strength", "evidence", "caveat")
 
 
 def _figures(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -96,14 +96,17 @@ def oracle_sql() -> dict[str, str]:
     out |= {f"findings_{name}": grammar_sql.findings_sql([name]) for name in FAMILIES}
     rows = [(*r, f) for f, t in (("construction", L.CONSTRUCTIONS), ("case use", L.CASE_USES), ("clause", L.CLAUSES)) for r in L.catalogue_rows(t)] + [(r[0], r[1], "", "figure") for r in L.catalogue_rows(L.DEVICES)]
     values = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+    quoted = {k: v.replace("'", "''") for k, v in CAVEATS.items()}
+    by_key = " ".join(f"WHEN kept.key = '{k.split('|')[0]}'" + (f" AND kept.label = '{k.split('|')[1]}'" if "|" in k else "") + f" THEN '{v}'" for k, v in quoted.items())
+    caveats = f"CASE {by_key} WHEN cx.family = 'clause' THEN '{CLAUSE_CAVEAT}' ELSE '' END"
     out["construction_catalogue"] = f"SELECT * FROM (VALUES {values}) t(key, name, reference, family)"
     out["findings_explained"] = (
         grammar_sql.all_sql()
-        + f""", cx AS (SELECT * FROM (VALUES {values}) t(key, name, reference, family)), u AS (SELECT DISTINCT doc_id, sent_id, key, tokens FROM {grammar_sql.KEPT}),
+        + f""", kept AS (SELECT *, {grammar_sql.LABELS} AS label FROM {grammar_sql.KEPT.replace(') kept', ') f')}), cx AS (SELECT * FROM (VALUES {values}) t(key, name, reference, family)), u AS (SELECT DISTINCT doc_id, sent_id, key, tokens FROM kept),
     ex AS (SELECT u.*, unnest(string_split(tokens, ','))::INT AS i, unnest(range(len(string_split(tokens, ',')))) AS k FROM u),
     sx AS (SELECT ex.doc_id, ex.sent_id, ex.key, ex.tokens, string_agg(tok.text, ' ' ORDER BY ex.k) AS words FROM ex JOIN tok ON tok.doc_id = ex.doc_id AND tok.sent_id = ex.sent_id AND tok.i = ex.i GROUP BY ALL)
-    SELECT kept.doc_id, kept.sent_id, kept.key, kept.anchor, kept.tokens, cx.name, cx.reference, sx.words, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.7 THEN 'moderate' ELSE 'tentative' END AS strength,
-      chr(39) || sx.words || chr(39) || ': ' || cx.name || CASE WHEN cx.reference = '' THEN '' ELSE ' (' || cx.reference || ')' END AS evidence FROM {grammar_sql.KEPT} JOIN sx USING (doc_id, sent_id, key, tokens) JOIN cx USING (key)"""
+    SELECT kept.doc_id, kept.sent_id, kept.key, kept.anchor, kept.tokens, cx.name, cx.reference, sx.words, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.7 THEN 'moderate' ELSE 'tentative' END AS strength, kept.label, {caveats} AS caveat,
+      chr(39) || sx.words || chr(39) || ': ' || cx.name || CASE WHEN cx.reference = '' THEN '' ELSE ' (' || cx.reference || ')' END AS evidence FROM kept JOIN sx USING (doc_id, sent_id, key, tokens) JOIN cx USING (key)"""
     )
     out |= {"constructions_counts": grammar_sql.suppressed_sql(), "construction_tags": grammar_sql.tags_sql()}
     out |= {f"figures_{name}": grammar_sql.figures_sql(name) for name in GROUPS if name != "alliteration"} | {"figures_anaphora": grammar_sql.anaphora_sql()}

@@ -104,6 +104,39 @@ def test_tags(spark):
     assert "ablative_absolute" in tags[0] and "ablative_absolute" in tags[1]
 
 
+def test_planted_sentences(spark):
+    """Each sentence parsed by hand gives what its name says."""
+    from scriptorium.sources.surrogate import PLANTED
+
+    sents = [[(word or lemma, lemma, pos, dep, head, dict(f.split("=") for f in feats.split())) for word, lemma, pos, dep, head, feats in t] for t in PLANTED.values()]
+    t = tokens(spark, *sents)
+    got: dict[int, set] = {}
+    for r in constructions(t).select("sent_id", "key").union(figures(t).select("sent_id", "key")).collect():
+        got.setdefault(r.sent_id, set()).add(r.key)
+    missing = {name for k, name in enumerate(PLANTED) if name.rstrip("=") not in got.get(k, set())}
+    assert not missing
+    labels = {r.label for r in constructions(t).where("key = 'conditional_clause'").collect()}
+    assert labels == {"contrary to fact"}
+
+
+LABELLED = [
+    ("cum_clause", "circumstantial or causal", [("cum", "cum", "SCONJ", "mark", 1, {}), ("esset", "sum", "VERB", "advcl", 2, {"Mood": "Sub", "Tense": "Past"}), ("venit", "venio", "VERB", "ROOT", 2, {"VerbForm": "Fin"})]),
+    ("cum_clause", "causal or concessive", [("cum", "cum", "SCONJ", "mark", 1, {}), ("sit", "sum", "VERB", "advcl", 2, {"Mood": "Sub", "Tense": "Pres"}), ("venit", "venio", "VERB", "ROOT", 2, {"VerbForm": "Fin"})]),
+    ("cum_clause", "temporal", [("cum", "cum", "SCONJ", "mark", 1, {}), ("venit", "venio", "VERB", "advcl", 2, {"Mood": "Ind"}), ("vidit", "video", "VERB", "ROOT", 2, {"VerbForm": "Fin"})]),
+    ("subjunctive_independent", "hortatory, negated", [("ne", "ne", "PART", "advmod", 1, {}), ("eamus", "eo", "VERB", "ROOT", 1, {"Mood": "Sub", "Person": "1", "Number": "Plur"})]),
+    ("subjunctive_independent", "deliberative", [("eam", "eo", "VERB", "ROOT", 0, {"Mood": "Sub", "Person": "1", "Number": "Sing"})]),
+    ("subjunctive_independent", "jussive", [("eat", "eo", "VERB", "ROOT", 0, {"Mood": "Sub", "Person": "3"})]),
+    ("subjunctive_independent", "optative or potential", [("eas", "eo", "VERB", "ROOT", 0, {"Mood": "Sub", "Person": "2"})]),
+    ("supine", "accusative, purpose", [("rogatum", "rogo", "VERB", "ROOT", 0, {"VerbForm": "Sup"})]), ("supine", "ablative, respect", [("dictu", "dico", "VERB", "ROOT", 0, {"VerbForm": "Sup"})]),
+    ("ablative_absolute", "completed action", CASES[0][1]),
+]
+
+
+def test_labels(spark):
+    rows = {(r.sent_id, r.key): r.label for r in constructions(tokens(spark, *[x for *_, x in LABELLED])).collect()}
+    assert {k: rows.get((k, key)) for k, (key, *_) in enumerate(LABELLED)} == {k: label for k, (_, label, _) in enumerate(LABELLED)}
+
+
 def test_catalogue(spark):
     rows = catalogue(spark).collect()
     assert len(rows) == 99 and sum(r.family != "figure" for r in rows) == 82
@@ -160,6 +193,11 @@ def test_explained(spark):
     row = [r for r in explained(constructions(t), t).collect() if r.key == "ablative_absolute"][0]
     assert (row.words, row.name, row.strength) == ("urbe capta", "Ablative Absolute", "high") and row.evidence == "'urbe capta': Ablative Absolute (A&G 419)"
     assert all(r.name for r in explained(figures(t), t).collect())
+    gap = tokens(spark, [word("altae", "ADJ", "amod", 4, 0), *[word(w, i=k + 1) for k, w in enumerate("moenia tum ingens".split())], word("Romae", i=4)])
+    row = [r for r in explained(figures(gap), gap).collect() if r.key == "hyperbaton"][0]
+    assert (row.words, row.between) == ("altae Romae", "moenia tum ingens")
+    place = tokens(spark, [("caelo", "caelum", "NOUN", "obl", 1, {"Case": "Dat"}), ("venit", "venio", "VERB", "ROOT", 1, {"VerbForm": "Fin"})])
+    assert "verse" in [r.caveat for r in explained(constructions(place), place).collect() if r.key == "dative_direction"][0]
 
 
 def test_anaphora_over_blocks(spark, monkeypatch):
