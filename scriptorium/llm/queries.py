@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, mixture, near_duplicates, shared_spans, survivor, tokenise, truncation, visual
-from ..plans.queries import PLAIN_REF_SQL
+from ..plans.domain_queries import words_sql
 from ..session import spread
 
 
@@ -131,8 +132,52 @@ best AS (SELECT identity, arg_max(trim(author), (trust, -id)) FILTER (trim(autho
 """
 
 
+def _one_form(column: str) -> str:
+    """The consistent form of a text in the other engine: characters by translation, words of mixed
+    scripts by their letters, and its own normal form for marks."""
+    plain, _ = visual.decompositions()
+    quote = lambda x: x.replace("'", "''")
+    one = {a: b for a, b in plain.items() if len(b) == 1}
+    gone = "".join(a for a, b in plain.items() if not b and a.isprintable() or unicodedata.category(a) in ("Cf", "Mn") and not b)
+    t = f"translate({column}, '{quote(''.join(one) + gone)}', '{quote(''.join(one.values()))}')"
+    for a, b in plain.items():
+        if len(b) > 1 and unicodedata.decomposition(a).startswith(("<compat>", "<font>")):
+            t = f"replace({t}, '{quote(a)}', '{quote(b)}')"
+    twins = visual.look_alikes()
+    others = r"\p{Greek}\p{Cyrillic}\p{Armenian}\p{Coptic}\p{Cherokee}\p{Lisu}"
+    bare = r"regexp_replace(x, '\p{M}+', '', 'g')"
+    back: dict[str, dict[str, str]] = {}
+    for a, b in twins.items():
+        back.setdefault(unicodedata.name(a).split()[0].capitalize(), {}).setdefault(b, a)
+    ways = " ".join(
+        f"WHEN regexp_matches({bare}, '\\p{{{script}}}') AND NOT regexp_matches(translate({bare}, '{''.join(m)}', ''), '\\p{{Latin}}') THEN translate(x, '{''.join(m)}', '{''.join(m.values())}')"
+        for script, m in back.items() if script in ("Greek", "Cyrillic", "Armenian")
+    )
+    word = f"""CASE WHEN NOT (regexp_matches(x, '\\p{{Latin}}') AND regexp_matches(x, '[{others}]')) THEN x
+      WHEN NOT regexp_matches(translate({bare}, '{''.join(twins)}', ''), '[{others}]') THEN translate(x, '{''.join(twins)}', '{''.join(twins.values())}') {ways} ELSE x END"""
+    return f"nfc_normalize(array_to_string(list_transform(regexp_extract_all({t}, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+'), lambda x: {word}), ''))"
+
+
+_VALUES = "v AS (SELECT 'loc' AS tbl, loc_id AS row_id, 'text' AS field, text FROM loc UNION ALL SELECT 'note', id, 'text', text FROM note UNION ALL SELECT 'note', id, 'lemma', lemma FROM note)"
+
+
+def _pairs_sql() -> str:
+    """CTEs up to ``pr(a, b, same)``: pairs of records by brute force over the words they share."""
+    return f"""WITH w AS (SELECT loc_id, list_sort({words_sql(_one_form('text'))}) AS ws FROM loc), r AS (SELECT * FROM w WHERE len(ws) >= 5),
+    e AS (SELECT loc_id, x, count(*) AS c FROM (SELECT loc_id, unnest(ws) AS x FROM r) GROUP BY ALL),
+    o AS (SELECT a.loc_id AS a, b.loc_id AS b, sum(least(a.c, b.c)) AS n FROM e a JOIN e b ON a.x = b.x AND a.loc_id < b.loc_id GROUP BY ALL),
+    pr AS (SELECT o.a, o.b, ra.ws = rb.ws AS same FROM o JOIN r ra ON ra.loc_id = o.a JOIN r rb ON rb.loc_id = o.b WHERE o.n * 4 >= 3 * greatest(len(ra.ws), len(rb.ws)))
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": f"WITH {_VALUES}, c AS (SELECT *, {_one_form('text')} AS canonical FROM v WHERE text IS NOT NULL) SELECT tbl, row_id, field FROM c WHERE canonical <> text",
+        "p4_forms": f"WITH {_VALUES} SELECT tbl, row_id, field, CASE WHEN text IS NULL THEN NULL WHEN text = '' THEN '' ELSE {_one_form('text')} END AS canonical FROM v",
+        "p6_found": _pairs_sql() + "SELECT a AS loc_id_a, b AS loc_id_b FROM pr",
+        "p6_groups": _pairs_sql()
+        + """, k AS (SELECT ws, min(loc_id) AS class_id, count(*) AS class_size FROM r GROUP BY ws), l AS (SELECT id, count(*) FILTER (WHERE NOT same) AS links FROM (SELECT a AS id, same FROM pr UNION ALL SELECT b, same FROM pr) GROUP BY id)
+        SELECT r.loc_id, k.class_id, k.class_size, coalesce(l.links, 0)::BIGINT AS links FROM r JOIN k ON k.ws = r.ws LEFT JOIN l ON l.id = r.loc_id""",
         "p1_found": _SURVIVORS + "SELECT loc_id FROM r WHERE k = 1",
         "p1_survivors": _SURVIVORS + "SELECT loc_id, copies, identity, path, author, title, unit FROM r LEFT JOIN best USING (identity) WHERE k = 1",
         "p2_found": _RUNS + "SELECT * FROM r",
