@@ -91,7 +91,7 @@ class PrefixEncoder:
                     right = ab[0]
 
     def encode(self, piece: str) -> list[int]:
-        """The ids of one piece; an empty piece has none."""
+        """The ids of one piece; an empty piece has none. A byte that the vocabulary lacks raises."""
         raw = piece.encode("utf-8")
         if (whole := self.ranks.get(raw)) is not None:
             return [whole]
@@ -107,6 +107,8 @@ class PrefixEncoder:
         out = []
         while n:
             tok, size = last[n]
+            if not size:
+                raise ValueError(f"the vocabulary has no token for a byte of {raw!r}")
             out.append(tok)
             n -= size
         return out[::-1]
@@ -120,16 +122,20 @@ class PrefixEncoder:
 
 
 @lru_cache(2)
+def encoder_of(data: bytes) -> PrefixEncoder:
+    """One encoder per process and vocabulary."""
+    return PrefixEncoder({base64.b64decode(a): int(b) for a, b in (x.split() for x in data.splitlines() if x)})
+
+
 def encoder(folder: str, vocabulary: str) -> PrefixEncoder:
-    """One encoder per process and vocabulary file."""
-    lines = Path(folder, vocabulary).read_bytes().splitlines()
-    return PrefixEncoder({base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x)})
+    """The encoder of a vocabulary file."""
+    return encoder_of(Path(folder, vocabulary).read_bytes())
 
 
-def _tables(folder: str, vocabulary: str):
+def _tables(data: bytes):
     import regex
 
-    enc, known = encoder(folder, vocabulary), {}
+    enc, known = encoder_of(data), {}
     pieces = regex.compile(PIECES).findall
 
     def ids_of(text: str | None) -> list[int]:
@@ -158,10 +164,13 @@ def encode_documents(df: DataFrame, document: str, text: str, folder: str = TOKE
 
     No special tokens are put in, and their strings in a text are ordinary text. Null and empty
     texts have the empty list (0 tokens). Texts are encoded whole, repeated rows each time; columns
-    named in ``keep`` come along. No shuffle.
+    named in ``keep`` come along. No shuffle. The vocabulary (a file of fixed size) is read here and
+    sent along, so that the machines of the cluster need no copy of it.
     """
     import pyarrow as pa
 
+    shared = df.sparkSession.sparkContext.broadcast(Path(folder, vocabulary).read_bytes())
+
     source = df.select(F.col(f"`{document}`").alias(document), *[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
     schema = ", ".join([*kept, "n_tokens bigint" if counts_only else "ids array<int>"])
@@ -169,7 +178,7 @@ def encode_documents(df: DataFrame, document: str, text: str, folder: str = TOKE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        ids_of = _tables(folder, vocabulary)
+        ids_of = _tables(shared.value)
         for batch in batches:
             sizes = np.zeros(batch.num_rows + 1, dtype=np.int64)
             flat: list[np.ndarray] = []

@@ -57,6 +57,15 @@ def test_long_usual_closing_line(spark):
     assert [x.doc_id for x in truncation.truncations(spark.createDataFrame(rows, "doc_id bigint, text string, source string, kind string")).collect()] == [99]
 
 
+def test_byte_outside_the_vocabulary():
+    import pytest
+
+    enc = tokenise.PrefixEncoder({b"a": 0, b"b": 1, b"ab": 2})
+    assert enc.encode("abba") == [2, 1, 0]
+    with pytest.raises(ValueError):
+        enc.encode("abc")
+
+
 def test_entry_rate_inverts_poisson(spark):
     cdf = lambda k, m: sum(math.exp(-m) * m**i / math.factorial(i) for i in range(k))
     rows = [(u, k) for u in (0.001, 0.2, 0.5, 0.9) for k in (1, 2, 3, 5)]
