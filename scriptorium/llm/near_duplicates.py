@@ -71,7 +71,10 @@ def _signatures(classes: DataFrame) -> DataFrame:
     keyed = F.transform("words", lambda w, i: F.struct(F.element_at("freq", bucket(w)).alias("f"), F.xxhash64(w, i - F.array_position("words", w)).alias("h")))
     t = classes.withColumn("freq", _frequencies(classes)).select("class", F.size("words").alias("n"), keyed.alias("keyed"))
     t = t.select("class", "n", F.sort_array("keyed")["h"].alias("tokens"))
-    bits = [F.expr(f"aggregate(tokens, 0L, (a, h) -> a | CASE WHEN shiftrightunsigned(h, 20) % {BITMAP_WORDS} = {j} THEN shiftleft(1L, CAST(shiftrightunsigned(h, 29) & 63 AS INT)) ELSE 0L END)").alias(f"b{j}") for j in range(BITMAP_WORDS)]
+    # records that no tile of one token holds need the folded bitmap only
+    fold, half = F.floor(F.col("n") * SHARE[1] / SHARE[0]) <= PAIR_TILE_WORDS, BITMAP_WORDS // 2
+    of = lambda j, m: F.expr(f"aggregate(tokens, 0L, (a, h) -> a | CASE WHEN shiftrightunsigned(h, 20) % {m} = {j} THEN shiftleft(1L, CAST(shiftrightunsigned(h, 29) & 63 AS INT)) ELSE 0L END)")
+    bits = [F.when(fold, of(j, half) if j < half else F.lit(0).cast("bigint")).otherwise(of(j, BITMAP_WORDS)).alias(f"b{j}") for j in range(BITMAP_WORDS)]
     return t.select("class", "n", "tokens", *bits)
 
 
