@@ -121,9 +121,11 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | str |
     p = materialise(plan(sized, targets, total_tokens))
     copies = materialise(_copies(sized, p, seed))
     level = Window.partitionBy("source").orderBy("step")  # at most RATE_STEPS + 1 rows a source
-    steps = copies.groupBy("source", "step", "goal").agg(F.sum("n_tokens").alias("n")).withColumn("until", F.sum("n").over(level))
-    # take whole steps up to the goal, and of the step that crosses it the part that is missing
-    cut = steps.select("source", "step", F.when(F.col("until") <= F.col("goal"), 1.0).otherwise(F.greatest(F.lit(0.0), (F.col("goal") - (F.col("until") - F.col("n"))) / F.col("n"))).alias("part"))
+    steps = copies.groupBy("source", "step", "goal").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("copies")).withColumn("until", F.sum("n").over(level))
+    # take whole steps up to the goal, and of the step that crosses it the part that is missing; a
+    # single copy is taken if that comes nearer to the goal
+    missing = F.greatest(F.lit(0.0), (F.col("goal") - (F.col("until") - F.col("n"))) / F.col("n"))
+    cut = steps.select("source", "step", F.when(F.col("until") <= F.col("goal"), 1.0).when(F.col("copies") == 1, F.round(missing)).otherwise(missing).alias("part"))
     taken = copies.join(cut, ["source", "step"]).where((F.col("part") >= 1) | (_uniform(F.concat_ws(":", "doc_id", "copy"), seed + 1) < F.col("part")))
     chosen = taken.select("doc_id", "source", F.col("copy").cast("int").alias("copy"), "n_tokens", F.xxhash64(F.lit(seed), "doc_id", "copy").alias("shuffle_key"))
     per_doc = taken.groupBy("source", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("times"))
