@@ -48,9 +48,12 @@ def analysable(texts: DataFrame, key: str, text: str, known: DataFrame) -> DataF
     The distinct words of each text meet the lexicon; texts without words are kept with 0, a null
     key is no text.
     """
-    # a word that is frequent in a text is one row with its count, and so hot words cost little
-    each = texts.select(F.col(key), words(F.col(text)).alias("w"))
-    counts = each.select(key, F.explode("w").alias("word")).groupBy("word", key).agg(F.count("*").alias("n"))
+    # a word that is frequent in a text is one row with its count, so hot words cost little; the runs
+    # of the sorted words give the counts without a shuffle
+    w = texts.select(key, F.sort_array(words(F.col(text))).alias("w"))
+    w = w.select(key, "w", F.filter(F.transform("w", lambda x, i: F.when((i == 0) | (F.get("w", i - 1) != x), i)), lambda i: i.isNotNull()).alias("at"))
+    runs = F.transform("at", lambda i, k: F.struct(F.get("w", i).alias("word"), (F.coalesce(F.get("at", k + 1), F.size("w")) - i).alias("n")))
+    counts = w.select(key, F.inline(runs))
     lexicon = known.select("word").distinct().withColumn("there", F.lit(1))
     hit = counts.join(lexicon, "word", "left").groupBy(F.col(key).alias("__key")).agg(F.sum("n").alias("n_words"), F.sum(F.col("n") * F.coalesce("there", F.lit(0))).alias("n_known"))
     out = texts.select(key).distinct().join(hit, F.col(key) == F.col("__key"), "left")
