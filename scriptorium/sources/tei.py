@@ -14,6 +14,8 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -147,11 +149,11 @@ def xml_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.xml").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
 
 
-def read_events(files: DataFrame, names: dict[str, str]) -> DataFrame:
+def read_events(files: DataFrame, names: dict[str, str], only_broken: bool = False) -> DataFrame:
     """The events of ``files(path, raw)``: ``names`` says for the end of a path which spec reads it.
 
-    A file that is no XML gives one row of kind ``broken`` with the parser's words as text; files
-    that no spec names give none, and neither do null texts.
+    A file that is no XML gives one row of kind ``broken`` with the parser's words as text, the one
+    kind of row if ``only_broken``; files that no spec names give none, and neither do null texts.
     """
     import pyarrow as pa
 
@@ -165,12 +167,15 @@ def read_events(files: DataFrame, names: dict[str, str]) -> DataFrame:
             for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for spec in [s for s, end in names.items() if raw is not None and path.endswith(end)]:
                     try:
-                        rows = [(path, spec, *e) for e in events(parsed(raw))]
+                        root = parsed(raw)
+                        rows = [] if only_broken else [(path, spec, *e) for e in events(root)]
                     except ElementTree.ParseError as x:
                         rows = [(path, spec, 0, "broken", 0, None, None, None, None, str(x), [])]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=columns)
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=columns)
 
-    return map_batches(files.select("path", "raw"), run, EVENT_SCHEMA)
+    named = reduce(or_, [F.endswith("path", F.lit(end)) for end in names.values()], F.lit(False))
+    return map_batches(files.where(named).select("path", "raw"), run, EVENT_SCHEMA)
 
 
 def broken_files(found: DataFrame) -> DataFrame:
@@ -265,10 +270,11 @@ def prose_units(inside: DataFrame) -> DataFrame:
 
 
 def _placed(found: DataFrame, commentaries: list[Commentary], style: str) -> DataFrame:
-    """The events of files of notes of one style, with the file's metadata and ``divs``."""
+    """The events of files of notes of one style, with the file's metadata and ``divs``. The list of
+    commentaries is broadcast: a shuffle by it would put all events into a task for each of them."""
     rows = [(c.source, c.author, c.work, c.language, [d.lower() for d in c.divs]) for c in commentaries if c.style == style]
     specs = found.sparkSession.createDataFrame(rows, "spec string, author string, work string, language string, divs array<string>")
-    return found.where("kind <> 'broken'").join(specs, "spec").withColumn("o", F.expr(_ELEMENT_ORDER))
+    return found.where("kind <> 'broken'").join(F.broadcast(specs), "spec").withColumn("o", F.expr(_ELEMENT_ORDER))
 
 
 def _holders(kind: str, types: str) -> Column:
@@ -338,9 +344,16 @@ def edition_units(files: DataFrame, editions: list[Edition] = list(EDITIONS)) ->
 
 
 def commentary_notes(files: DataFrame, commentaries: list[Commentary] = list(COMMENTARIES)) -> tuple[DataFrame, DataFrame]:
-    """(notes, broken files) of ``files(path, raw)``; the events are written once for both."""
-    found = materialise(read_events(files, {c.source: c.file for c in commentaries}))
-    return line_notes(found, commentaries).unionByName(word_notes(found, commentaries)), broken_files(found)
+    """(notes, broken files) of ``files(path, raw)``.
+
+    The events are some ten times as large as the files, so they are put together as they are read
+    and never written: each style reads the files of its own commentaries, and the broken files are
+    found by one more parse when they are asked for.
+    """
+    names = lambda *styles: {c.source: c.file for c in commentaries if c.style in styles}
+    styles = [(style, read) for style, read in (("commline", line_notes), ("lemma-prose", word_notes)) if names(style)]
+    parts = [read(read_events(files, names(style)), commentaries) for style, read in styles or [("commline", line_notes)]]
+    return reduce(DataFrame.unionByName, parts), broken_files(read_events(files, names("commline", "lemma-prose"), only_broken=True))
 
 
 def read_editions(spark: SparkSession, folder: str, editions: list[Edition] = list(EDITIONS)) -> DataFrame:

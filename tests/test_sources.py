@@ -59,6 +59,24 @@ def test_broken_files_and_odd_markup(spark):
     assert [(r.ref, r.line_start, r.line_end, r.lemma, r.text) for r in got[0].collect()] == [("2", 4, 6, "regi na", "vide 'arma' [Regi na:, (sic)!")] and got[1].count() == 1
 
 
+def test_notes_are_put_together_as_they_are_read(spark, monkeypatch):
+    """No event is written, and none is shuffled by its commentary, which has one value or a few."""
+    from scriptorium.sources import tei
+
+    def written(df):
+        raise AssertionError("events are written")
+
+    monkeypatch.setattr(tei, "materialise", written)
+    files = spark.createDataFrame([("d/n.xml", NOTES), ("d/w.xml", WORDS), ("d/bad.xml", "<a>"), ("d/null.xml", None), ("d/other.xml", "<a>")], "path string, raw string")
+    lines, words = Commentary("s", "S", "v", "la", "n.xml"), Commentary("w", "W", "c", "en", "w.xml", ("book", "chapter"), "lemma-prose")
+    notes, broken = tei.commentary_notes(files, [lines, words, Commentary("b", "B", "v", "la", "bad.xml"), Commentary("0", "N", "v", "la", "null.xml")])
+    assert sorted((r.source, r.ref, r.lemma, r.text) for r in notes.collect()) == [("s", "1", "", "praefatio"), ("s", "1", "arma", "Arma] bella"), ("w", "1.2", "est", "verbum magnum"), ("w", "1.2", "gallia", "tota; sic")]
+    assert [(r.path, r.spec) for r in broken.collect()] == [("d/bad.xml", "b")]
+    plan = notes._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(spec#" not in plan and "BroadcastHashJoin" in plan
+    assert [r.source for r in tei.commentary_notes(files, [words])[0].collect()] == ["w", "w"] and not tei.commentary_notes(files, [])[0].count()
+
+
 def test_tables_of_works_and_commentaries(spark):
     from scriptorium.sources.tei import COMMENTARIES, EDITIONS, works_of
 
