@@ -145,3 +145,20 @@ def test_stream(spark, tmp_path):
     q.awaitTermination()
     got = {r.doc_id: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got[1].latin > 0.5 and got[2].competitor == "en"
+
+
+def test_documents_in_place(spark):
+    """From a text to its result no token is shuffled, and nothing differs from the joined tables."""
+    from scriptorium.plans.assemble import _documents, _joined_documents
+
+    texts = [(1, "arma virumque cano\narma Troiae qui primus ab oris\nueni uidi uici"), (2, "12"), (3, "Italiam fato profugus Lauiniaque uenit")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4, "doc_id")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("sent_id", "text")).withColumn("sent_id", F.col("sent_id").cast("bigint"))
+    parts = docs.select("doc_id", F.length("text").alias("n")).repartition(4, "doc_id")
+    tokens = annotate(lines, "doc_id", "sent_id", "text")
+    got = _documents(tokens, parts)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 3  # the texts, and for the parts both of theirs
+    odd = tokens.unionByName(tokens.where("i = 1")).unionByName(tokens.where("doc_id = 3 AND i = 0").withColumn("i", F.lit(None).cast("int")))
+    for t in (tokens, odd):
+        rows = lambda df: sorted(df.select("doc_id", "n", F.to_json(F.struct("sentences", "anomalies"))).collect())
+        assert rows(_documents(t, parts)) == rows(_joined_documents(t, parts))
